@@ -62,10 +62,7 @@ def normalize_asset_reason(c: Column | str) -> Column:
     word = _clean(c)
     out = F.when(word.isin("photo_general", *ASSET_REASONS), word)
     for reason, pieces in ASSET_REASONS.items():
-        hit = F.lit(False)
-        for piece in pieces:
-            hit = hit | word.contains(piece)
-        out = out.when(hit, reason)
+        out = out.when(word.rlike("|".join(pieces)), reason)
     return out.otherwise("photo_general")
 
 

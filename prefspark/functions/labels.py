@@ -61,11 +61,10 @@ def detail(details: Column | str, key: str) -> Column:
 
 
 def has_detail(details: Column | str, *keys: str) -> Column:
-    """True when any key carries a non-empty value."""
-    found = F.lit(False)
-    for key in keys:
-        found = found | ~detail(details, key).isin("", "[]", "{}", "false", "0", "null")
-    return found
+    """True when any key carries a non-empty value. The JSON is parsed once, however many keys are asked for."""
+    parsed = F.from_json(_col(details), "map<string,string>")
+    found = F.map_filter(parsed, lambda k, v: k.isin(*keys) & ~F.coalesce(v, F.lit("")).isin("", "[]", "{}", "false", "0"))
+    return F.coalesce(F.size(found) > 0, F.lit(False))
 
 
 def preference_tier(

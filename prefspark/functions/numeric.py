@@ -29,7 +29,8 @@ def safe_float(c: Column | str, default: float | Column | None = None) -> Column
 def clamp01(c: Column | str, default: float = 0.0) -> Column:
     """Clip into [0, 1]; missing values take ``default`` (which is not clipped)."""
     x = _col(c)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), F.lit(float(default)))
+    clipped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))  # these skip nulls, so missing is decided first
+    return F.when(x.isNull(), F.lit(float(default))).otherwise(clipped)
 
 
 def clean_numeric_token(c: Column | str) -> Column:

@@ -4,6 +4,7 @@ from prefspark.plans import registry
 
 FAMILIES = (
     "scalars",
+    "labelling",
 )
 
 

@@ -40,6 +40,12 @@ VIEWS: dict[str, str] = {
                  ELSE '{"descriptor_positive_details":["lang: es"],"descriptor_negative_details":["source: ' || source
                       || '","lang: es"],"target_action":"super_like"}' END AS details
         FROM labelled f""",
+    # profile_rows: every item as a stored row, label and origin kept as text ('' = missing)
+    "profile_rows": """
+        SELECT i.*, CASE WHEN l.quality IS NULL THEN '' WHEN l.toxic = 1 THEN l.quality || '.0'
+                         ELSE CAST(l.quality AS VARCHAR) END AS label_text,
+               CASE WHEN src_no < 15 THEN 'Real' WHEN src_no = 15 THEN '' ELSE 'synthetic' END AS origin
+        FROM items i LEFT JOIN labels l ON i.id = l.doc_id""",
     # reviews: a review queue, one row per order
     "reviews": """
         SELECT o_orderkey AS review_id, o_orderdate AS created_at,
@@ -97,6 +103,15 @@ class Tables:
             F.substring("source", 4, 10).cast("int").alias("src_no"),
         )
 
+    @cached_property
+    def profile_rows(self) -> DataFrame:
+        labels = self.labels.select(F.col("doc_id").alias("id"), "quality", "toxic")
+        return self.items.join(labels, "id", "left").selectExpr(
+            *self.items.columns,
+            "CASE WHEN quality IS NULL THEN '' WHEN toxic = 1 THEN quality || '.0' ELSE CAST(quality AS STRING) END AS label_text",
+            "CASE WHEN src_no < 15 THEN 'Real' WHEN src_no = 15 THEN '' ELSE 'synthetic' END AS origin",
+        )
+
     @cached_property
     def labelled(self) -> DataFrame:
         labels = self.labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("label"), "toxic")
