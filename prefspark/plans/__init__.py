@@ -5,6 +5,7 @@ from prefspark.plans import registry
 FAMILIES = (
     "scalars",
     "labelling",
+    "evaluation",
 )
 
 
