@@ -6,6 +6,7 @@ FAMILIES = (
     "scalars",
     "labelling",
     "evaluation",
+    "signals_q",
 )
 
 
