@@ -7,6 +7,7 @@ FAMILIES = (
     "labelling",
     "evaluation",
     "signals_q",
+    "matching",
 )
 
 

@@ -331,17 +331,16 @@ def url_stable_key(t):
 
 @query(
     "filename_key",
-    r"""SELECT review_id, 'customer 0' || substr(name, 12, 8) AS short_name, 'customer ' || substr(name, 10) AS full_name,
+    r"""SELECT review_id, 'customer 0' || substr(full_name, 12, 8) AS short_name, 'customer ' || substr(full_name, 10) AS full_name,
                CAST(age AS INTEGER) AS parsed_age FROM reviews""",
 )
 def filename_key(t):
     """File names carry the truncated slug; a name is filed in full and truncated."""
-    named = t.reviews.withColumn("label_name", F.concat(F.lit("Customer 0"), F.substring("name", 11, 9)))
-    slug = T.filename_slug(F.concat(F.lit("Cústomer  0"), F.substring("name", 12, 8), F.lit("!")))
+    slug = T.filename_slug(F.concat(F.lit("Cústomer  0"), F.substring("full_name", 12, 8), F.lit("!")))
     path = F.concat(F.col("review_id").cast("string"), F.lit("_"), slug, F.lit("_"), F.col("age"), F.lit("_body.jpg"))
     parsed = T.filename_key(path)
-    keys = T.name_keys(F.concat(F.lit("Customer_"), F.substring("name", 10, 20)))
-    return named.select(
+    keys = T.name_keys(F.concat(F.lit("Customer_"), F.substring("full_name", 10, 20)))
+    return t.reviews.select(
         "review_id",
         parsed["name"].alias("short_name"),
         F.element_at(keys, 1).alias("full_name"),

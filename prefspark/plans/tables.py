@@ -52,8 +52,10 @@ VIEWS: dict[str, str] = {
                CASE o_orderstatus WHEN 'F' THEN 'reviewed' WHEN 'P' THEN 'skipped' ELSE 'pending' END AS review_status,
                CASE o_orderpriority WHEN '1-URGENT' THEN 'history' WHEN '2-HIGH' THEN 'quick_agree_recheck'
                     ELSE 'auto' END AS review_mode,
-               c_name AS name, c_nationkey AS age, c_mktsegment || ' ' || o_orderpriority AS text, c_mktsegment AS tags,
-               'https://img.example.com/u/' || c_nationkey || '/' || o_custkey || '.jpg?sig=' || o_orderkey AS url,
+               CASE o_orderpriority WHEN '4-NOT SPECIFIED' THEN '' ELSE c_name END AS name, c_name AS full_name,
+               c_nationkey AS age, c_mktsegment || ' ' || o_orderpriority AS text, c_mktsegment AS tags,
+               CASE o_orderpriority WHEN '5-LOW' THEN '' ELSE 'https://img.example.com/u/' || o_custkey || '/' || c_nationkey
+                    || '.jpg?sig=' || o_orderkey END AS url,
                o_custkey AS target_index, c_mktsegment AS target_signature, o_totalprice / 5e5 AS p,
                CASE WHEN o_totalprice / 5e5 >= 0.48e0 THEN 'LIKE' ELSE 'PASS' END AS original_label,
                o_custkey, o_orderpriority
@@ -148,11 +150,13 @@ class Tables:
             "CASE o_orderstatus WHEN 'F' THEN 'reviewed' WHEN 'P' THEN 'skipped' ELSE 'pending' END AS review_status",
             "CASE o_orderpriority WHEN '1-URGENT' THEN 'history' WHEN '2-HIGH' THEN 'quick_agree_recheck' "
             "ELSE 'auto' END AS review_mode",
-            "c_name AS name",
+            "CASE o_orderpriority WHEN '4-NOT SPECIFIED' THEN '' ELSE c_name END AS name",
+            "c_name AS full_name",
             "c_nationkey AS age",
             "c_mktsegment || ' ' || o_orderpriority AS text",
             "c_mktsegment AS tags",
-            "'https://img.example.com/u/' || c_nationkey || '/' || o_custkey || '.jpg?sig=' || o_orderkey AS url",
+            "CASE o_orderpriority WHEN '5-LOW' THEN '' ELSE 'https://img.example.com/u/' || o_custkey || '/' || c_nationkey "
+            "|| '.jpg?sig=' || o_orderkey END AS url",
             "o_custkey AS target_index",
             "c_mktsegment AS target_signature",
             "o_totalprice / 500000D AS p",
