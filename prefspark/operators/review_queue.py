@@ -135,7 +135,7 @@ def best_per_key(df: DataFrame, keys: Sequence[str], rank: Sequence[Column], col
 
 
 def retention_candidates(
-    assets: DataFrame, counts: DataFrame, keys: Sequence[str], mtime: str, id_column: str, now: int, grace: int, max_files: int, width: int
+    assets: DataFrame, counts: DataFrame, keys: Sequence[str], mtime: str, id_column: str, now: Column | int, grace: int, max_files: int, width: int
 ) -> DataFrame:
     """Assets that may be deleted, oldest first, as many as exceed ``max_files``.
 
@@ -201,6 +201,16 @@ def page_slice(ordered: DataFrame, page: int, per_page: int) -> DataFrame:
     return ordered.offset(page * per_page).limit(per_page)
 
 
+def next_unreviewed(counts: DataFrame, asset: str, reviews: str, current) -> DataFrame:
+    """One row: the first asset without reviews after ``current``, going round; if all have some, simply the next one."""
+    a, free = F.col(asset), F.col(reviews) == 0
+    return counts.agg(
+        F.coalesce(
+            F.min(F.when(free & (a > current), a)), F.min(F.when(free, a)), F.min(F.when(a > current, a)), F.min(a)
+        ).alias("next_asset")
+    )
+
+
 def bounded_queue(incoming: DataFrame, key: Column, order: str, recent: DataFrame, queued: DataFrame, cap: int) -> DataFrame:
     """Rows that may join the queue: not recent, not queued, first of their key; the newest beyond ``cap`` are dropped."""
     keyed = incoming.withColumn("_key", key)

@@ -8,6 +8,8 @@ FAMILIES = (
     "evaluation",
     "signals_q",
     "matching",
+    "queue_q",
+    "event_rules",
 )
 
 
