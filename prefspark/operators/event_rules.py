@@ -6,7 +6,7 @@ is a true chain (cooldown, flip-flop) are cut into buckets as well and stitched
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,10 @@ from prefspark.operators.bucketed import HOUR, ordered_scan, rolling_range, with
 from prefspark.session import cut_lineage
 
 
+def ddl(df: DataFrame, columns: Sequence[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*columns).schema)
+
+
 def dedupe_ttl(df: DataFrame, keys: Sequence[str], ts: str, tie: str, ttl: int, width: int = 24 * HOUR) -> DataFrame:
     """Flag rows whose key was seen within ``ttl``; every sighting refreshes the clock."""
     scanned = ordered_scan(df, keys, ts, tie, width, previous={"_prev": F.col(ts)})
@@ -100,7 +104,7 @@ def cooldown(df: DataFrame, keys: Sequence[str], ts: str, tie: str, seconds: int
     keys = list(keys)
     width = max(width or 0, 64 * seconds)
     rows = with_bucket(df.select(*keys, ts, tie), ts, width)
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+    key_schema = ddl(df, keys)
 
     def entry_steps(group: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(frame[ts].to_numpy())
@@ -155,72 +159,72 @@ def threshold_alerts(df: DataFrame, keys: Sequence[str], ts: str, tie: str, wind
     return cooldown(loud, keys, ts, tie, cooldown_for)
 
 
-STATE = "cur string, cur_same string, prev string, prev_same string, changed bigint"
-_BLANK = {"cur": "", "cur_same": "", "prev": "", "prev_same": "", "changed": 0}
+STATE = {"cur": "string", "cur_same": "string", "prev": "string", "prev_same": "string", "changed": "bigint"}
+BLANK = ("", "", "", "", 0)
 
 
-def flipflop_fold(frame: pd.DataFrame, ts: str, who: str, same: str, state: dict, hold: int) -> tuple[list[bool], dict]:
-    """Walk rows in order: a return to the previous id within ``hold``, under the same name, is ignored."""
-    cur, cur_same, prev, prev_same, changed = (state[n] for n in _BLANK)
-    ignored = []
-    for at, item, name in zip(frame[ts], frame[who], frame[same]):
-        back = item and cur and item != cur and item == prev and name == cur_same == prev_same and at - changed <= hold
-        ignored.append(bool(back))
-        if not back and (item != cur or name != cur_same):
-            prev, prev_same, changed = cur, cur_same, at
-            cur, cur_same = item, name
-    return ignored, dict(zip(_BLANK, (cur, cur_same, prev, prev_same, changed)))
+def flipflop_step(state: tuple, at: int, item: str, name: str, hold: int) -> tuple[bool, tuple]:
+    """One row: a return to the previous id within ``hold``, under the same name, is ignored and moves nothing."""
+    cur, cur_same, prev, prev_same, changed = state
+    if item and cur and item != cur and item == prev and name == cur_same == prev_same and at - changed <= hold:
+        return True, state
+    if item == cur and name == cur_same:
+        return False, state
+    return False, (item, name, cur, cur_same, at)
 
 
 def flipflop(df: DataFrame, keys: Sequence[str], ts: str, tie: str, who: str, same: str, hold: int, width: int = 24 * HOUR) -> DataFrame:
     """Flag rows that only flip back to the previous id (``who``), ``same`` being the name that must agree.
 
-    Buckets are folded from a guessed entry state and re-folded while the exit of the bucket before them disagrees with
-    the guess; at the fixed point every bucket was entered with its true state. Usually one or two rounds are enough,
-    since a bucket's exit seldom depends on how it was entered.
+    Each (key, bucket) is walked from a guessed entry state, and walked again while the exit of the bucket before it
+    disagrees with the guess; at the fixed point every bucket was entered with its true state. A bucket's exit seldom
+    depends on how it was entered, so few rounds are needed, and only stale buckets are read again. Rows are sorted
+    within partitions and streamed: a task holds one Arrow batch and one state.
     """
-    keys = list(keys)
+    group = [*keys, "_bucket"]
+    state = F.struct(*STATE)
     rows = with_bucket(df.select(*keys, ts, tie, who, same), ts, width)
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-    group_keys = [*keys, "_bucket"]
-    names = list(_BLANK)
-
-    def fold(group: tuple, frame: pd.DataFrame, starts: pd.DataFrame) -> tuple[pd.DataFrame, list[bool], dict, dict]:
-        start = dict(starts.iloc[0][names]) if len(starts) else dict(_BLANK)
-        frame = frame.sort_values([ts, tie])
-        ignored, final = flipflop_fold(frame, ts, who, same, start, hold)
-        return frame, ignored, start, final
-
-    def exits(group: tuple, frame: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
-        if not len(frame):
-            return pd.DataFrame(columns=[*group_keys, *names])
-        final = fold(group, frame, starts)[3]
-        return pd.DataFrame([dict(zip(group_keys, group)) | final])
-
-    def flags(group: tuple, frame: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
-        frame, ignored, _, _ = fold(group, frame, starts)
-        return frame.assign(ignored=ignored)[[*keys, ts, tie, "ignored"]]
-
-    schema = f"{key_schema}, _bucket bigint, {STATE}"
+    blank = F.struct(*[F.lit(v).cast(t).alias(n) for (n, t), v in zip(STATE.items(), BLANK)])
+
+    def walk(entered: DataFrame, schema, emit_rows: bool) -> DataFrame:
+        ordered = entered.select(*rows.columns, *[F.col(f"entry.{n}").alias(n) for n in STATE])
+        ordered = ordered.repartition(*group).sortWithinPartitions(*group, ts, tie)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            current, now, ends = None, BLANK, []
+            for frame in batches:
+                marks = []
+                inputs = zip(*[frame[c] for c in (*group, ts, who, same, *STATE)])
+                for values in inputs:
+                    this, (at, item, name) = values[: len(group)], values[len(group) : len(group) + 3]
+                    if this != current:
+                        if current is not None:
+                            ends.append((*current, *now))
+                        current, now = this, values[len(group) + 3 :]
+                    ignored, now = flipflop_step(now, at, item, name, hold)
+                    marks.append(ignored)
+                if emit_rows:
+                    yield frame[[*keys, ts, tie]].assign(ignored=marks)
+            if current is not None:
+                ends.append((*current, *now))
+            if not emit_rows:
+                yield pd.DataFrame(ends, columns=[*group, *STATE])
+
+        return ordered.mapInPandas(run, schema)
+
+    exit_schema = ", ".join([ddl(rows, group), *[f"{name} {kind}" for name, kind in STATE.items()]])
+
+    def exits(entered: DataFrame) -> DataFrame:
+        return walk(entered, exit_schema, False).select(*group, state.alias("exit"))
+
+    table = cut_lineage(exits(rows.withColumn("entry", blank)).withColumn("entry", blank))
     before = Window.partitionBy(*keys).orderBy("_bucket")
-
-    def entries_of(final: DataFrame) -> DataFrame:
-        state = F.lag(F.struct(*names)).over(before)
-        return final.select(*group_keys, state.alias("_s")).filter(F.col("_s").isNotNull()).select(*group_keys, "_s.*")
-
-    blank = rows.select(*group_keys).limit(0).select(*group_keys, *[F.lit(v).cast("bigint" if n == "changed" else "string").alias(n) for n, v in _BLANK.items()])
-    final = cut_lineage(rows.groupBy(*group_keys).cogroup(blank.groupBy(*group_keys)).applyInPandas(exits, schema))
-    used = blank
     while True:
-        entries = cut_lineage(entries_of(final))
-        moved = entries.join(used, [*group_keys, *names], "left_anti").select(*group_keys)
-        moved = cut_lineage(moved)
-        if moved.isEmpty():
+        wanted = table.withColumn("want", F.coalesce(F.lag("exit").over(before), blank))
+        stale = wanted.filter(F.col("want") != F.col("entry")).select(*group, F.col("want").alias("entry"))
+        if stale.isEmpty():
             break
-        redo = rows.join(moved, group_keys, "left_semi")
-        again = redo.groupBy(*group_keys).cogroup(entries.groupBy(*group_keys)).applyInPandas(exits, schema)
-        again = again.join(moved, group_keys, "left_semi")
-        final = cut_lineage(final.join(moved, group_keys, "left_anti").unionByName(again))
-        used = entries
-    out_fields = df.select(*keys, ts, tie).schema.add("ignored", "boolean")
-    return rows.groupBy(*group_keys).cogroup(entries.groupBy(*group_keys)).applyInPandas(flags, out_fields)
+        redone = exits(rows.join(stale, group)).join(stale, group)
+        table = cut_lineage(table.join(stale.select(*group), group, "left_anti").unionByName(redone))
+    flagged = rows.join(table.select(*group, "entry"), group)
+    return walk(flagged, f"{ddl(df, [*keys, ts, tie])}, ignored boolean", True)
