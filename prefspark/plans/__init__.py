@@ -10,6 +10,8 @@ FAMILIES = (
     "matching",
     "queue_q",
     "event_rules",
+    "vectors_q",
+    "sources_q",
 )
 
 
