@@ -12,6 +12,7 @@ FAMILIES = (
     "event_rules",
     "vectors_q",
     "sources_q",
+    "feature_store",
 )
 
 

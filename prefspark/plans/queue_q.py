@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from prefspark.functions import feedback as FB
 from prefspark.functions.numeric import half_up as rounded
 from prefspark.operators import bucketed as B
+from prefspark.operators import heads
 from prefspark.operators import keys as K
 from prefspark.operators import labelled as LB
 from prefspark.operators import review_queue as Q
@@ -321,8 +323,6 @@ def history_anti_join(t):
        AND id NOT IN (SELECT target_index FROM reviews WHERE review_mode = 'quick_agree_recheck' AND p > 0.8)""",
 )
 def recheck_enqueue(t):
-    from prefspark.functions import feedback as FB
-
     plain = FB.is_plain_agree(F.lit("real"), F.col("feedback_domain"), F.col("label"), F.col("details"))
     asked = t.reviews.filter((F.col("review_mode") == Q.RECHECK_MODE) & (F.col("p") > 0.8)).select(F.col("target_index").alias("id")).distinct()
     fresh = t.feedback.filter(plain).join(asked, "id", "left_anti")
@@ -372,7 +372,5 @@ def coverage_report(t):
         FROM (SELECT label, unnest(['n_chars', 'src_no', 'p']) AS feature, unnest([n_chars::DOUBLE, src_no::DOUBLE, p]) AS v FROM labelled) GROUP BY 1""",
 )
 def class_mean_direction(t):
-    from prefspark.operators.heads import class_mean_direction as direction
-
-    means = direction(t.labelled, "label", ["n_chars", "src_no", "p"])
+    means = heads.class_mean_direction(t.labelled, "label", ["n_chars", "src_no", "p"])
     return means.select("feature", rounded("like_mean", 6).alias("like_mean"), rounded("pass_mean", 6).alias("pass_mean"), "direction")
