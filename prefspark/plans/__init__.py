@@ -13,6 +13,7 @@ FAMILIES = (
     "vectors_q",
     "sources_q",
     "feature_store",
+    "streams",
 )
 
 
