@@ -21,6 +21,50 @@ def ddl(df: DataFrame, columns: Sequence[str]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*columns).schema)
 
 
+Batches = Iterator[pd.DataFrame]
+
+
+def grouped_arrays(batches: Batches, keys: Sequence[str], columns: Sequence[str]) -> Iterator[tuple[tuple, list[np.ndarray]]]:
+    """(key, arrays) of every run of equal keys in a sorted partition; only the open run is held across batches."""
+    held_key, held = None, []
+    for frame in batches:
+        if not len(frame):
+            continue
+        key_arrays, arrays = [frame[k].to_numpy() for k in keys], [frame[c].to_numpy() for c in columns]
+        fresh = np.zeros(len(frame), dtype=bool)
+        fresh[0] = True
+        for values in key_arrays:
+            fresh[1:] |= values[1:] != values[:-1]
+        starts = np.flatnonzero(fresh)
+        for begin, end in zip(starts, np.append(starts[1:], len(frame))):
+            key, part = tuple(v[begin] for v in key_arrays), [a[begin:end] for a in arrays]
+            if key == held_key:
+                held = [np.concatenate(pair) for pair in zip(held, part)]
+                continue
+            if held_key is not None:
+                yield held_key, held
+            held_key, held = key, part
+    if held_key is not None:
+        yield held_key, held
+
+
+def merged(produce, rows: int = 20_000):
+    """Wrap a producer of many small frames so that it hands over fewer, larger ones."""
+
+    def run(batches: Batches) -> Batches:
+        waiting, size = [], 0
+        for frame in produce(batches):
+            waiting.append(frame)
+            size += len(frame)
+            if size >= rows:
+                yield pd.concat(waiting, ignore_index=True)
+                waiting, size = [], 0
+        if waiting:
+            yield pd.concat(waiting, ignore_index=True)
+
+    return run
+
+
 def dedupe_ttl(df: DataFrame, keys: Sequence[str], ts: str, tie: str, ttl: int, width: int = 24 * HOUR) -> DataFrame:
     """Flag rows whose key was seen within ``ttl``; every sighting refreshes the clock."""
     scanned = ordered_scan(df, keys, ts, tie, width, previous={"_prev": F.col(ts)})
@@ -106,51 +150,48 @@ def cooldown(df: DataFrame, keys: Sequence[str], ts: str, tie: str, seconds: int
     rows = with_bucket(df.select(*keys, ts, tie), ts, width)
     key_schema = ddl(df, keys)
 
-    def entry_steps(group: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(frame[ts].to_numpy())
-        start = int(group[-1]) * width
-        entries = np.arange(int(np.searchsorted(times, start + seconds, "left")) + 1)
-        entries = entries[entries < len(times)]
-        follow, last = np.searchsorted(times, times + seconds, "left"), entries.copy()
-        moving = np.ones(len(last), dtype=bool)
-        while moving.any():
-            nxt = follow[last]
-            moving = nxt < len(times)
-            last[moving] = nxt[moving]
-        final = times[last]
-        keep = np.append(final[1:] != final[:-1], True) if len(final) else np.zeros(0, dtype=bool)
-        out = pd.DataFrame({"upto": times[entries][keep], "final": final[keep]})
-        for name, value in zip(keys, group[:-1]):
-            out[name] = value
-        return out.assign(_bucket=group[-1])
-
-    def entered(group: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["_bucket", "upto"])
-        allowed, buckets, starts = np.iinfo(np.int64).min, [], []
-        for bucket, part in frame.groupby("_bucket", sort=True):
-            buckets.append(bucket)
-            starts.append(allowed)
-            at = int(np.searchsorted(part["upto"].to_numpy(), allowed, "left"))
-            if at < len(part):
-                allowed = int(part["final"].iloc[at]) + seconds
-        out = pd.DataFrame({"_bucket": buckets, "_allowed": starts})
-        for name, value in zip(keys, group):
-            out[name] = value
-        return out
-
-    def emissions(group: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([ts, tie])
-        times, allowed, chosen = frame[ts].to_numpy(), frame["_allowed"].iloc[0], []
-        at = int(np.searchsorted(times, allowed, "left"))
-        while at < len(times):
-            chosen.append(at)
-            at = int(np.searchsorted(times, times[at] + seconds, "left"))
-        return frame.iloc[chosen][[*keys, ts, tie]]
-
-    steps = rows.groupBy(*keys, "_bucket").applyInPandas(entry_steps, f"{key_schema}, _bucket bigint, upto bigint, final bigint")
-    starts = steps.groupBy(*keys).applyInPandas(entered, f"{key_schema}, _bucket bigint, _allowed bigint")
-    out_schema = df.select(*keys, ts, tie).schema
-    return rows.join(starts, [*keys, "_bucket"]).groupBy(*keys, "_bucket").applyInPandas(emissions, out_schema)
+    def entry_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group, (times,) in grouped_arrays(batches, [*keys, "_bucket"], [ts]):
+            entries = np.arange(int(np.searchsorted(times, int(group[-1]) * width + seconds, "left")) + 1)
+            entries = entries[entries < len(times)]
+            follow, last = np.searchsorted(times, times + seconds, "left"), entries.copy()
+            moving = np.ones(len(last), dtype=bool)
+            while moving.any():
+                nxt = follow[last]
+                moving = nxt < len(times)
+                last[moving] = nxt[moving]
+            final = times[last]
+            keep = np.append(final[1:] != final[:-1], True)
+            yield pd.DataFrame({n: [v] * int(keep.sum()) for n, v in zip([*keys, "_bucket"], group)} | {"upto": times[entries][keep], "final": final[keep]})
+
+    def entered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group, (buckets, upto, final) in grouped_arrays(batches, keys, ["_bucket", "upto", "final"]):
+            allowed, numbers, starts = np.iinfo(np.int64).min, [], []
+            edges = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1]))
+            for begin, end in zip(edges, np.append(edges[1:], len(buckets))):
+                numbers.append(buckets[begin])
+                starts.append(allowed)
+                at = begin + int(np.searchsorted(upto[begin:end], allowed, "left"))
+                if at < end:
+                    allowed = int(final[at]) + seconds
+            yield pd.DataFrame({n: [v] * len(numbers) for n, v in zip(keys, group)} | {"_bucket": numbers, "_allowed": starts})
+
+    def emissions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group, (times, ties, allowed) in grouped_arrays(batches, [*keys, "_bucket"], [ts, tie, "_allowed"]):
+            chosen, at = [], int(np.searchsorted(times, allowed[0], "left"))
+            while at < len(times):
+                chosen.append(at)
+                at = int(np.searchsorted(times, times[at] + seconds, "left"))
+            yield pd.DataFrame({n: [v] * len(chosen) for n, v in zip(keys, group)} | {ts: times[chosen], tie: ties[chosen]})
+
+    def sorted_by(frame: DataFrame, group: list[str], *order: str) -> DataFrame:
+        return frame.repartition(*group).sortWithinPartitions(*group, *order)
+
+    place = [*keys, "_bucket"]
+    steps = sorted_by(rows, place, ts).mapInPandas(merged(entry_steps), f"{key_schema}, _bucket bigint, upto bigint, final bigint")
+    starts = sorted_by(steps, keys, "_bucket", "upto").mapInPandas(merged(entered), f"{key_schema}, _bucket bigint, _allowed bigint")
+    opened = sorted_by(rows.join(starts, place), place, ts, tie)
+    return opened.mapInPandas(merged(emissions), ddl(df, [*keys, ts, tie]))
 
 
 def threshold_alerts(df: DataFrame, keys: Sequence[str], ts: str, tie: str, window: int, threshold: int, cooldown_for: int) -> DataFrame:

@@ -37,9 +37,10 @@ def confusion_columns(tp: Column, fp: Column, tn: Column, fn: Column) -> dict[st
     }
 
 
-def evaluation_cells(df: DataFrame, y: str, p: str, n_bins: int = 10) -> DataFrame:
+def evaluation_cells(df: DataFrame, y: str, p: str, n_bins: int = 10, keep_unscored: bool = False) -> DataFrame:
     """Everything the evaluation needs, from one pass: counts and error sums per (bin, range, thresholds reached, label).
 
+    ``keep_unscored`` also counts the rows without a probability, as bin -1.
     The result has at most a few hundred rows whatever the size of the data, so all metrics below are derived from it.
     """
     edges = [i * (1.0 / n_bins) for i in range(n_bins)]
@@ -47,8 +48,10 @@ def evaluation_cells(df: DataFrame, y: str, p: str, n_bins: int = 10) -> DataFra
     bin_no = reduce(lambda acc, i: acc.when(prob < edges[i + 1], i), range(n_bins - 1), F).otherwise(n_bins - 1)
     part = F.when(prob < RANGES[0][1], 0).when(prob < RANGES[1][1], 1).otherwise(2)
     reached = reduce(lambda acc, i: acc.when(prob < THRESHOLDS[i], i), range(len(THRESHOLDS)), F).otherwise(len(THRESHOLDS))
+    known = prob.isNotNull()
+    bin_no, part, reached = (F.when(known, c).otherwise(-1) for c in (bin_no, part, reached))
     return (
-        df.filter(prob.isNotNull() & label.isNotNull())
+        df.filter(label.isNotNull() if keep_unscored else known & label.isNotNull())
         .groupBy(bin_no.alias("bin"), part.alias("part"), reached.alias("reached"), label.alias("y"))
         .agg(
             F.count("*").alias("n"),
@@ -181,26 +184,34 @@ def evaluation_report(
     holdout = split.filter("is_holdout").withColumn(
         p, F.when(F.col(p).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(p))))
     )
-    # one pass over the holdout; the few hundred cells feed every block below
-    cells = evaluation_cells(holdout, label, p).persist()
+    # one pass over the holdout and one over all rows; the few hundred cells feed every block below
+    held_cells = evaluation_cells(holdout, label, p, keep_unscored=True).persist()
+    cells = held_cells.filter("bin >= 0")
     best = best_threshold(cells)
     step = reduce(lambda acc, i: acc.when(F.col("like_threshold") == THRESHOLDS[i], i), range(len(THRESHOLDS)), F)
     stepped = cells.join(F.broadcast(best.select(step.alias("step"))))  # one row
     bins = _bin_rows(cells)
     bin_no = F.col("bin").cast("string")
 
-    dataset = rows.agg(
-        F.count("*").alias("real_rows"),
-        F.count(label).alias("trainable_rows"),
-        half_up(F.coalesce(F.avg(F.col(label).cast("double")), F.lit(0.0)), 4).alias("like_rate"),
-        F.count_if(corrected).alias("manual_corrected"),
-        F.count_if(F.col(tier) == "strong_like").alias("strong_like_rows"),
-        F.count_if(target).alias("target_action_rows"),
+    row_cells = rows.groupBy(domain, correction).agg(
+        F.count("*").alias("n"),
+        F.count(label).alias("labelled"),
+        F.sum(label).alias("liked"),
+        F.count_if(corrected).alias("corrected"),
+        F.count_if(F.col(tier) == "strong_like").alias("strong"),
+        F.count_if(target).alias("targets"),
+    ).persist()
+    dataset = row_cells.agg(
+        F.sum("n").alias("real_rows"),
+        F.sum("labelled").alias("trainable_rows"),
+        half_up(F.coalesce(F.sum("liked") / F.sum("labelled"), F.lit(0.0)), 4).alias("like_rate"),
+        F.sum("corrected").alias("manual_corrected"),
+        F.sum("strong").alias("strong_like_rows"),
+        F.sum("targets").alias("target_action_rows"),
     )
-    held = holdout.agg(
-        F.count("*").alias("holdout_rows"),
-        F.count(p).alias("evaluated_rows"),
-        half_up(_ratio(F.count(p), F.count("*")), 4).alias("probability_coverage"),
+    scored = _total(F.col("bin") >= 0)
+    held = held_cells.agg(
+        F.sum("n").alias("holdout_rows"), scored.alias("evaluated_rows"), half_up(_ratio(scored, F.sum("n")), 4).alias("probability_coverage")
     )
     rates = ("tp", "fp", "tn", "fn", "precision", "recall", "specificity", "f1", "accuracy")
     blocks = [
@@ -216,7 +227,7 @@ def evaluation_report(
         ),
     ]
     for column in (domain, correction):
-        counts = value_counts(rows, column)
+        counts = row_cells.groupBy(F.col(column).cast("string").alias("value")).agg(F.sum("n").alias("n")).filter("value <> ''")
         blocks.append(
             counts.select(F.lit(f"by_{column}").alias("block"), F.col("value").alias("metric"), F.col("n").cast("double").alias("value"))
         )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from prefspark.functions.labels import detail
 from prefspark.functions.numeric import half_up
-from prefspark.functions.text import BLOCKED_BIGRAMS_PT, STOPWORDS_PT, is_signal_candidate, ngrams_of, normalize_key, parse_list, raw_tokens
+from prefspark.functions.text import BLOCKED_BIGRAMS_PT, STOPWORDS_PT, candidate_bigrams, ngrams_of, normalize_key, parse_list, raw_tokens
 
 # fixed values: signal kinds, polarities, the default weight and its limits
 KINDS = ("interest", "bio", "descriptor")
@@ -50,18 +50,15 @@ def valid_signals(df: DataFrame) -> DataFrame:
     return clean_signals(df).filter(F.col("reason").isNull() & (F.col("signal_norm") != "")).drop("reason")
 
 
-def _entries(kind: str, norms: Column, likes: Column, dislikes: Column, veto_pos: int = 0, veto_neg: int = 0) -> Column:
-    return F.transform(
-        norms,
-        lambda x: F.struct(
-            F.lit(kind).alias("kind"),
-            x.alias("norm"),
-            likes.cast("bigint").alias("likes"),
-            dislikes.cast("bigint").alias("dislikes"),
-            F.lit(veto_pos).cast("bigint").alias("not_positive"),
-            F.lit(veto_neg).cast("bigint").alias("not_negative"),
-            F.lit(not (veto_pos or veto_neg)).alias("counted"),
-        ),
+def _group(kind: str, norms: Column, likes: Column, dislikes: Column, veto_pos: int = 0, veto_neg: int = 0) -> Column:
+    return F.struct(
+        F.lit(kind).alias("kind"),
+        norms.alias("norms"),
+        likes.cast("bigint").alias("likes"),
+        dislikes.cast("bigint").alias("dislikes"),
+        F.lit(veto_pos).cast("bigint").alias("not_positive"),
+        F.lit(veto_neg).cast("bigint").alias("not_negative"),
+        F.lit(not (veto_pos or veto_neg)).alias("counted"),
     )
 
 
@@ -97,17 +94,18 @@ def signal_rows(
     plain = F.when(untaught, when_domain("descriptors", all_items)).otherwise(none)
     one, zero = F.lit(1), F.lit(0)
     groups = [
-        _entries("interest", interests, liked, passed),
-        _entries("bio", tokens, liked, passed),
-        _entries("descriptor", F.col("_pos"), one, zero),
-        _entries("descriptor", F.array_except("_neg", "_pos"), zero, one),
-        _entries("descriptor", plain, liked, passed),
+        _group("interest", interests, liked, passed),
+        _group("bio", tokens, liked, passed),
+        _group("descriptor", F.col("_pos"), one, zero),
+        _group("descriptor", F.array_except("_neg", "_pos"), zero, one),
+        _group("descriptor", plain, liked, passed),
     ]
     for kind in KINDS:
         for key, pos, neg in ((f"{kind}_not_positive", 1, 0), (f"{kind}_not_negative", 0, 1)):
             vetoed = F.filter(F.transform(parse_list(detail(details, key)), lambda x: normalize_key(x)), lambda x: x != "")
-            groups.append(_entries(kind, vetoed, zero, zero, pos, neg))
-    return staged.select(F.inline(F.concat(*groups)))
+            groups.append(_group(kind, vetoed, zero, zero, pos, neg))
+    flat = staged.select(F.inline(F.array(*groups)))
+    return flat.select("kind", F.explode("norms").alias("norm"), "likes", "dislikes", "not_positive", "not_negative", "counted")
 
 
 def feedback_rows(signals: DataFrame) -> DataFrame:
@@ -171,58 +169,46 @@ def vetoed_score() -> Column:
 def token_score_join(items: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Score the items (key, kind, pos, norm) of each row against the table: mean score, hits, first five signals.
 
-    Repeats count. They are folded to one row per (key, kind, norm) before the join, with the positions of the first
-    few uses kept, so a token used a million times in a text is joined once.
+    Repeats count. Unknown items drop out in the join, so only scored ones are shuffled to their row; the lists that
+    are gathered are the hits inside one row's own text.
     """
-    folded = items.groupBy(key, "kind", "norm").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.sort_array(
-        F.collect_list("pos")
-    ).alias("all_pos")).withColumn("first_uses", F.slice("all_pos", 1, SHOWN)).drop("all_pos")
+    enough = F.col("likes") + F.col("dislikes") >= MIN_EVIDENCE
+    score = vetoed_score()
     known = table.filter("counted").select(
         "kind",
         "norm",
-        vetoed_score().alias("score"),
-        ((F.col("likes") + F.col("dislikes") >= MIN_EVIDENCE) & (F.col("not_positive") == 0)).alias("may_like"),
-        ((F.col("likes") + F.col("dislikes") >= MIN_EVIDENCE) & (F.col("not_negative") == 0)).alias("may_dislike"),
-    )
-    joined = folded.join(known, ["kind", "norm"]).withColumns(
-        {
-            "liked": F.col("may_like") & (F.col("score") >= LIKED),
-            "disliked": F.col("may_dislike") & (F.col("score") <= DISLIKED),
-        }
+        score.alias("score"),
+        (enough & (F.col("not_positive") == 0) & (score >= LIKED)).alias("liked"),
+        (enough & (F.col("not_negative") == 0) & (score <= DISLIKED)).alias("disliked"),
     )
+    joined = items.join(known, ["kind", "norm"])
 
     def shown(flag: str) -> Column:
-        uses = F.flatten(
-            F.collect_list(
-                F.when(F.col(flag), F.transform("first_uses", lambda p: F.struct(p.alias("pos"), F.col("norm").alias("norm"))))
-            )
-        )
-        return F.array_join(F.transform(F.slice(F.sort_array(uses), 1, SHOWN), lambda u: u["norm"]), ",")
+        uses = F.sort_array(F.collect_list(F.when(F.col(flag), F.struct("pos", "norm"))))
+        return F.array_join(F.transform(F.slice(uses, 1, SHOWN), lambda u: u["norm"]), ",")
 
     return joined.groupBy(key, "kind").agg(
-        half_up(F.sum(F.col("score") * F.col("n")) / F.sum("n"), 4).alias("score"),
-        F.sum(F.when(F.col("liked"), F.col("n")).otherwise(0)).alias("positive_hits"),
-        F.sum(F.when(F.col("disliked"), F.col("n")).otherwise(0)).alias("negative_hits"),
+        half_up(F.avg("score"), 4).alias("score"),
+        F.count_if("liked").alias("positive_hits"),
+        F.count_if("disliked").alias("negative_hits"),
         shown("liked").alias("positive_signals"),
         shown("disliked").alias("negative_signals"),
     )
 
 
-def _placed(kind: str, values: Column) -> Column:
-    return F.transform(values, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), x.alias("norm")))
-
-
-def _shown(kind: str, values: Column) -> Column:
-    return F.transform(values, lambda x: F.struct(F.lit(kind).alias("kind"), F.trim(x).alias("display")))
-
-
 def item_signals(df: DataFrame, key: str, text: str, tags: str, items: str, stopwords: Sequence[str] = STOPWORDS_PT) -> DataFrame:
     """(key, kind, pos, norm) of everything that can be scored in a row; repeats are kept."""
-    raw = df.select(key, tags, items, raw_tokens(text).alias("_raw"))
     norms = F.filter(F.transform(F.col(tags), lambda x: normalize_key(x)), lambda x: x != "")
-    groups = [("interest", norms), ("bio", ngrams_of(F.col("_raw"), stopwords)), ("descriptor", F.col(items))]
-    entries = [_placed(kind, values) for kind, values in groups]
-    return raw.select(key, F.inline(F.concat(*entries)))
+    raw = df.select(key, norms.alias("_tags"), F.col(items).alias("_items"), raw_tokens(text).alias("_raw"))
+    flat = raw.select(
+        key,
+        F.size("_tags").alias("_first"),
+        F.size("_items").alias("_last"),
+        F.concat("_tags", "_items", ngrams_of(F.col("_raw"), stopwords)).alias("_all"),
+    )
+    placed = flat.select(key, "_first", "_last", F.posexplode("_all").alias("pos", "norm"))
+    kind = F.when(F.col("pos") < F.col("_first"), KINDS[0]).when(F.col("pos") < F.col("_first") + F.col("_last"), KINDS[2]).otherwise(KINDS[1])
+    return placed.select(key, kind.alias("kind"), "pos", "norm")
 
 
 def profile_text_score(df: DataFrame, table: DataFrame, key: str, text: str, tags: str, items: str, stopwords: Sequence[str] = STOPWORDS_PT) -> DataFrame:
@@ -243,13 +229,16 @@ def profile_text_score(df: DataFrame, table: DataFrame, key: str, text: str, tag
 def signal_occurrences(df: DataFrame, key: str, label: str, text: str, tags: str, displays: str, stopwords: Sequence[str], blocked: Sequence[str] = BLOCKED_BIGRAMS_PT) -> DataFrame:
     """(key, label, kind, display, norm): every tag, candidate bigram (once per row) and attribute of the rows."""
     raw = df.select(key, label, tags, displays, raw_tokens(text).alias("_raw"))
-    bigrams = F.filter(
-        F.array_distinct(ngrams_of(F.col("_raw"), stopwords)), lambda x: is_signal_candidate(x, stopwords, blocked, normalized=True)
-    )
-    groups = [("interest", F.col(tags)), ("bio", bigrams), ("descriptor", F.col(displays))]
-    entries = [_shown(kind, values) for kind, values in groups]
-    flat = raw.select(key, label, F.inline(F.concat(*entries)))
-    return flat.withColumn("norm", normalize_key("display")).filter(F.col("norm") != "")
+    bigrams = F.array_distinct(candidate_bigrams(F.col("_raw"), stopwords, blocked))
+    groups = [
+        F.struct(F.lit(kind).alias("kind"), values.alias("displays"))
+        for kind, values in (("interest", F.col(tags)), ("bio", bigrams), ("descriptor", F.col(displays)))
+    ]
+    grouped = raw.select(key, label, F.inline(F.array(*groups)))
+    flat = grouped.select(key, label, "kind", F.explode("displays").alias("display"))
+    # bigrams are normalized already; normalizing them again would be most of the work
+    norm = F.when(F.col("kind") == "bio", F.col("display")).otherwise(normalize_key("display"))
+    return flat.withColumns({"display": F.trim("display"), "norm": norm}).filter(F.col("norm") != "")
 
 
 def signal_candidates(

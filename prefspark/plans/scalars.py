@@ -84,9 +84,8 @@ def tokenize_ngrams(t):
 )
 def signal_candidate_predicate(t):
     raw = t.documents.select(F.col("doc_id").alias("id"), T.raw_tokens("text").alias("raw"))
-    toks = raw.select("id", T.ngrams_of(F.col("raw"), STOPS_EN).alias("toks"))
-    kept = F.filter("toks", lambda x: T.is_signal_candidate(x, STOPS_EN, ("and the",), normalized=True))
-    return toks.select("id", F.size(kept).cast("bigint").alias("candidates"))
+    kept = T.candidate_bigrams(F.col("raw"), STOPS_EN, ("and the",))
+    return raw.select("id", F.size(kept).cast("bigint").alias("candidates"))
 
 
 @query(

@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prefspark.session import spread
+
 VIEWS: dict[str, str] = {
     # items: one row per document
     "items": """
@@ -90,8 +92,20 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
+        return self._read(name)
+
+    def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        """Whole texts make for heavy tasks, so a scan with too few of them is spread."""
+        return spread(self._read("documents"), "doc_id")
+
+    @cached_property
+    def pages(self) -> DataFrame:
+        return spread(self._read("pages"), "page_id")
+
     @cached_property
     def items(self) -> DataFrame:
         size = F.when(F.col("n_chars") < 1000, "short").when(F.col("n_chars") < 4000, "medium").otherwise("long")
@@ -143,7 +157,7 @@ class Tables:
 
     @cached_property
     def reviews(self) -> DataFrame:
-        joined = self.orders.join(self.customer, F.col("o_custkey") == F.col("c_custkey"))
+        joined = spread(self.orders, "o_orderkey").join(self.customer, F.col("o_custkey") == F.col("c_custkey"))
         return joined.selectExpr(
             "o_orderkey AS review_id",
             "o_orderdate AS created_at",
@@ -167,7 +181,7 @@ class Tables:
 
     @cached_property
     def decisions(self) -> DataFrame:
-        return self.events.select(
+        return spread(self.events, "event_id").select(
             "event_id",
             "user_id",
             F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),

@@ -52,3 +52,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Even out a scan that gives fewer tasks than there are cores (a single large row group, say).
+
+    Scans of many files or row groups pass through unchanged, so large inputs pay no shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
