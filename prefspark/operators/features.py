@@ -51,7 +51,9 @@ def lexicon_sentiment(items: DataFrame, lexicon: DataFrame, key: str, text: str)
 
     Words are counted per item before the join, so a common word costs one row per item and not one per use.
     """
-    words = items.select(key, F.explode(raw_tokens(text)).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
+    # the outer form keeps the optimizer from adding a size(...) > 0 filter, which would tokenize every text twice
+    exploded = items.select(key, F.explode_outer(raw_tokens(text)).alias("word")).filter(F.col("word").isNotNull())
+    words = exploded.groupBy(key, "word").agg(F.count("*").alias("n"))
     scored = words.join(lexicon, "word").groupBy(key).agg(
         (F.sum(F.col("polarity") * F.col("n")) / F.sum("n")).alias("sentiment")
     )

@@ -6,6 +6,8 @@ keys are exploded and matched by equality. Matching is deliberately not transiti
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +18,15 @@ from prefspark.functions.urls import url_identity_keys, url_parts
 WEAK_KINDS = ("name_age",)
 
 
+_EMPTY_TEXT = hashlib.sha1(SEP.encode()).hexdigest()  # digest of a record with neither text nor tags
+
+
 def _key(kind: str, *parts: Column) -> Column:
-    """One typed key, null when any part is missing."""
-    return F.when(
-        F.concat(*parts).isNotNull(), F.struct(F.lit(kind).alias("kind"), F.concat_ws(SEP, *parts).alias("key"))
-    )
+    """One typed key; its ``key`` is null when any part is missing (null parts make a null concatenation)."""
+    joined = parts[0]
+    for part in parts[1:]:
+        joined = F.concat(joined, F.lit(SEP), part)
+    return F.struct(F.lit(kind).alias("kind"), joined.alias("key"))
 
 
 def review_keys(
@@ -35,40 +41,43 @@ def review_keys(
     content: Column | None = None,
     text_cut: int | None = None,
 ) -> Column:
-    """Array of typed keys of a record.
+    """Array of typed keys of a record; entries with a null ``key`` do not apply and are left out by ``explode_keys``.
 
     The text key covers the whole text (as a digest); ``text_cut`` compares only that many leading characters instead,
-    for matching against stores that cut their texts.
+    for matching against stores that cut their texts. Each source column is normalized once.
     """
 
-    def present(c: Column | None) -> Column:
-        return F.lit(None).cast("string") if c is None else F.nullif(F.trim(c.cast("string")), F.lit(""))
-
-    who, years = F.nullif(normalize_key(name), F.lit("")), present(age)
-    body = normalize_key(text) if text is not None else F.lit("")
-    labels = normalize_key(tags) if tags is not None else F.lit("")
-    if text_cut is not None:
-        body, labels = F.substring(body, 1, text_cut), F.substring(labels, 1, text_cut)
-    digest = F.when((body != "") | (labels != ""), F.sha1(F.concat_ws(SEP, body, labels)))
-    keys = [
-        _key("id", present(item_id)),
-        _key("name_age_text", who, years, digest),
-        _key("name_age", who, years),
-        _key("photo_fingerprint_age", present(fingerprint), years),
-        _key("photo_file_hash", present(content)),
-    ]
+    def present(c: Column) -> Column:
+        value = F.trim(c.cast("string"))
+        return F.when(value != "", value)
+
+    who, years = F.when(F.trim(name) != "", normalize_key(name)), present(age)
+    keys = [_key("name_age", who, years)]
+    if text is not None or tags is not None:
+        parts = [normalize_key(c) if c is not None else F.lit("") for c in (text, tags)]
+        if text_cut is not None:
+            parts = [F.substring(c, 1, text_cut) for c in parts]
+        digest = F.replace(F.sha1(F.concat_ws(SEP, *parts)), F.lit(_EMPTY_TEXT), F.lit(""))
+        keys.append(_key("name_age_text", who, years, digest))
+    if item_id is not None:
+        keys.append(_key("id", present(item_id)))
+    if fingerprint is not None:
+        keys.append(_key("photo_fingerprint_age", present(fingerprint), years))
+    if content is not None:
+        keys.append(_key("photo_file_hash", present(content)))
     if url is None:
-        return F.array_compact(F.array(*keys))
+        return F.array(*keys)
     host, path = url_parts(F.replace(url, F.lit("&amp;"), F.lit("&")))
     keys.append(_key("photo_url", present(url)))
-    keys.append(F.when((host != "") & (path != ""), _key("photo_url_path", host, path)))
+    keys.append(_key("photo_url_path", F.when(host != "", host), F.when(path != "", path)))
     identity = F.transform(url_identity_keys(url), lambda k: F.struct(F.lit("photo_identity").alias("kind"), k.alias("key")))
-    return F.concat(F.array_compact(F.array(*keys)), identity)
+    return F.concat(F.array(*keys), identity)
 
 
 def explode_keys(df: DataFrame, keys: Column, *keep: str, strong_only: bool = False) -> DataFrame:
     """(keep..., kind, key), one row per typed key."""
-    flat = df.select(*keep, F.inline(keys))
+    # a text key ends with the separator when the record has neither text nor tags
+    flat = df.select(*keep, F.inline(keys)).filter(F.col("key").isNotNull() & ~F.col("key").endswith(SEP))
     return flat.filter(~F.col("kind").isin(*WEAK_KINDS)) if strong_only else flat
 
 

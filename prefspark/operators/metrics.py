@@ -91,10 +91,10 @@ def best_threshold(cells: DataFrame, policy: DecisionPolicy = DecisionPolicy())
 
     Too few rows or a single class give the fallback threshold.
     """
-    per_threshold = [
-        F.struct(F.lit(t).alias("threshold"), *_confusion_aggs(F.col("reached") > i)) for i, t in enumerate(THRESHOLDS)
-    ]
-    scored = _rates(cells.agg(F.array(*per_threshold).alias("a")).select(F.inline("a")), "threshold")
+    steps = F.explode(F.sequence(F.lit(0), F.lit(len(THRESHOLDS) - 1)))  # a few hundred cells, 21 thresholds each
+    per_step = cells.withColumn("step", steps).groupBy("step").agg(*_confusion_aggs(F.col("reached") > F.col("step")))
+    thresholds = F.array(*[F.lit(t) for t in THRESHOLDS])
+    scored = _rates(per_step.withColumn("threshold", F.element_at(thresholds, F.col("step") + 1)), "threshold")
     pos, neg = F.col("tp") + F.col("fn"), F.col("fp") + F.col("tn")
     enough = (pos + neg >= MIN_SWEEP_ROWS) & (pos > 0) & (neg > 0)
     viable = F.col("precision") >= policy.precision_floor

@@ -166,11 +166,11 @@ def vetoed_score() -> Column:
     )
 
 
-def token_score_join(items: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Score the items (key, kind, pos, norm) of each row against the table: mean score, hits, first five signals.
+def _known_items(items: DataFrame, table: DataFrame) -> DataFrame:
+    """Items found in the learned table, with their score and whether they count as a hit.
 
-    Repeats count. Unknown items drop out in the join, so only scored ones are shuffled to their row; the lists that
-    are gathered are the hits inside one row's own text.
+    The table has one row per (kind, norm), so hashing its partitions is cheap and saves sorting the (far more) items;
+    a common item makes a skewed partition on the item side only, which AQE splits.
     """
     enough = F.col("likes") + F.col("dislikes") >= MIN_EVIDENCE
     score = vetoed_score()
@@ -181,21 +181,35 @@ def token_score_join(items: DataFrame, table: DataFrame, key: str) -> DataFrame:
         (enough & (F.col("not_positive") == 0) & (score >= LIKED)).alias("liked"),
         (enough & (F.col("not_negative") == 0) & (score <= DISLIKED)).alias("disliked"),
     )
-    joined = items.join(known, ["kind", "norm"])
+    return items.join(known.hint("shuffle_hash"), ["kind", "norm"])
 
-    def shown(flag: str) -> Column:
-        uses = F.sort_array(F.collect_list(F.when(F.col(flag), F.struct("pos", "norm"))))
-        return F.array_join(F.transform(F.slice(uses, 1, SHOWN), lambda u: u["norm"]), ",")
 
-    return joined.groupBy(key, "kind").agg(
+def _token_scores(known: DataFrame, key: str) -> DataFrame:
+    return known.groupBy(key, "kind").agg(
         half_up(F.avg("score"), 4).alias("score"),
         F.count_if("liked").alias("positive_hits"),
         F.count_if("disliked").alias("negative_hits"),
-        shown("liked").alias("positive_signals"),
-        shown("disliked").alias("negative_signals"),
     )
 
 
+def token_score_join(items: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Score the items (key, kind, pos, norm) of each row against the table: mean score, hits, first five signals.
+
+    Repeats count. Unknown items drop out in the join, so only scored ones are shuffled to their row; the lists that
+    are gathered are the hits inside one row's own text.
+    """
+    known = _known_items(items, table)
+
+    def shown(flag: str) -> Column:
+        uses = F.sort_array(F.collect_list(F.when(F.col(flag), F.struct("pos", "norm"))))
+        return F.array_join(F.transform(F.slice(uses, 1, SHOWN), lambda u: u["norm"]), ",")
+
+    hits = known.filter(F.col("liked") | F.col("disliked")).groupBy(key, "kind").agg(
+        shown("liked").alias("positive_signals"), shown("disliked").alias("negative_signals")
+    )
+    return _token_scores(known, key).join(hits, [key, "kind"], "left").fillna("", ["positive_signals", "negative_signals"])
+
+
 def item_signals(df: DataFrame, key: str, text: str, tags: str, items: str, stopwords: Sequence[str] = STOPWORDS_PT) -> DataFrame:
     """(key, kind, pos, norm) of everything that can be scored in a row; repeats are kept."""
     norms = F.filter(F.transform(F.col(tags), lambda x: normalize_key(x)), lambda x: x != "")
@@ -206,14 +220,15 @@ def item_signals(df: DataFrame, key: str, text: str, tags: str, items: str, stop
         F.size("_items").alias("_last"),
         F.concat("_tags", "_items", ngrams_of(F.col("_raw"), stopwords)).alias("_all"),
     )
-    placed = flat.select(key, "_first", "_last", F.posexplode("_all").alias("pos", "norm"))
+    # the outer form keeps the optimizer from adding a size(...) > 0 filter, which would tokenize every text twice
+    placed = flat.select(key, "_first", "_last", F.posexplode_outer("_all").alias("pos", "norm")).filter(F.col("norm").isNotNull())
     kind = F.when(F.col("pos") < F.col("_first"), KINDS[0]).when(F.col("pos") < F.col("_first") + F.col("_last"), KINDS[2]).otherwise(KINDS[1])
     return placed.select(key, kind.alias("kind"), "pos", "norm")
 
 
 def profile_text_score(df: DataFrame, table: DataFrame, key: str, text: str, tags: str, items: str, stopwords: Sequence[str] = STOPWORDS_PT) -> DataFrame:
     """Per row the three signal scores and their blend; attributes count only when they say something."""
-    scored = token_score_join(item_signals(df, key, text, tags, items, stopwords), table, key)
+    scored = _token_scores(_known_items(item_signals(df, key, text, tags, items, stopwords), table), key)
     wide = scored.groupBy(key).agg(
         *[F.max(F.when(F.col("kind") == k, F.col("score"))).alias(k) for k in KINDS],
         F.sum("positive_hits").alias("positive_hits"),

@@ -67,8 +67,7 @@ VIEWS["text_keys"] = """
 )
 def anti_join_trained(t):
     rows = t.profile_rows.withColumn(
-        "keys",
-        K.review_keys(name=F.col("source"), age=F.col("n_chars"), text=F.col("text"), content=F.sha1(normalize_key("text"))),
+        "keys", K.review_keys(name=F.col("source"), age=F.col("n_chars"), content=F.sha1(normalize_key("text")))
     )
     labelled, queued = F.col("label_text") != "", F.col("src_no") >= 15
     flat = K.explode_keys(rows.withColumns({"labelled": labelled, "queued": queued}), F.col("keys"), "id", "labelled", "queued")
