@@ -106,37 +106,33 @@ def rolling_range(
     return out.filter(F.col("_shift") == 0).drop("_bucket", "_shift")
 
 
-def order_cut(df: DataFrame, order: str, share: float, levels: int = 2, buckets: int = 4096) -> DataFrame:
-    """One row ``cut``: the value of the unique integer column ``order`` at position floor(share * count).
+def order_cut(df: DataFrame, order: str, share: float, levels: int = 2, buckets: int = 4096) -> int | None:
+    """The value of the unique integer column ``order`` at position floor(share * count); None without rows.
 
-    Nested histograms narrow the range (``buckets`` parts per level), so only the rows of one innermost part are
-    ever ranked together; nothing is sorted as a whole.
+    Nested histograms narrow the range (``buckets`` parts per level), so only the rows of one innermost part are ever
+    ranked together and nothing is sorted as a whole. Each level brings one row to the driver.
     """
     values = df.select(F.col(order).cast("bigint").alias("v")).filter(F.col("v").isNotNull())
-    state = values.agg(
-        F.min("v").alias("low"), F.max("v").alias("high"), F.floor(F.count("*") * F.lit(share)).cast("bigint").alias("rank")
-    )
+    low, high, n = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    if not n:
+        return None
+    rank = int(share * n)
+    if rank == 0:
+        return low - 1
     for _ in range(levels):
-        limits = F.broadcast(state)  # one row
-        step = F.greatest(F.ceil((F.col("high") - F.col("low") + 1) / F.lit(buckets)), F.lit(1)).cast("bigint")
-        inside = values.join(limits, F.col("v").between(F.col("low"), F.col("high"))).withColumn("step", step)
-        part = F.floor((F.col("v") - F.col("low")) / F.col("step")).cast("bigint")
-        histogram = inside.groupBy("low", "step", "rank", part.alias("part")).agg(F.count("*").alias("n"))
-        running = F.sum("n").over(Window.orderBy("part"))  # at most `buckets` rows
-        reached = histogram.withColumn("upto", running).filter(F.col("upto") >= F.col("rank"))
-        state = reached.agg(F.min_by(F.struct("low", "step", "part", "rank", "n", "upto"), "part").alias("s")).select(
-            (F.col("s.low") + F.col("s.part") * F.col("s.step")).alias("low"),
-            (F.col("s.low") + (F.col("s.part") + 1) * F.col("s.step") - 1).alias("high"),
-            (F.col("s.rank") - (F.col("s.upto") - F.col("s.n"))).alias("rank"),
-        )
-    inner = values.join(F.broadcast(state), F.col("v").between(F.col("low"), F.col("high")))
-    ranked = inner.withColumn("rn", F.row_number().over(Window.partitionBy("rank").orderBy("v")))
-    return ranked.filter(F.col("rn") == F.greatest(F.col("rank"), F.lit(1))).select(
-        F.when(F.col("rank") > 0, F.col("v")).otherwise(F.col("v") - 1).alias("cut")
-    )
+        step = max(-(-(high - low + 1) // buckets), 1)
+        inside = values.filter(F.col("v").between(low, high))
+        histogram = inside.groupBy(F.floor((F.col("v") - F.lit(low)) / F.lit(step)).cast("bigint").alias("part")).agg(F.count("*").alias("n"))
+        running = histogram.withColumn("upto", F.sum("n").over(Window.orderBy("part")))  # at most `buckets` rows
+        part, count, upto = running.filter(F.col("upto") >= rank).agg(F.min_by(F.struct("part", "n", "upto"), "part").alias("s")).select("s.*").first()
+        low, high, rank = low + part * step, low + (part + 1) * step - 1, rank - (upto - count)
+        if step == 1:
+            return low
+    inner = values.filter(F.col("v").between(low, high)).withColumn("rn", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("v")))
+    return inner.filter(F.col("rn") == rank).first().v
 
 
 def chronological_split(df: DataFrame, order: str, share: float = 0.8) -> DataFrame:
     """Mark the last part of the rows, by position in ``order``, as holdout."""
-    cut = F.broadcast(order_cut(df, order, share))  # one row
-    return df.join(cut).withColumn("is_holdout", F.col(order) > F.col("cut")).drop("cut")
+    cut = order_cut(df, order, share)
+    return df.withColumn("is_holdout", F.lit(False) if cut is None else F.col(order) > F.lit(cut))

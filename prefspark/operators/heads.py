@@ -219,7 +219,7 @@ def stratified_folds(df: DataFrame, id_column: str, label: str, seed: int = 42,
     ranked = ordered_scan(df.withColumn("_h", key), [label], "_h", id_column, 2**60 // 256, row_number="_rn").drop("_h")
     minority = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n").alias("m"))
     k = minority.select(F.greatest(F.lit(2), F.least(F.lit(most), F.col("m"))).alias("folds"))
-    placed = ranked.join(F.broadcast(k))  # one row
+    placed = ranked.withColumn("folds", k.scalar())
     return placed.withColumn("fold", ((F.col("_rn") - 1) % F.col("folds")).cast("int")).drop("_rn")
 
 
@@ -344,9 +344,9 @@ def blend_importances(parts: Sequence[tuple[DataFrame, float]]) -> DataFrame:
     for df in weighted[1:]:
         union = union.unionByName(df)
     summed = union.groupBy("feature").agg(F.sum("importance").alias("importance"))
-    total = summed.agg(F.sum("importance").alias("_t"))
+    with_total = summed.withColumn("_t", summed.agg(F.sum("importance")).scalar())
     share = F.when(F.col("_t") > 0, F.col("importance") / F.col("_t")).otherwise(0.0)
-    return summed.join(F.broadcast(total)).select("feature", share.alias("importance"))  # one row
+    return with_total.select("feature", share.alias("importance"))
 
 
 def top_features(importance: DataFrame, n: int = 3) -> DataFrame:

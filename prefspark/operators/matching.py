@@ -52,8 +52,8 @@ def pair_by_position(
 def active_members(rows: DataFrame, id_column: str, probe_keys: DataFrame, active_keys: DataFrame) -> DataFrame:
     """Flag rows sharing any key with the active set; everything is active while the set is empty."""
     hits = matching_ids(probe_keys, active_keys, id_column).withColumn("_hit", F.lit(True))
-    size = active_keys.limit(1).agg(F.count("*").alias("_active"))
-    joined = rows.join(hits, id_column, "left").join(F.broadcast(size))  # one row
+    size = active_keys.limit(1).agg(F.count("*")).scalar()
+    joined = rows.join(hits, id_column, "left").withColumn("_active", size)
     return joined.withColumn("is_active", F.coalesce("_hit", F.lit(False)) | (F.col("_active") == 0)).drop("_hit", "_active")
 
 

@@ -189,7 +189,7 @@ def evaluation_report(
     cells = held_cells.filter("bin >= 0")
     best = best_threshold(cells)
     step = reduce(lambda acc, i: acc.when(F.col("like_threshold") == THRESHOLDS[i], i), range(len(THRESHOLDS)), F)
-    stepped = cells.join(F.broadcast(best.select(step.alias("step"))))  # one row
+    stepped = cells.withColumn("step", best.select(step.alias("step")).scalar())
     bins = _bin_rows(cells)
     bin_no = F.col("bin").cast("string")
 

@@ -149,9 +149,9 @@ def retention_candidates(
     old_enough = F.lit(now) - F.col(mtime) >= grace
     inside = F.col("_age_rank") <= F.least(F.col("_n") - F.col("pending"), F.col("consolidated"))
     eligible = joined.filter(F.when(unmatched, old_enough).otherwise(inside)).select(*assets.columns)
-    excess = assets.agg(F.greatest(F.count("*") - F.lit(max_files), F.lit(0)).alias("_excess"))
+    excess = assets.agg(F.greatest(F.count("*") - F.lit(max_files), F.lit(0))).scalar()
     placed = ordered_scan(eligible, [], mtime, id_column, width, row_number="evict_order")
-    return placed.join(F.broadcast(excess)).filter(F.col("evict_order") <= F.col("_excess")).drop("_excess")  # one row
+    return placed.filter(F.col("evict_order") <= excess)
 
 
 def history_score(domain: Column, reason: Column, details: Column, corrected: Column, p: Column, missing: Sequence[tuple[Column, float]]) -> Column:

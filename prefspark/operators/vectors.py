@@ -36,10 +36,11 @@ def class_centroid(df: DataFrame, label: Sequence[str] | str, vector: str) -> Da
 def centroid_similarity(df: DataFrame, vector: str, liked: Column) -> DataFrame:
     """(cosine to the liked centroid + 1) / 2; neutral with too few likes, a missing vector or another dimension."""
     centroid = class_centroid(df.filter(liked & F.col(vector).isNotNull()).withColumn("_c", F.lit(1)), "_c", vector)
-    known = df.join(F.broadcast(centroid.select("centroid", "n")), how="left")  # at most one row
+    liked_side = centroid.select(F.struct("centroid", "n")).scalar()  # null without likes
+    known = df.withColumn("_liked", liked_side).select("*", F.col("_liked.centroid").alias("centroid"), F.col("_liked.n").alias("n"))
     comparable = (F.col("n") >= MIN_LIKED) & (F.size(vector) == F.size("centroid")) & F.col(vector).isNotNull()
     score = F.when(F.coalesce(comparable, F.lit(False)), half_up((cosine(vector, "centroid") + 1.0) / 2.0, 4)).otherwise(0.5)
-    return known.withColumn("similarity", score).drop("centroid", "n")
+    return known.withColumn("similarity", score).drop("_liked", "centroid", "n")
 
 
 def _runs(frame: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:

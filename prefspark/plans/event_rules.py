@@ -138,7 +138,7 @@ def flipflop_suppress(t):
     return flagged.select("event_id", "ignored")
 
 
-VIEWS["swipes"] = """
+VIEWS["judged"] = """
     SELECT event_id, user_id, ts, value, event_type, CASE WHEN event_type IN ('click', 'purchase') THEN 'LIKE' ELSE 'PASS' END AS final,
            event_type = 'purchase' AS super, CASE WHEN value >= 20 THEN 'LIKE' ELSE 'PASS' END AS model, event_type <> 'view' AS prompted
     FROM events WHERE event_type <> 'error'"""
@@ -150,9 +150,9 @@ VIEWS["swipes"] = """
     WITH a AS (SELECT user_id, count(*) AS total, count(*) FILTER (final = 'LIKE') AS likes, count(*) FILTER (super) AS super_likes, count(*) FILTER (final = 'PASS') AS passes,
                count(*) FILTER (model = 'LIKE') AS model_likes, count(*) FILTER (prompted) AS prompts, count(*) FILTER (final <> model) AS corrected,
                count(*) FILTER (final <> model AND final = 'LIKE') AS corrected_to_like, {half_up("avg(value) FILTER (final = 'LIKE')", 4)} AS like_score,
-               {half_up("avg(value) FILTER (final = 'PASS')", 4)} AS pass_score FROM swipes GROUP BY 1),
+               {half_up("avg(value) FILTER (final = 'PASS')", 4)} AS pass_score FROM judged GROUP BY 1),
     tags AS (SELECT user_id, string_agg(event_type || ' (' || n || ')', ', ' ORDER BY n DESC, event_type) AS top_tags FROM
-             (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS rn FROM (SELECT user_id, event_type, count(*) AS n FROM swipes GROUP BY 1, 2))
+             (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS rn FROM (SELECT user_id, event_type, count(*) AS n FROM judged GROUP BY 1, 2))
              WHERE rn <= 2 GROUP BY 1)
     SELECT a.*, {half_up('likes / total', 4)} AS like_rate, {half_up('CASE WHEN prompts > 0 THEN corrected / prompts ELSE 0 END', 4)} AS correction_rate,
            CASE WHEN prompts >= 10 AND corrected / prompts >= 0.35 THEN 'train more' WHEN prompts >= 10 AND corrected / prompts <= 0.15 THEN 'well aligned' ELSE '' END AS advice,
@@ -160,7 +160,7 @@ VIEWS["swipes"] = """
 )
 def session_summary(t):
     kind = F.col("event_type")
-    swipes = t.events.filter("event_type <> 'error'").select(
+    judged = t.events.filter("event_type <> 'error'").select(
         "user_id",
         F.when(kind.isin("click", "purchase"), "LIKE").otherwise("PASS").alias("final"),
         (kind == "purchase").alias("super"),
@@ -169,4 +169,4 @@ def session_summary(t):
         "value",
         kind.alias("tag"),
     )
-    return summarize(swipes, ["user_id"], score="value", tag="tag", top=2)
+    return summarize(judged, ["user_id"], score="value", tag="tag", top=2)

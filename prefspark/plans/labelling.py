@@ -157,9 +157,8 @@ def review_priority(t):
 )
 def decision_policy(t):
     learned = t.labelled.agg(F.avg("p").alias("learned")).select(L.usable_threshold(F.col("learned")).alias("threshold"))
-    df = t.labelled.crossJoin(F.broadcast(learned))  # one aggregated row
     policy = L.apply_policy("p", F.col("threshold"), F.col("toxic") == 1)
-    return df.select("id", *[c.alias(n) for n, c in policy.items()])
+    return t.labelled.withColumn("threshold", learned.scalar()).select("id", *[c.alias(n) for n, c in policy.items()])
 
 
 VIEWS["names"] = """

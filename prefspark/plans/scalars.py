@@ -10,7 +10,6 @@ from prefspark.functions import numeric as N
 from prefspark.functions import text as T
 from prefspark.functions import urls as U
 from prefspark.functions import vectors as V
-from prefspark.functions.labels import detail
 from prefspark.operators import features as X
 from prefspark.plans.registry import half_up, query
 from prefspark.plans.tables import VIEWS
@@ -154,14 +153,14 @@ def attr_items(t):
 FLAG_RULES = (
     A.FlagRule("flag_western", ("lang",), ("fr", "es")),
     A.FlagRule("flag_long", ("size",), ("long", "medium"), blocked_by=("medium",)),
-    A.FlagRule("flag_teen_source", ("Source",), ("src1",), blocked_by=("src19",)),
+    A.FlagRule("flag_source_tens", ("Source",), ("src1",), blocked_by=("src19",)),
 )
 
 
 @query(
     "attr_flags",
     """SELECT id, CAST(lang IN ('fr', 'es') AS INTEGER) AS flag_western, CAST(size_class = 'long' AS INTEGER) AS flag_long,
-              CAST(source LIKE 'src1%' AND source NOT IN ('src19', 'src12', 'src1') AS INTEGER) AS flag_teen_source FROM items""",
+              CAST(source LIKE 'src1%' AND source NOT IN ('src19', 'src12', 'src1') AS INTEGER) AS flag_source_tens FROM items""",
 )
 def attr_flags(t):
     mapped = t.items.select("id", item_attrs().alias("m"))
@@ -281,7 +280,7 @@ def item_features(df, keys=("id",), sentiment=None):
            2::DOUBLE AS tag_count, CAST(lang = 'en' AS DOUBLE) + CAST(source = 'src1' AS DOUBLE) AS tag_overlap,
            CAST(length(source) AS DOUBLE) AS name_length, CAST(source = 'src3' AS DOUBLE) AS name_disliked,
            CAST(lang IN ('fr', 'es') AS DOUBLE) AS flag_western, CAST(size_class = 'long' AS DOUBLE) AS flag_long,
-           CAST(source LIKE 'src1%' AND source <> 'src19' AS DOUBLE) AS flag_teen_source,
+           CAST(source LIKE 'src1%' AND source <> 'src19' AS DOUBLE) AS flag_source_tens,
            {half_up('n_chars % 97 / 97e0', 6)} AS brightness, 0.5::DOUBLE AS sharpness
     FROM f""",
 )

@@ -80,7 +80,7 @@ def stream_alerts(t):
 )
 def stream_session_stats(t):
     kind = F.col("event_type")
-    swipes = decision_stream(t).filter(kind != "error").select(
+    judged = decision_stream(t).filter(kind != "error").select(
         "user_id",
         "ts",
         "value",
@@ -89,7 +89,7 @@ def stream_session_stats(t):
         F.when(F.col("value") >= 20, "LIKE").otherwise("PASS").alias("model"),
         (kind != "view").alias("prompted"),
     )
-    sessions = rules.stream_session_stats(swipes, "user_id", "ts", "6 hours", "1 hour", "value")
+    sessions = rules.stream_session_stats(judged, "user_id", "ts", "6 hours", "1 hour", "value")
     return runner.drain(sessions, scratch_path(t.spark, "sessions")).select("user_id", "total", "likes", "corrected")
 
 

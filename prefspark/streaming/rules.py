@@ -22,9 +22,10 @@ class _Keyed(StatefulProcessor):
 
     def __init__(self, ts: str, tie: str):
         self.ts, self.tie = ts, tie
+        self.state_ttl_ms: int | None = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", self.state_schema)
+        self.state = handle.getValueState("state", self.state_schema, self.state_ttl_ms)
 
     def walk(self, frame: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
         raise NotImplementedError
@@ -103,16 +104,21 @@ class ThresholdAlert(_Keyed):
         return frame.iloc[chosen], (recent, alerted)
 
 
-def _run(df: DataFrame, keys: Sequence[str], processor: _Keyed, columns: Sequence[str], extra: str = "") -> DataFrame:
+def _run(
+    df: DataFrame, keys: Sequence[str], processor: _Keyed, columns: Sequence[str], extra: str = "", state_ttl_ms: int | None = None
+) -> DataFrame:
+    """``state_ttl_ms`` drops the state of keys untouched for that long (processing time), so that it stays bounded in a
+    query that never ends; replays leave it unset, as they run through event time faster than the clock."""
+    processor.state_ttl_ms = state_ttl_ms
     schema = ddl(df, [*keys, *columns]) + (f", {extra}" if extra else "")
     selected = df.select(*keys, *columns)
     return selected.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="none"
+        statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="processingTime" if state_ttl_ms else "none"
     )
 
 
-def stream_dedupe_ttl(df: DataFrame, keys: Sequence[str], ts: str, tie: str, ttl: int) -> DataFrame:
-    return _run(df, keys, TtlDedupe(ts, tie, ttl), [ts, tie], "is_duplicate boolean")
+def stream_dedupe_ttl(df: DataFrame, keys: Sequence[str], ts: str, tie: str, ttl: int, state_ttl_ms: int | None = None) -> DataFrame:
+    return _run(df, keys, TtlDedupe(ts, tie, ttl), [ts, tie], "is_duplicate boolean", state_ttl_ms)
 
 
 def stream_dedupe_watermark(df: DataFrame, keys: Sequence[str], event_time: str, ttl: str) -> DataFrame:
@@ -120,12 +126,12 @@ def stream_dedupe_watermark(df: DataFrame, keys: Sequence[str], event_time: str,
     return df.withWatermark(event_time, ttl).dropDuplicatesWithinWatermark(list(keys))
 
 
-def stream_upgrade(df: DataFrame, keys: Sequence[str], ts: str, tie: str, rich: str, ttl: int, columns: Sequence[str] = ()) -> DataFrame:
-    return _run(df, keys, UpgradeDedupe(ts, tie, rich, ttl), [ts, tie, rich, *columns], "status string")
+def stream_upgrade(df: DataFrame, keys: Sequence[str], ts: str, tie: str, rich: str, ttl: int, columns: Sequence[str] = (), state_ttl_ms: int | None = None) -> DataFrame:
+    return _run(df, keys, UpgradeDedupe(ts, tie, rich, ttl), [ts, tie, rich, *columns], "status string", state_ttl_ms)
 
 
-def stream_alerts(df: DataFrame, keys: Sequence[str], ts: str, tie: str, window: int, threshold: int, cooldown: int) -> DataFrame:
-    return _run(df, keys, ThresholdAlert(ts, tie, window, threshold, cooldown), [ts, tie])
+def stream_alerts(df: DataFrame, keys: Sequence[str], ts: str, tie: str, window: int, threshold: int, cooldown: int, state_ttl_ms: int | None = None) -> DataFrame:
+    return _run(df, keys, ThresholdAlert(ts, tie, window, threshold, cooldown), [ts, tie], "", state_ttl_ms)
 
 
 def parse_log(lines: DataFrame, line: str = "value") -> DataFrame:
