@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefspark.llm import orc_tokens, piece_codec
+from prefspark.llm import byte_shards, compression_bands, license_rules, orc_tokens, piece_codec, token_secrets
 from prefspark.llm.common import documents, tokenizer_path
 from prefspark.session import scratch_path
 
@@ -20,15 +20,49 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return build
 
 
+def secret_vocabulary() -> tuple[str, str]:
+    """Ranks file and splitting pattern of the byte-level vocabulary that measures token efficiency."""
+    import public_tokenizers
+
+    return tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 @query
 def op1_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and what they decode to, as digests."""
     return piece_codec.digests(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
+@query
+def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the compression bands for every document."""
+    return compression_bands.measure(documents(spark, sf_dir))
+
+
+@query
+def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes."""
+    return byte_shards.assign_shards(documents(spark, sf_dir), shards=24)
+
+
+@query
+def op6_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licence sentences of every document and the licences their order gives."""
+    return license_rules.flat(license_rules.scan(documents(spark, sf_dir)))
+
+
+SQL["op6_license_rules"] = license_rules.scan_sql()
+
+
 @query
 def op8_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document written to ORC files and read back from them."""
     path = scratch_path(spark, "orc-tokens")
     orc_tokens.write_tokens(documents(spark, sf_dir), path, tokenizer_path("word_bpe_49k.json"), end_id=1)
     return orc_tokens.checksums(orc_tokens.read_tokens(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op9_token_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base patterns and strings that a subword vocabulary compresses badly."""
+    return token_secrets.digests(token_secrets.find_secrets(documents(spark, sf_dir), *secret_vocabulary()))
