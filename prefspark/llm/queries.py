@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefspark.llm import byte_shards, compression_bands, license_rules, orc_tokens, piece_codec, token_secrets
+from prefspark.llm import byte_cnn, byte_shards, compression_bands, license_rules, orc_tokens, piece_codec, token_secrets
 from prefspark.llm.common import documents, tokenizer_path
 from prefspark.session import scratch_path
 
@@ -39,6 +39,15 @@ def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands.measure(documents(spark, sf_dir))
 
 
+@query
+def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a network learnt from the rows that are not held out."""
+    docs = documents(spark, sf_dir)
+    weights = byte_cnn.fit(docs, byte_cnn.remainder("doc_id", 4) != 2)
+    marked = docs.withColumn("held_out", byte_cnn.remainder("doc_id", 4) == 2)
+    return byte_cnn.identify(marked, weights, keep=["doc_id", "held_out"])
+
+
 @query
 def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes."""
