@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefspark.llm import byte_cnn, byte_shards, compression_bands, license_rules, orc_tokens, piece_codec, token_secrets
+from prefspark.llm import bbit_minhash, byte_cnn, byte_shards, compression_bands, license_rules, orc_tokens, piece_codec, token_secrets
 from prefspark.llm.common import documents, tokenizer_path
 from prefspark.session import scratch_path
 
@@ -63,6 +63,12 @@ def op6_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op6_license_rules"] = license_rules.scan_sql()
 
 
+@query
+def op7_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents on two-word shingles."""
+    return bbit_minhash.find_components(documents(spark, sf_dir), bbit_minhash.Params(shingle=2, percent=80))
+
+
 @query
 def op8_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document written to ORC files and read back from them."""
