@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefspark.llm.common import map_texts, materialise, slices, split_words
+from prefspark.llm.common import map_texts, materialise, roll, slices, split_words
 from prefspark.llm.components import connected_components
 
 WORDS = 8  # 64-bit words of a packed signature: four for the lowest bits, four for the next
@@ -66,27 +66,17 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     coded = words.cast(pa.large_binary()).dictionary_encode()
     hashed = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
     flat = hashed[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.uint64)
-    rolled = _roll(flat, size)
+    rolled = roll(flat, size)
     out, end = [], 0
     for n in counts.tolist():
         start, end = end, end + n
         if n >= size:
             out.append(np.unique(rolled[start : end - size + 1]))
         else:
-            out.append(_roll(flat[start:end], n) if n else np.empty(0, np.uint64))
+            out.append(roll(flat[start:end], n) if n else np.empty(0, np.uint64))
     return out
 
 
-def _roll(words: np.ndarray, size: int) -> np.ndarray:
-    """A hash of every run of ``size`` words."""
-    n = max(0, len(words) - size + 1)
-    h = np.full(n, size, np.uint64)
-    for k in range(size):
-        h = (h ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return h
-
-
 class Signer:
     """Minima, packed signature and band keys of a set."""
 

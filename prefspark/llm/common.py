@@ -153,14 +153,18 @@ class Ragged:
 
     def extend(self, lists: list[list[int]]) -> None:
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        need = self.used + int(sizes.sum())
+        self.extend_flat(np.fromiter((x for one in lists for x in one), self.dtype, int(sizes.sum())), sizes)
+
+    def extend_flat(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Add rows of the given sizes, their values one after another."""
+        need = self.used + len(values)
         if need > len(self.values):
             self.values = np.concatenate([self.values[: self.used], np.empty(2 * need - self.used, self.dtype)])
-        self.values[self.used : need] = np.fromiter((x for one in lists for x in one), self.dtype, need - self.used)
-        if self.n + len(lists) + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends[: self.n + 1], np.zeros(2 * (self.n + len(lists)) + 2, np.int64)])
-        self.ends[self.n + 1 : self.n + len(lists) + 1] = self.used + np.cumsum(sizes)
-        self.n, self.used = self.n + len(lists), need
+        self.values[self.used : need] = values
+        if self.n + len(sizes) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends[: self.n + 1], np.zeros(2 * (self.n + len(sizes)) + 2, np.int64)])
+        self.ends[self.n + 1 : self.n + len(sizes) + 1] = self.used + np.cumsum(sizes)
+        self.n, self.used = self.n + len(sizes), need
 
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The values of these rows one after another, and how many each has."""
@@ -193,3 +197,13 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         counts = sums(filled.to_numpy(zero_copy_only=False).astype(np.int64), counts)
         flat = flat.filter(filled)
     return flat, counts
+
+
+def roll(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of ``size`` word hashes."""
+    n = max(0, len(words) - size + 1)
+    h = np.full(n, size, np.uint64)
+    for k in range(size):
+        h = (h ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h

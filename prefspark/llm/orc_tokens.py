@@ -6,8 +6,9 @@ within the file; the manifest beside the files holds each file's start, found fr
 by stripe, a lookup by document id skips files and stripes by their statistics and Bloom filters, and a column read
 (totals, say) leaves the ids untouched.
 
-Texts are encoded word by word: the vocabulary's pre-tokenizer never joins characters over white space, so the ids of
-a text are those of its words in order. ``WordTable`` encodes each distinct word once per task.
+Texts are encoded word by word: the vocabulary's pre-tokenizer never joins characters over white space, nor a letter
+with punctuation behind it, so the ids of a text are those of such parts in order. ``WordTable`` encodes each distinct
+part once per task, many in one call with a special token between them.
 
 Defined results: null and empty texts hold the end id alone; rows with equal or null document ids are all kept (null
 first, equal ids in the order of their texts' hashes); an empty table writes no rows and reads back empty; other columns
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,24 +38,38 @@ ROW = T.StructType(
     ]
 )
 MANIFEST = "_manifest"
+#: A special token of the vocabulary, put between words that are encoded in one call; how many these are.
+MARK, AT_ONCE = "<|endoftext|>", 2_000
 
 
 class WordTable:
     """Distinct words of a task with the ids that the vocabulary gives them."""
 
     def __init__(self, vocabulary: bytes):
+        import os
+
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel unit
         self.tokenizer = Tokenizer.from_str(vocabulary.decode())
+        self.mark_id = self.tokenizer.token_to_id(MARK)
         self.ids = Ragged(np.int32)
         self.words = DistinctTable(self._add, self.ids.clear)
 
     def _add(self, new: list[str]) -> None:
-        self.ids.extend([e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)])
+        for start in range(0, len(new), AT_ONCE):
+            words = new[start : start + AT_ONCE]
+            if self.mark_id is None or any("<|" in w for w in words):  # may hold special tokens: one by one
+                self.ids.extend([e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([MARK.join(words)], add_special_tokens=False)[0].ids, np.int32)
+            marks = np.flatnonzero(ids == self.mark_id)
+            edges = np.concatenate([[-1], marks, [len(ids)]])
+            self.ids.extend_flat(np.delete(ids, marks), np.diff(edges) - 1)
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each closed by ``end``, and the number per text."""
-        words, counts = split_words(texts)
+        words, counts = split_words(parted(texts))
         values, sizes = self.ids.gather(self.words.rows(words))
         inner = sums(sizes, counts)
         stops = np.cumsum(inner + 1)
@@ -64,6 +80,15 @@ class WordTable:
         return out, inner + 1
 
 
+def parted(texts: pa.Array) -> pa.Array:
+    """Texts with A-Z lowered and a space between a letter and punctuation, which leaves their ids as they are.
+
+    Texts with combining marks (case decides whether these compose) or with what may be a special token stay unchanged.
+    """
+    changed = pc.replace_substring_regex(pc.ascii_lower(texts), r"(\pL)([.,!?;:*$%&#|])", r"\1 \2")
+    return pc.if_else(pc.match_substring_regex(texts, r"\pM|<\|"), texts, changed)
+
+
 def write_tokens(
     docs: DataFrame,
     path: str,
