@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefspark.llm import bbit_minhash, byte_cnn, byte_shards, compression_bands, license_rules, orc_tokens, piece_codec, token_secrets
+from prefspark.llm import bbit_minhash, byte_cnn, byte_shards, compression_bands, license_rules, orc_tokens, piece_codec, seed_align, token_secrets
 from prefspark.llm.common import documents, tokenizer_path
 from prefspark.session import scratch_path
 
@@ -81,3 +81,9 @@ def op8_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: base patterns and strings that a subword vocabulary compresses badly."""
     return token_secrets.digests(token_secrets.find_secrets(documents(spark, sf_dir), *secret_vocabulary()))
+
+
+@query
+def op10_seed_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, word for word or edited, with the alignment of each."""
+    return seed_align.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
