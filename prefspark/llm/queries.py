@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefspark.llm import bbit_minhash, byte_cnn, byte_shards, compression_bands, license_rules, orc_tokens, piece_codec, seed_align, token_secrets
+from prefspark.llm import bbit_minhash, byte_cnn, byte_shards, compression_bands, license_rules, orc_tokens, piece_codec, seed_align, token_secrets, weak_toxicity
 from prefspark.llm.common import documents, tokenizer_path
 from prefspark.session import scratch_path
 
@@ -39,6 +39,13 @@ def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands.measure(documents(spark, sf_dir))
 
 
+@query
+def op3_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; a third of the ids is held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return weak_toxicity.toxicity(documents(spark, sf_dir), labels, byte_cnn.remainder("doc_id", 3) == 1)
+
+
 @query
 def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by a network learnt from the rows that are not held out."""
