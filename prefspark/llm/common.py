@@ -127,18 +127,16 @@ class DistinctTable:
             self.reset()
         coded = strings.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        at, new = self.at, []
-        found = np.empty(len(distinct), np.int64)
-        for i, s in enumerate(distinct):
-            row = at.get(s)
-            if row is None:
-                row = at[s] = len(at)
-                new.append(s)
-            found[i] = row
+        found = list(map(self.at.get, distinct))
+        new = [s for s, row in zip(distinct, found, strict=True) if row is None]
         if new:
+            first = len(self.at)
+            self.at.update(zip(new, range(first, first + len(new)), strict=True))
+            fresh = iter(range(first, first + len(new)))
+            found = [next(fresh) if row is None else row for row in found]
             self.size += sum(map(len, new)) + 64 * len(new)
             self.add(new)
-        return found[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int64)
+        return np.array(found, np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int64)
 
 
 class Ragged:

@@ -54,7 +54,7 @@ class WordTable:
         self.tokenizer = Tokenizer.from_str(vocabulary.decode())
         self.mark_id = self.tokenizer.token_to_id(MARK)
         self.ids = Ragged(np.int32)
-        self.words = DistinctTable(self._add, self.ids.clear)
+        self.words = DistinctTable(self._add, self.ids.clear, most_bytes=48 << 20)
 
     def _add(self, new: list[str]) -> None:
         for start in range(0, len(new), AT_ONCE):
@@ -98,10 +98,11 @@ def write_tokens(
     stripe_bytes: int = 16 << 20,
     index_stride: int = 1000,
 ) -> None:
-    """Encode ``docs`` (doc_id, text) into ``files`` ORC files (the session's shuffle partitions unless given)."""
+    """Encode ``docs`` (doc_id, text) into ``files`` ORC files, unless given half the session's shuffle partitions: the more
+    text a task has, the more of its words it has met before."""
     spark = docs.sparkSession
     vocabulary = spark.sparkContext.broadcast(model_bytes(vocabulary_path))
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("t"))
         .repartitionByRange(n, "doc_id")
