@@ -30,7 +30,6 @@ PAD = 256
 UNKNOWN = "und"
 LETTER = r"\p{L}"
 MOST_LANGUAGES = 512
-FIELDS = [T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False)]
 
 
 @dataclass(frozen=True)
@@ -199,9 +198,12 @@ def fit(docs: DataFrame, usable: Column, net: Net = Net(), text: str = "text", l
     return train(texts, np.repeat([at[c] for c in classes], most), classes, net)
 
 
-def identify(docs: DataFrame, weights: Weights, text: str = "text", keep: list[str] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with ``lang_pred`` and ``score``."""
-    return map_texts(docs, text, list(keep), FIELDS, lambda: Classifier(weights).predict)
+def identify(
+    docs: DataFrame, weights: Weights, text: str = "text", keep: list[str] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """``keep`` columns with the predicted language and its probability, under ``names``."""
+    fields = [T.StructField(n, t, False) for n, t in zip(names, (T.StringType(), T.DoubleType()), strict=True)]
+    return map_texts(docs, text, list(keep), fields, lambda: Classifier(weights).predict)
 
 
 def remainder(key: str, parts: int) -> Column:

@@ -49,6 +49,14 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``docs`` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def utf8(column: pa.Array) -> pa.Array:
     """Texts as a plain string array, null as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefspark.llm.common import DistinctTable, map_texts, roll, slices, split_words, sums, utf8
+from prefspark.llm.common import DistinctTable, fresh, map_texts, roll, slices, split_words, sums, utf8
 
 
 @dataclass(frozen=True)
@@ -278,8 +278,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, params: Params = Params
     for block in item_blocks(benchmark, params):
         seeds = rare_seeds(docs, block, params, text)
         shared = docs.sparkSession.sparkContext.broadcast((block, seeds))
-        flag = T.StructField("__found__", T.ArrayType(HIT, False), False)
-        carried = docs.withColumn("__text__", F.col(text).cast("string"))
-        flagged = map_texts(carried, "__text__", names, [flag], lambda shared=shared: Searcher(*shared.value, params).search)
-        docs = flagged.where(F.size("__found__") == 0).select(*names)
+        flag = fresh(docs, "hits")
+        hits = T.StructField(flag, T.ArrayType(HIT, False), False)
+        flagged = map_texts(docs, text, names, [hits], lambda shared=shared: Searcher(*shared.value, params).search)
+        docs = flagged.where(F.size(flag) == 0).select(*names)
     return docs

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefspark.llm.common import map_texts, model_bytes
+from prefspark.llm.common import fresh, map_texts, model_bytes
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -141,10 +141,9 @@ def redact(docs: DataFrame, vocabulary_path: str, pattern: str, rule: Efficiency
 
         return run
 
-    names = [c for c in docs.columns if c.lower() != text.lower()]
-    flagged = docs.select("*", F.col(text).isNull().alias("__null__"))
-    changed = map_texts(flagged, text, [*names, "__null__"], [T.StructField(text, T.StringType())], make)
-    return changed.withColumn(text, F.when(~F.col("__null__"), F.col(text))).select(*docs.columns)
+    name = fresh(docs, "masked")
+    changed = map_texts(docs, text, docs.columns, [T.StructField(name, T.StringType())], make)
+    return changed.withColumn(text, F.when(F.col(text).isNotNull(), F.col(name))).select(*docs.columns)
 
 
 def joined(spans: Column) -> Column:
