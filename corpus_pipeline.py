@@ -52,7 +52,7 @@ def with_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     The vocabulary writes a space as a marker, so a text that holds markers of its own decodes to spaces there.
     """
-    keep = [c for c in docs.columns if c.lower() not in ("text", "token_ids", "decoded")]
+    keep = [c for c in docs.columns if c.lower() not in ("text", "token_ids", "decoded", "n_tokens", "exact")]
     coded = piece_codec.encode_documents(docs, tokenizer_path("piece_bpe_32k.model"), keep=[*keep, "text"])
     exact = F.col("decoded") == F.coalesce("text", F.lit(""))
     return coded.select(*keep, F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", exact.alias("exact"))
