@@ -13,7 +13,6 @@ SELECTION_SCHEMA = (
     "array<struct<name:string,section_name:string,prompt:string,id:string,"
     "choice_selections:array<struct<name:string>>,measurable_selection:struct<value:string,unit_of_measure:string>>>"
 )
-MAX_KEY, MAX_VALUE = 80, 300
 
 
 def _col(c: Column | str) -> Column:
@@ -30,6 +29,16 @@ def first_key_wins(entries: Column) -> Column:
     return F.map_from_entries(F.transform(firsts, lambda e: F.struct(e["key"], e["value"])))
 
 
+def last_key_wins(entries: Column) -> Column:
+    """Map from (key, value) structs, keeping the last entry of each key at the place of its first."""
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+
+    def value(key: Column) -> Column:
+        return F.element_at(F.filter(entries, lambda e: e["key"] == key), -1)["value"]
+
+    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), value(k).alias("value"))))
+
+
 def parse_attrs(c: Column | str) -> Column:
     """A JSON object, else 'key: value | key: value' text; missing gives an empty map."""
     text = F.trim(F.coalesce(_col(c), F.lit("")))
@@ -99,30 +108,31 @@ def attr_flags(attrs: Column | str, rules: tuple[FlagRule, ...], vetoed: Column
     return out
 
 
-def attr_map_extract(selections: Column | str) -> Column:
-    """Selections (``SELECTION_SCHEMA``) to a map: first non-blank label -> joined choices, or 'value unit'."""
+def attr_map_extract(selections: Column | str, max_key: int | None = None, max_value: int | None = None) -> Column:
+    """Selections (``SELECTION_SCHEMA``) to a map: first non-empty label -> joined choices, or 'value unit'.
 
-    def blank_to_null(x: Column) -> Column:
-        return F.nullif(F.trim(x), F.lit(""))
+    A label of blanks alone drops its selection; of selections with one label the last that has a value wins. Lengths are
+    not limited unless asked for.
+    """
 
     def entry(s: Column) -> Column:
-        key = F.coalesce(*[blank_to_null(s[f]) for f in ("name", "section_name", "prompt", "id")])
+        key = F.trim(F.coalesce(*[F.nullif(s[f], F.lit("")) for f in ("name", "section_name", "prompt", "id")]))
         names = F.filter(F.transform(s["choice_selections"], lambda c: F.trim(c["name"])), lambda n: n != "")
         chosen = F.when(F.size(names) > 0, F.array_join(names, ", "))
         measure = F.nullif(s["measurable_selection"]["value"], F.lit(""))
         unit = F.coalesce(s["measurable_selection"]["unit_of_measure"], F.lit(""))
-        measured = F.when(measure.isNotNull(), F.trim(F.concat_ws(" ", measure, unit)))
+        measured = F.when(measure.isNotNull(), F.trim(F.concat_ws(" ", measure, F.trim(unit))))
         has_choices = F.coalesce(F.size(s["choice_selections"]) > 0, F.lit(False))
         return F.struct(key.alias("key"), F.when(has_choices, chosen).otherwise(measured).alias("value"))
 
-    entries = F.filter(
-        F.transform(_col(selections), entry),
-        lambda e: e["key"].isNotNull()
-        & (F.coalesce(e["value"], F.lit("")) != "")
-        & (F.length(e["key"]) <= MAX_KEY)
-        & (F.length(e["value"]) <= MAX_VALUE),
-    )
-    return first_key_wins(entries)
+    def fits(e: Column) -> Column:
+        ok = (F.coalesce(e["key"], F.lit("")) != "") & e["value"].isNotNull()
+        for name, limit in (("key", max_key), ("value", max_value)):
+            if limit is not None:
+                ok = ok & (F.length(e[name]) <= limit)
+        return ok
+
+    return last_key_wins(F.filter(F.transform(_col(selections), entry), fits))
 
 
 def signal_kind(value: Column | str, tags: Column | str, attrs: Column | str) -> Column:

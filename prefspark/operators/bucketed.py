@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prefspark.session import cut_lineage
+
 SECOND = 1_000_000  # order columns of events are whole microseconds
 HOUR = 3600 * SECOND
 DAY = 24 * HOUR
@@ -106,11 +108,30 @@ def rolling_range(
     return out.filter(F.col("_shift") == 0).drop("_bucket", "_shift")
 
 
-def order_cut(df: DataFrame, order: str, share: float, levels: int = 2, buckets: int = 4096) -> int | None:
+def with_position(ordered: DataFrame, name: str = "position") -> DataFrame:
+    """Rows of a globally ordered frame with their position from 1, without ranking them in one task.
+
+    The sorted partitions are checkpointed; each row adds its place in its partition to the rows of the partitions before,
+    one number per partition.
+    """
+    numbered = cut_lineage(ordered).withColumn(name, F.monotonically_increasing_id())
+    part = F.shiftright(name, 33).cast("int")
+    counts = sorted(map(tuple, numbered.groupBy(part.alias("part")).count().collect()))
+    before, start = [], 0
+    for number, rows in counts:
+        before += [F.lit(number), F.lit(start)]
+        start += rows
+    if not before:
+        return numbered.withColumn(name, F.lit(0).cast("bigint"))
+    own = F.col(name).bitwiseAND(F.lit((1 << 33) - 1))
+    return numbered.withColumn(name, (F.element_at(F.create_map(*before), part) + own + 1).cast("bigint"))
+
+
+def order_cut(df: DataFrame, order: str, share: float, buckets: int = 4096) -> int | None:
     """The value of the unique integer column ``order`` at position floor(share * count); None without rows.
 
-    Nested histograms narrow the range (``buckets`` parts per level), so only the rows of one innermost part are ever
-    ranked together and nothing is sorted as a whole. Each level brings one row to the driver.
+    Nested histograms (``buckets`` parts per level) narrow the range to a single value, so nothing is sorted or ranked; each
+    level brings one row to the driver, and a 64-bit range takes six at most.
     """
     values = df.select(F.col(order).cast("bigint").alias("v")).filter(F.col("v").isNotNull())
     low, high, n = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
@@ -119,7 +140,7 @@ def order_cut(df: DataFrame, order: str, share: float, levels: int = 2, buckets:
     rank = int(share * n)
     if rank == 0:
         return low - 1
-    for _ in range(levels):
+    while True:
         step = max(-(-(high - low + 1) // buckets), 1)
         inside = values.filter(F.col("v").between(low, high))
         histogram = inside.groupBy(F.floor((F.col("v") - F.lit(low)) / F.lit(step)).cast("bigint").alias("part")).agg(F.count("*").alias("n"))
@@ -128,8 +149,6 @@ def order_cut(df: DataFrame, order: str, share: float, levels: int = 2, buckets:
         low, high, rank = low + part * step, low + (part + 1) * step - 1, rank - (upto - count)
         if step == 1:
             return low
-    inner = values.filter(F.col("v").between(low, high)).withColumn("rn", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("v")))
-    return inner.filter(F.col("rn") == rank).first().v
 
 
 def chronological_split(df: DataFrame, order: str, share: float = 0.8) -> DataFrame:

@@ -212,10 +212,13 @@ def next_unreviewed(counts: DataFrame, asset: str, reviews: str, current) -> Dat
 
 
 def bounded_queue(incoming: DataFrame, key: Column, order: str, recent: DataFrame, queued: DataFrame, cap: int) -> DataFrame:
-    """Rows that may join the queue: not recent, not queued, first of their key; the newest beyond ``cap`` are dropped."""
+    """Rows that may join the queue: not recent, not queued, first of their key, oldest first.
+
+    ``cap`` is that of the whole queue: what is queued already leaves the less room.
+    """
     keyed = incoming.withColumn("_key", key)
     fresh = keyed.join(recent.select("_key").distinct(), "_key", "left_anti").join(queued.select("_key").distinct(), "_key", "left_anti")
     columns = [c for c in keyed.columns if c != "_key"]
     firsts = fresh.filter(F.col("_key").isNotNull()).groupBy("_key").agg(F.min_by(F.struct(*columns), order).alias("_r")).select("_r.*")
     both = firsts.unionByName(fresh.filter(F.col("_key").isNull()).select(*columns))
-    return both.orderBy(order).limit(cap)
+    return both.orderBy(order).limit(max(0, cap - queued.count()))

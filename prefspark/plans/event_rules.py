@@ -153,7 +153,7 @@ VIEWS["judged"] = """
                {half_up("avg(value) FILTER (final = 'PASS')", 4)} AS pass_score FROM judged GROUP BY 1),
     tags AS (SELECT user_id, string_agg(event_type || ' (' || n || ')', ', ' ORDER BY n DESC, event_type) AS top_tags FROM
              (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS rn FROM (SELECT user_id, event_type, count(*) AS n FROM judged GROUP BY 1, 2))
-             WHERE rn <= 2 GROUP BY 1)
+             WHERE rn <= 5 GROUP BY 1)
     SELECT a.*, {half_up('likes / total', 4)} AS like_rate, {half_up('CASE WHEN prompts > 0 THEN corrected / prompts ELSE 0 END', 4)} AS correction_rate,
            CASE WHEN prompts >= 10 AND corrected / prompts >= 0.35 THEN 'train more' WHEN prompts >= 10 AND corrected / prompts <= 0.15 THEN 'well aligned' ELSE '' END AS advice,
            top_tags FROM a JOIN tags USING (user_id)""",
@@ -169,4 +169,4 @@ def session_summary(t):
         "value",
         kind.alias("tag"),
     )
-    return summarize(judged, ["user_id"], score="value", tag="tag", top=2)
+    return summarize(judged, ["user_id"], score="value", tag="tag", top=5)

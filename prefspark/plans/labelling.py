@@ -180,8 +180,8 @@ NAME_RULE_SQL = r"""
          WHEN regexp_matches(name, '[\x{10000}-\x{10FFFF}]') THEN 'emoji'
          WHEN regexp_matches(replace(trim(name), ' ', ''), '^\p{L}{2,}$') AND trim(name) = upper(trim(name)) THEN 'capitals'
          WHEN trim(lower(name)) IN ('blue bolt', 'red ring') THEN 'deny list'
-         WHEN list_contains(string_split(trim(name), ' '), 'gear') THEN 'deny word gear'
-         WHEN list_contains(string_split(trim(name), ' '), 'widget') THEN 'deny word widget' END"""
+         WHEN list_contains(string_split(trim(name), ' '), 'widget') THEN 'deny word widget'
+         WHEN list_contains(string_split(trim(name), ' '), 'gear') THEN 'deny word gear' END"""
 
 
 def name_reason():

@@ -214,21 +214,21 @@ def priority_sort(t):
 @query(
     "sort_modes",
     """WITH r AS (SELECT review_id, created_at, age <> 7 AS available, p FROM reviews WHERE review_status = 'pending')
-       SELECT * FROM (SELECT 'priority' AS sort_mode, review_id FROM r ORDER BY available DESC, p DESC, created_at DESC, review_id LIMIT 50)
-       UNION ALL SELECT * FROM (SELECT 'uncertain', review_id FROM r ORDER BY available DESC, abs(p - 0.5), created_at DESC, review_id LIMIT 50)
-       UNION ALL SELECT * FROM (SELECT 'confident', review_id FROM r ORDER BY available DESC, abs(p - 0.5) DESC, created_at DESC, review_id LIMIT 50)
-       UNION ALL SELECT * FROM (SELECT 'recent', review_id FROM r ORDER BY available DESC, created_at DESC, review_id LIMIT 50)""",
+       SELECT * FROM (SELECT 'priority' AS sort_mode, row_number() OVER (ORDER BY available DESC, p DESC, created_at DESC, review_id) AS position, review_id FROM r)
+       UNION ALL SELECT * FROM (SELECT 'uncertain', row_number() OVER (ORDER BY available DESC, abs(p - 0.5), created_at DESC, review_id) AS position, review_id FROM r)
+       UNION ALL SELECT * FROM (SELECT 'confident', row_number() OVER (ORDER BY available DESC, abs(p - 0.5) DESC, created_at DESC, review_id) AS position, review_id FROM r)
+       UNION ALL SELECT * FROM (SELECT 'recent', row_number() OVER (ORDER BY available DESC, created_at DESC, review_id) AS position, review_id FROM r)""",
 )
 def sort_modes(t):
-    """First page of each mode over the whole queue."""
+    """The whole queue in each mode, with its position there."""
     pending = t.reviews.filter("review_status = 'pending'").withColumns(
         {"asset_available": F.col("age") != 7, "review_priority": F.col("p")}
     )
-    pages = [
-        Q.page_slice(Q.sort_reviews(pending, mode, "review_id"), 0, 50).select(F.lit(mode).alias("sort_mode"), "review_id")
+    ranked = [
+        B.with_position(Q.sort_reviews(pending, mode, "review_id").select("review_id")).select(F.lit(mode).alias("sort_mode"), "position", "review_id")
         for mode in Q.SORT_MODES
     ]
-    return pages[0].unionByName(pages[1]).unionByName(pages[2]).unionByName(pages[3])
+    return ranked[0].unionByName(ranked[1]).unionByName(ranked[2]).unionByName(ranked[3])
 
 
 @query(
@@ -274,7 +274,7 @@ def history_score_topk(t):
 
 
 VIEWS["history_context"] = """
-    SELECT * FROM reviews WHERE p >= 0.9"""
+    SELECT * FROM reviews"""
 VIEWS["history_stage"] = """
     SELECT s.*, CASE WHEN score < 2 THEN 'low_score' WHEN c_custkey IN (SELECT target_index FROM history_context WHERE review_mode <> 'auto') THEN 'handled'
            WHEN c_nationkey = 5 THEN 'no_asset'
@@ -285,7 +285,7 @@ VIEWS["history_stage"] = """
 
 def history_stages(t):
     """Every old row tagged with the reason it is (not) offered for a second review."""
-    context = t.reviews.filter("p >= 0.9")
+    context = t.reviews
     history, pending = Q.is_history(), F.col("review_status") == "pending"
     handled = context.filter(history).select(F.col("target_index").alias("c_custkey")).distinct().withColumn("_handled", F.lit(True))
     rows = history_scores(t)
@@ -320,11 +320,11 @@ def history_anti_join(t):
 @query(
     "recheck_enqueue",
     """SELECT id, greatest(0.92, least(0.99, 0.45e0 + 0.5e0)) AS review_priority FROM feedback WHERE feedback_domain = 'Other' AND details LIKE '%quick_agree%'
-       AND id NOT IN (SELECT target_index FROM reviews WHERE review_mode = 'quick_agree_recheck' AND p > 0.8)""",
+       AND id NOT IN (SELECT target_index FROM reviews WHERE review_mode = 'quick_agree_recheck')""",
 )
 def recheck_enqueue(t):
     plain = FB.is_plain_agree(F.lit("real"), F.col("feedback_domain"), F.col("label"), F.col("details"))
-    asked = t.reviews.filter((F.col("review_mode") == Q.RECHECK_MODE) & (F.col("p") > 0.8)).select(F.col("target_index").alias("id")).distinct()
+    asked = t.reviews.filter(F.col("review_mode") == Q.RECHECK_MODE).select(F.col("target_index").alias("id")).distinct()
     fresh = t.feedback.filter(plain).join(asked, "id", "left_anti")
     priority = F.greatest(Q.history_priority(F.lit(5.0), F.lit(None).cast("double")), F.lit(0.92))
     return fresh.select("id", priority.alias("review_priority"))
@@ -332,16 +332,17 @@ def recheck_enqueue(t):
 
 @query(
     "bounded_queue",
-    """SELECT event_id, user_id FROM (SELECT min(event_id) AS event_id, arg_min(user_id, event_id) AS user_id FROM events WHERE event_type = 'view'
-        AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 150) AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
-        GROUP BY user_id) ORDER BY event_id LIMIT 40""",
+    """WITH q AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
+        SELECT event_id, user_id FROM (SELECT event_id, user_id, row_number() OVER (ORDER BY event_id) AS r FROM (SELECT min(event_id) AS event_id, arg_min(user_id, event_id) AS user_id FROM events WHERE event_type = 'view'
+        AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 150) AND user_id NOT IN (FROM q)
+        GROUP BY user_id)) WHERE r <= greatest(0, 150 - (SELECT count(*) FROM q))""",
 )
 def bounded_queue(t):
     key = F.col("user_id").cast("string")
     incoming = t.events.filter("event_type = 'view'").select("event_id", "user_id")
     recent = t.events.filter("event_type = 'purchase' AND value > 150").select(key.alias("_key"))
     queued = t.customer.filter("c_acctbal < 0").select(F.col("c_custkey").cast("string").alias("_key"))
-    return Q.bounded_queue(incoming, key, "event_id", recent, queued, 40)
+    return Q.bounded_queue(incoming, key, "event_id", recent, queued, 150)
 
 
 @query(

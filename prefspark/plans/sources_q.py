@@ -115,7 +115,7 @@ def batches(t):
 
 @query(
     "nested_json_flatten",
-    f"""SELECT event_id, 'u' || user_id AS item_id, 'h' || event_id AS content_hash, event_type AS name, 'a,' || event_type AS tags, event_type || ', b' AS kind, k || ' cm' AS height,
+    f"""SELECT event_id, 'u' || user_id AS item_id, 'h' || event_id AS content_hash, event_type AS name, 'a,' || event_type AS tags, 'late' AS kind, k || ' cm' AS height,
                'long' AS goal, {half_up('k * 1.609e0', 0)} AS distance_km, 'p0 f2-' || k AS photos FROM decisions""",
 )
 def nested_json_flatten(t):
@@ -135,17 +135,18 @@ def nested_json_flatten(t):
 
 
 SELECTIONS = """'[{"name":"","section_name":" Lang ","choice_selections":[{"name":" ' || lang || '"},{"name":"x"}]},{"id":"size","measurable_selection":{"value":' || n_chars ||
-    ',"unit_of_measure":"' || CASE WHEN lang = 'en' THEN 'chars' ELSE '' END || '"}},{"name":"Lang","choice_selections":[{"name":"again"}]},{"name":" "}]'"""
+    ',"unit_of_measure":"' || CASE WHEN lang = 'en' THEN 'chars' ELSE '' END || '"}},{"name":"Lang","choice_selections":[{"name":"again"}]},{"name":" ","id":"blank","choice_selections":[{"name":"never"}]},'
+    || '{"prompt":"long","choice_selections":[{"name":"' || repeat('z', 301) || '"}]}]'"""
 
 
 @query(
     "attr_map_extract",
-    """SELECT id, lang || ', x' AS lang_value, CASE WHEN lang = 'en' THEN n_chars || ' chars' ELSE n_chars::VARCHAR END AS size_value, 2::BIGINT AS n FROM items""",
+    """SELECT id, 'again' AS lang_value, 301 AS long_value, CASE WHEN lang = 'en' THEN n_chars || ' chars' ELSE n_chars::VARCHAR END AS size_value, 3::BIGINT AS n FROM items""",
 )
 def attr_map_extract_q(t):
     m = attr_map_extract(F.from_json(F.expr(SELECTIONS), SELECTION_SCHEMA))
     parsed = t.items.select("id", m.alias("m"))
-    return parsed.select("id", F.col("m")["Lang"].alias("lang_value"), F.col("m")["size"].alias("size_value"), F.size("m").cast("bigint").alias("n"))
+    return parsed.select("id", F.col("m")["Lang"].alias("lang_value"), F.length(F.col("m")["long"]).alias("long_value"), F.col("m")["size"].alias("size_value"), F.size("m").cast("bigint").alias("n"))
 
 
 TREE = """'{"section_name":"Basics","items":[{"title_text":"Kind","body_text":"' || event_type || '"},{"name":"Level","value":{"text":"' || k || '"}},'

@@ -16,7 +16,10 @@ def markdown(metrics: DataFrame, bins: DataFrame) -> DataFrame:
     lines = ["# Model evaluation", "", "| block | metric | value |", "| --- | --- | ---: |"]
     lines += [f"| {r.block} | {r.metric} | {'' if r.value is None else r.value} |" for r in sorted(rows, key=lambda r: (r.block, r.metric))]
     lines += ["", "## Calibration", "", "| range | n | mean probability | observed rate |", "| --- | ---: | ---: | ---: |"]
-    for r in sorted(bins.limit(MAX_MARKDOWN_ROWS).collect(), key=lambda r: r.bin):
+    ranges = bins.limit(MAX_MARKDOWN_ROWS + 1).collect()
+    if len(ranges) > MAX_MARKDOWN_ROWS:
+        raise ValueError("not a report: too many calibration ranges")
+    for r in sorted(ranges, key=lambda r: r.bin):
         mean, rate = ("" if v is None else v for v in (r.avg_probability, r.observed_rate))
         lines.append(f"| {r.low}-{r.high} | {r.n} | {mean} | {rate} |")
     return metrics.sparkSession.createDataFrame([("\n".join(lines),)], "value string")
