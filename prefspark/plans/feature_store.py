@@ -20,8 +20,9 @@ from prefspark.session import cut_lineage, scratch_path
 TEXT_FEATURES = ("text_length", "text_words", "positive_keywords", "negative_keywords", "tag_overlap", "flag_western")
 ASSET_FEATURES = ("brightness", "sharpness", "distance_score", "distance_missing", "name_length")
 META_FEATURES = ("text_oof", "asset_oof", "brightness", "distance_score")
-# smaller than the shipped 160 trees: these queries show the operators, they do not tune a model
-SMALL = M.HeadConfig(trees=5, depth=3)
+# the shipped 160 trees of depth 4; the out-of-fold queries fit ten heads each and use fewer trees
+SHIPPED = M.HeadConfig()
+FOLDS = M.HeadConfig(trees=5, depth=3)
 
 VIEWS["weight_rows"] = """
     SELECT *, CASE WHEN src_no >= 18 THEN 'synthetic' WHEN src_no = 17 THEN 'photo_deep' ELSE 'Real' END AS origin,
@@ -96,25 +97,25 @@ def stratified_oof(t):
 
 
 def training_frame(t):
-    """Labelled items with their wide features, head labels, weights and folds."""
+    """Labelled items with their wide features, head labels and weights, written once: a fit reads them many times."""
     keep = ("id", "label", "p", "toxic", "lang", "w_text", "w_photo")
     rows = weighted(weighted(weight_rows(t), "photo", "w_photo"), "text", "w_text")
-    return item_features(rows, keep)
+    return cut_lineage(item_features(rows, keep))
 
 
 @query("fit_head")
 def fit_head(t):
     frame = training_frame(t)
-    model = M.fit_head(frame, TEXT_FEATURES, "label", "w_text", SMALL)
+    model = M.fit_head(frame, TEXT_FEATURES, "label", "w_text", SHIPPED)
     return M.score(model, frame, TEXT_FEATURES, "text_p").select("id", "label", rounded("text_p", 6).alias("text_p"))
 
 
 def oof_frame(t):
     # the folds read this frame many times: materialize the text features once
     frame = cut_lineage(M.stratified_folds(training_frame(t), "id", "label"))
-    text = M.out_of_fold(frame, TEXT_FEATURES, "label", "text_oof", "w_text", SMALL)
+    text = M.out_of_fold(frame, TEXT_FEATURES, "label", "text_oof", "w_text", FOLDS)
     measured = frame.filter(F.col("brightness") > 0.2)
-    asset = M.out_of_fold(measured, ASSET_FEATURES, "label", "asset_oof", "w_photo", SMALL).select("id", "asset_oof")
+    asset = M.out_of_fold(measured, ASSET_FEATURES, "label", "asset_oof", "w_photo", FOLDS).select("id", "asset_oof")
     joined = text.select("id", "label", "fold", "brightness", "distance_score", "text_oof").join(asset, "id", "left")
     return joined.withColumn("asset_oof", F.coalesce("asset_oof", F.lit(0.5)))
 
@@ -135,7 +136,7 @@ def meta_stack_platt(t):
 def second_head(t):
     liked = training_frame(t).filter("label = 1").join(t.feedback.select("id", "details", "feedback_intensity"), "id")
     strong = (F.col("toxic") == 1) | (F.col("lang") == "es")
-    model = M.fit_second_head(liked, TEXT_FEATURES, strong, F.col("feedback_intensity"), "details", SMALL)
+    model = M.fit_second_head(liked, TEXT_FEATURES, strong, F.col("feedback_intensity"), "details", SHIPPED)
     return M.score(model, liked, TEXT_FEATURES, "strong_p").select("id", rounded("strong_p", 6).alias("strong_p"))
 
 
@@ -153,7 +154,7 @@ def asset_head(t):
 def model_save_load_guard(t):
     """Save a head, load it under the same contract, and under a changed feature order (which is refused)."""
     frame, path = training_frame(t), scratch_path(t.spark, "models")
-    heads, lists = {"text": M.fit_head(frame, TEXT_FEATURES, "label", "w_text", SMALL)}, {"text": TEXT_FEATURES}
+    heads, lists = {"text": M.fit_head(frame, TEXT_FEATURES, "label", "w_text", SHIPPED)}, {"text": TEXT_FEATURES}
     M.save_models(heads, lists, 21, path, t.spark)
     loaded = M.load_models(lists, 21, path, t.spark)
     refused = M.load_models({"text": TEXT_FEATURES[::-1]}, 21, path, t.spark)
@@ -163,15 +164,15 @@ def model_save_load_guard(t):
 
 @query("top_features")
 def top_features(t):
-    model = M.fit_head(training_frame(t), TEXT_FEATURES, "label", "w_text", SMALL)
+    model = M.fit_head(training_frame(t), TEXT_FEATURES, "label", "w_text", SHIPPED)
     return M.top_features(M.importances(model, TEXT_FEATURES, t.spark), 3)
 
 
 @query("importance_blend")
 def importance_blend(t):
     frame = training_frame(t)
-    text = M.importances(M.fit_head(frame, TEXT_FEATURES, "label", "w_text", SMALL), TEXT_FEATURES, t.spark)
-    asset = M.importances(M.fit_head(frame, ASSET_FEATURES, "label", "w_photo", SMALL), ASSET_FEATURES, t.spark)
+    text = M.importances(M.fit_head(frame, TEXT_FEATURES, "label", "w_text", SHIPPED), TEXT_FEATURES, t.spark)
+    asset = M.importances(M.fit_head(frame, ASSET_FEATURES, "label", "w_photo", SHIPPED), ASSET_FEATURES, t.spark)
     return M.blend_importances([(text, 0.15), (asset, 0.85)])
 
 
@@ -334,8 +335,8 @@ def uncertain_escalate(t):
 def score_items(t):
     """The whole scoring projection: heads, blends, adjustment, cap and policy. Rows only (fitted trees)."""
     frame = training_frame(t)
-    text = M.fit_head(frame, TEXT_FEATURES, "label", "w_text", SMALL)
-    asset = M.fit_head(frame.filter("brightness > 0.2"), ASSET_FEATURES, "label", "w_photo", SMALL)
+    text = M.fit_head(frame, TEXT_FEATURES, "label", "w_text", SHIPPED)
+    asset = M.fit_head(frame.filter("brightness > 0.2"), ASSET_FEATURES, "label", "w_photo", SHIPPED)
     return score_frame(item_features(t.items, ("id", "lang", "src_no")), text, asset)
 
 

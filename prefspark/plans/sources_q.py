@@ -281,12 +281,6 @@ def append_labelled(t):
     return t.spark.createDataFrame(counts, "append_run string, rows bigint")
 
 
-@query("asset_listing")
-def asset_listing(t):
-    """The table files themselves, newest first (rows only: sizes and times belong to the file system)."""
-    return S.list_assets(t.spark, t.sf_dir, 100, "*.parquet").select("name", "size")
-
-
 @query(
     "synthetic_generate",
     """

@@ -9,7 +9,7 @@ from prefspark.functions.text import normalize_key
 from prefspark.operators import heads as M
 from prefspark.operators.bucketed import HOUR
 from prefspark.plans.event_rules import cooldown_sql
-from prefspark.plans.feature_store import ASSET_FEATURES, SMALL, TEXT_FEATURES, score_frame, training_frame
+from prefspark.plans.feature_store import ASSET_FEATURES, SHIPPED, TEXT_FEATURES, score_frame, training_frame
 from prefspark.plans.registry import half_up, query
 from prefspark.plans.scalars import item_features
 from prefspark.plans.tables import Tables
@@ -123,8 +123,8 @@ def stream_confirmations(t):
 def stream_score(t):
     """Documents as they arrive: drop those whose text is already labelled, score the rest. Rows only (fitted trees)."""
     frame = training_frame(t)
-    text = M.fit_head(frame, TEXT_FEATURES, "label", "w_text", SMALL)
-    asset = M.fit_head(frame.filter("brightness > 0.2"), ASSET_FEATURES, "label", "w_photo", SMALL)
+    text = M.fit_head(frame, TEXT_FEATURES, "label", "w_text", SHIPPED)
+    asset = M.fit_head(frame.filter("brightness > 0.2"), ASSET_FEATURES, "label", "w_photo", SHIPPED)
     trained = t.labelled.select(F.sha1(normalize_key("text")).alias("h")).distinct()
 
     def fresh(batch):

@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session may fall back to a temporary folder: on a cluster a machine-local folder
     would be lost with its executor, so a missing setting is an error there.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
@@ -56,9 +56,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Even out a scan that gives fewer tasks than there are cores (a single large row group, say).
+    """Deal a test table out over the cores of a local session: its file is a single row group, which no split size cuts.
 
-    Scans of many files or row groups pass through unchanged, so large inputs pay no shuffle.
+    On a cluster the scan passes through; large tables have splits of their own.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
+    context = scan.sparkSession.sparkContext
+    if not context.master.startswith("local[") or scan.rdd.getNumPartitions() >= context.defaultParallelism:
+        return scan
+    return scan.repartition(context.defaultParallelism, key)
