@@ -157,10 +157,11 @@ def test_domain_set(spark):
     assert one(spark, FB.domain_set("p", "d"), p="other", d=details) == ["other", "bio", "photo"]
 
 
-def test_attr_map_first_key_wins(spark):
+def test_attr_map_last_key_wins(spark):
     raw = '[{"name":"A","choice_selections":[{"name":"x"},{"name":" "},{"name":"y"}]},{"name":"A","choice_selections":[{"name":"z"}]},{"id":"h","measurable_selection":{"value":"180","unit_of_measure":"cm"}}]'
     parsed = A.attr_map_extract(F.from_json("s", A.SELECTION_SCHEMA))
-    assert one(spark, parsed, s=raw) == {"A": "x, y", "h": "180 cm"}
+    assert one(spark, parsed, s=raw) == {"A": "z", "h": "180 cm"}
+    assert one(spark, parsed, s=raw.replace("z", " ")) == {"A": "x, y", "h": "180 cm"}
 
 
 def test_url_keys_ignore_the_signature(spark):
