@@ -2,7 +2,8 @@
 
 A vocabulary learnt on text spends one token on several characters of anything readable, but one on one or two
 characters of a random string. Runs of key characters with few characters per token are reported as ``random``, unless
-they are known digests (hexadecimal of a usual digest length), UUIDs, dates, numbers, or lie in a span already found.
+they are known digests (hexadecimal of a usual digest length), UUIDs, dates, numbers, or lie in a span already found. A
+run that reads well as a whole is searched for stretches that do not, so readable neighbours cannot hide a secret.
 
 Base kinds, leftmost and non-overlapping per kind; matches that are too short are dropped: ``assign`` (a key name, a
 sign and a value), ``access`` (cloud access key ids), ``hex`` (long hexadecimal runs). Spans count code points, the end
@@ -31,6 +32,9 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
+#: Digests (of the lengths filled in), UUIDs and dates that stand between other parts of a run.
+SHAPES = r"(?<![A-Za-z0-9])(?:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}|(?:%s)|[0-9]{4}-[0-9][0-9]-[0-9][0-9](?:[t_-][0-9_-]*z?)?)(?![A-Za-z0-9])"
+PARTS = re.compile(r"[A-Za-z0-9]+")
 #: What a text must hold to be worth each of the patterns above, in the syntax of the vectorised matcher.
 HINTS = (r"(?i)passw|secret|token|api_?key", r"AKIA", r"[0-9a-f]{24}", r"[0-9]|[a-z][A-Z]")
 SPAN = T.StructType(
@@ -56,8 +60,10 @@ class Scanner:
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.tokens = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        self.sizes = {i: len(t) for t, i in table.items()}
         self.rule = rule
         self.run = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % rule.min_chars)
+        self.shapes = re.compile(SHAPES % "|".join(f"[0-9a-f]{{{n}}}" for n in rule.digest_lengths), re.I)
 
     def is_random(self, s: str) -> bool:
         """Whether a run of key characters reads like a random string."""
@@ -74,6 +80,64 @@ class Scanner:
             return False
         return len(core) <= self.rule.most_chars_per_token * len(self.tokens(core))
 
+    def gain(self, s: str) -> float:
+        """How far the tokens of a run outnumber those of a readable one."""
+        return self.rule.most_chars_per_token * len(self.tokens(s)) - len(s)
+
+    def stretches(self, s: str) -> list[tuple[int, int]]:
+        """The random stretches of a run that is not random as a whole: token by token the best ones, widened to whole
+        parts between signs, and by neighbouring parts that are as badly compressed."""
+        # disjoint stretches, each with the totals before and behind it (Ruzzo and Tompa); done: none can grow any more
+        done, best, least = [], [], 0.0
+        at, place = 0.0, 0
+        for token in self.tokens(s):
+            size = self.sizes[token]
+            before, at = at, at + self.rule.most_chars_per_token - size
+            if at > before:
+                one = (before, at, place, place + size)
+                if before <= least:
+                    done.extend(best)
+                    best, least = [], before
+                while best:
+                    k = next((k for k in range(len(best) - 1, -1, -1) if best[k][0] < one[0]), -1)
+                    if k < 0 or best[k][1] >= one[1]:
+                        break
+                    one = (best[k][0], one[1], best[k][2], one[3])
+                    del best[k:]
+                best.append(one)
+            place += size
+        parts = [m.span() for m in PARTS.finditer(s)]
+        out, taken = [], 0
+        for _, _, start, end in done + best:
+            held = [k for k, (a, b) in enumerate(parts) if a < end and b > start and a >= taken]
+            if not held:
+                continue
+            first, last = held[0], held[-1]
+            low, high = first, last
+            near = lambda k, a, b: b - a <= 3 or self.gain(s[a:b]) + 1 >= 0
+            while low and parts[low - 1][0] >= taken and near(low - 1, *parts[low - 1]):
+                low -= 1
+            while high + 1 < len(parts) and near(high + 1, *parts[high + 1]):
+                high += 1
+            tries = [(i, j, s[parts[i][0] : parts[j][1]]) for i, j in ((low, high), (first, high), (low, last), (first, last))]
+            tries.append((first, last, s[start:end]))  # glued to a word without a sign
+            hit = next(((i, j) for i, j, own in tries if self.is_random(own)), None)
+            if hit:
+                taken = parts[hit[1]][1]
+                out.append((parts[hit[0]][0], taken))
+        return out
+
+    def pieces(self, s: str) -> list[tuple[int, int]]:
+        """The random stretches of a run: all of it, or those between digests, UUIDs, dates and readable parts."""
+        if self.is_random(s):
+            return [(0, len(s))]
+        out, start = [], 0
+        for a, b in [*(m.span() for m in self.shapes.finditer(s)), (len(s), len(s))]:
+            if a - start >= self.rule.min_chars:
+                out += [(start + i, start + j) for i, j in self.stretches(s[start:a])]
+            start = b
+        return out
+
     def spans(self, text: str, hints: tuple[bool, bool, bool, bool]) -> list[tuple[int, int, int]]:
         """(start, rank of the kind, end), in order."""
         found = []
@@ -89,8 +153,8 @@ class Scanner:
             for m in self.run.finditer(text):
                 while at < len(taken) and taken[at][0] < m.end():
                     reach, at = max(reach, taken[at][1]), at + 1
-                if reach <= m.start() and self.is_random(m[0]):
-                    found.append((m.start(), 3, m.end()))
+                if reach <= m.start():
+                    found += [(m.start() + a, 3, m.start() + b) for a, b in self.pieces(m[0])]
         return sorted(found)
 
     def scan(self, texts: pa.Array) -> list[pa.Array]:

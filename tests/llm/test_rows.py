@@ -82,6 +82,21 @@ def test_random_strings_are_found_and_digests_left(spark, sf_dir):
     assert "random" not in "".join(r.spans for r in queries.op9_token_secrets(spark, sf_dir).collect() if 18 <= r.doc_id < 24)
 
 
+def test_secrets_behind_readable_parts_are_found_and_masked(spark):
+    rng = random.Random(8)
+    around = [("client_credentials_for_production_server=", ""), ("production_database_connection_string=", ""),
+              ("webhook/production/customer/", "/notifications/incoming")]
+    alphabets = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"]
+    cases = [(a, "x" + "".join(rng.choices(s, k=n - 2)) + "9", b) for a, b in around for s in alphabets for n in (24, 32, 40) for _ in range(8)]
+    clean = ["client_credentials_for_production_server2=customer_database_connection/notifications", "webhook/production/customer/550e8400-e29b-41d4-a716-446655440000/notifications",
+             f"webhook/production/customer/{HEX40.upper()}/notifications/incoming", "reports/2024-01-15/production/customer/webhook"]
+    docs = table(spark, [f"see {a}{x}{b} now" for a, x, b in cases] + [f"see {c} now" for c in clean])
+    out = [r.text for r in token_secrets.redact(docs, *queries.secret_vocabulary()).orderBy("doc_id").collect()]
+    assert out[len(cases) :] == [f"see {c} now" for c in clean]
+    for (a, x, b), text in zip(cases, out, strict=False):
+        assert "[SECRET]" in text and not any(x[i : i + 6] in text for i in range(len(x) - 5)), (a, x, b, text)
+
+
 def test_redaction_masks_overlaps_once_and_keeps_the_rest(spark):
     docs = table(spark, [f"x token={HEX40} y", None, "plain"])
     out = token_secrets.redact(docs, *queries.secret_vocabulary())
