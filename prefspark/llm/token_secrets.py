@@ -2,7 +2,8 @@
 
 A vocabulary learnt on text spends one token on several characters of anything readable, but one on one or two
 characters of a random string. Runs of key characters with few characters per token are reported as ``random``, unless
-they are known digests (hexadecimal of a usual digest length), UUIDs, dates, numbers, or lie in a span already found. A
+they are known digests (hexadecimal of a usual digest length), UUIDs, dates, numbers, or lie in a span already found (what
+a run holds beside such spans is judged). A
 run that reads well as a whole is searched for stretches that do not, so readable neighbours cannot hide a secret.
 
 Base kinds, leftmost and non-overlapping per kind; matches that are too short are dropped: ``assign`` (a key name, a
@@ -35,6 +36,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Digests (of the lengths filled in), UUIDs and dates that stand between other parts of a run.
 SHAPES = r"(?<![A-Za-z0-9])(?:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}|(?:%s)|[0-9]{4}-[0-9][0-9]-[0-9][0-9](?:[t_-][0-9_-]*z?)?)(?![A-Za-z0-9])"
 PARTS = re.compile(r"[A-Za-z0-9]+")
+#: So many letters and digits right beside a base span belong to the same string; fewer are a mark like 0x.
+GLUED = 4
 #: What a text must hold to be worth each of the patterns above, in the syntax of the vectorised matcher.
 HINTS = (r"(?i)passw|secret|token|api_?key", r"AKIA", r"[0-9a-f]{24}", r"[0-9]|[a-z][A-Z]")
 SPAN = T.StructType(
@@ -138,6 +141,19 @@ class Scanner:
             start = b
         return out
 
+    def beside(self, s: str, over: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+        """The random stretches of a run beside the base spans (rank of the kind, start, end) in it. A key id or
+        hexadecimal span with ``GLUED`` or more letters and digits right before or behind it is part of a longer string,
+        which is judged with it; all other spans are taken out of the run."""
+        out, start = [], 0
+        for kind, a, b in [*over, (0, len(s), len(s))]:
+            if KINDS[kind] != "assign" and any(len(x) == GLUED and x.isalnum() for x in (s[max(start, a - GLUED) : a], s[b : b + GLUED])):
+                continue
+            if a - start >= self.rule.min_chars:
+                out += [(start + i, start + j) for i, j in self.pieces(s[start:a])]
+            start = max(start, b)
+        return out
+
     def spans(self, text: str, hints: tuple[bool, bool, bool, bool]) -> list[tuple[int, int, int]]:
         """(start, rank of the kind, end), in order."""
         found = []
@@ -148,13 +164,14 @@ class Scanner:
         if hints[2]:
             found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
         if hints[3]:
-            taken = sorted((a, b) for a, _, b in found)
-            at, reach = 0, 0  # reach: the largest end of spans that start before the run's end
+            taken, at, open_ = sorted(found), 0, []  # open_: base spans that start before the run's end and end behind its start
             for m in self.run.finditer(text):
                 while at < len(taken) and taken[at][0] < m.end():
-                    reach, at = max(reach, taken[at][1]), at + 1
-                if reach <= m.start():
-                    found += [(m.start() + a, 3, m.start() + b) for a, b in self.pieces(m[0])]
+                    open_.append(taken[at])
+                    at += 1
+                open_ = [x for x in open_ if x[2] > m.start()]
+                over = [(k, max(a - m.start(), 0), min(b, m.end()) - m.start()) for a, k, b in open_]
+                found += [(m.start() + a, 3, m.start() + b) for a, b in self.beside(m[0], over)]
         return sorted(found)
 
     def scan(self, texts: pa.Array) -> list[pa.Array]:

@@ -97,6 +97,20 @@ def test_secrets_behind_readable_parts_are_found_and_masked(spark):
         assert "[SECRET]" in text and not any(x[i : i + 6] in text for i in range(len(x) - 5)), (a, x, b, text)
 
 
+def test_secrets_that_touch_a_base_span_are_found_and_masked(spark):
+    rng = random.Random(12)
+    key = lambda n: "x" + "".join(rng.choices(string.ascii_letters + string.digits, k=n - 2)) + "9"
+    digits = HEX40[:24]
+    cases = [("AKIA" + "A1" * 8 + "/", key(40), "") for _ in range(8)] + [("", key(40), "/AKIA" + "A1" * 8) for _ in range(8)]
+    cases += [("", key(10) + "Z" + digits + "Z" + key(10), "") for _ in range(8)] + [("", key(30), "=" + HEX40) for _ in range(8)]
+    kept = [f"0x{HEX40}", f"release/{HEX40}/production/customer"]
+    docs = table(spark, [f"see {a}{x}{b} now" for a, x, b in cases] + [f"see {k} now" for k in kept])
+    out = [r.text for r in token_secrets.redact(docs, *queries.secret_vocabulary()).orderBy("doc_id").collect()]
+    assert out[len(cases) :] == [f"see {k.replace(HEX40, '[SECRET]')} now" for k in kept]
+    for (a, x, b), text in zip(cases, out, strict=False):
+        assert not any(x[i : i + 6] in text for i in range(len(x) - 5)), (a, x, b, text)
+
+
 def test_redaction_masks_overlaps_once_and_keeps_the_rest(spark):
     docs = table(spark, [f"x token={HEX40} y", None, "plain"])
     out = token_secrets.redact(docs, *queries.secret_vocabulary())
