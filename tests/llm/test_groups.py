@@ -93,6 +93,23 @@ def test_op7_ids_that_repeat_or_are_null(spark, tmp_path):
     assert queries.op7_bbit_minhash(spark, folder(docs.limit(0), tmp_path / "e")).count() == 0
 
 
+def test_short_texts_with_one_word_more_are_linked(spark):
+    texts = [f"a{k} b{k} c{k} d{k} e{k}" for k in range(2_000)]
+    docs = table(spark, texts + [f"{x} f" for x in texts], extra=False)
+    assert docs.count() == 4_000
+    got = {r.doc_id: r.component_id for r in bbit_minhash.find_components(docs).collect()}
+    assert [i for i in range(4_000) if got[i] != i % 2_000] == []
+
+
+def test_blocks_link_short_sets():
+    signer, rng = bbit_minhash.Signer(bbit_minhash.Params()), np.random.default_rng(4)
+    lost = 0
+    for _ in range(2_000):
+        x = np.sort(rng.integers(0, 1 << 63, 5).astype(np.uint64) * np.uint64(2))
+        lost += bbit_minhash._links([(0, 0, 0, x[:4]), (1, 1, 0, x)], True, signer).num_rows != 1
+    assert lost == 0
+
+
 def test_estimate_is_near_the_similarity():
     signer = bbit_minhash.Signer(bbit_minhash.Params())
     rng = np.random.default_rng(1)
