@@ -5,8 +5,8 @@ a bounded sample of labelled windows, applied to all windows of every text. Wind
 the widest filter less one byte, so every position of a text is seen once; a text's class is that of the mean of its
 windows' log-odds, weighted by their bytes.
 
-The network is fitted on the driver from at most about ``Net.per_class`` texts of each language and ``Net.crops`` pieces
-of each text; all else covers all rows. Only the text enters a prediction.
+The network is fitted on the driver from at most about ``Net.per_class`` distinct texts of each language and ``Net.crops``
+pieces of each text; all else covers all rows. Only the text enters a prediction.
 
 Defined results: null texts and texts without letters are ``und`` with score 0, as is everything if nothing could be
 learnt; every input row gives one output row; texts of any length are read whole; an empty table gives an empty table.
@@ -177,17 +177,22 @@ def fit(docs: DataFrame, usable: Column, net: Net = Net(), text: str = "text", l
     rows = docs.where(usable & F.col(label).isNotNull() & F.col(text).rlike(LETTER)).select(
         F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("t")
     )
-    totals = rows.groupBy("label").count().limit(MOST_LANGUAGES + 1).collect()
+    rows = rows.withColumn("h", F.xxhash64("t"))
+    totals = rows.select("label", "h").distinct().groupBy("label").count().limit(MOST_LANGUAGES + 1).collect()
     if len(totals) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} different labels")
     if not totals:
         return Weights(net, [])
     parts = 1 << 20
     share = F.create_map(*[F.lit(x) for r in totals for x in (r["label"], min(parts, parts * net.per_class // r["count"] + 1))])
-    drawn = rows.where(F.pmod(F.xxhash64("t"), F.lit(parts)) < F.element_at(share, F.col("label")))
+    drawn = rows.where(F.pmod("h", F.lit(parts)) < F.element_at(share, F.col("label")))
     room = F.greatest(F.length("t") - net.window + 1, F.lit(1))
     pieces = [F.substring("t", F.pmod(F.xxhash64("t", F.lit(k)), room).cast("int") + 1, F.lit(net.window)) for k in range(net.crops)]
-    sample = sorted(map(tuple, drawn.select("label", F.explode(F.array_distinct(F.array(*pieces)))).collect()))
+    # one row of each drawn text, as its pieces are the same in all copies
+    once = drawn.select("label", "h", F.array_distinct(F.array(*pieces)).alias("pieces")).dropDuplicates(["label", "h"])
+    sample = sorted(map(tuple, once.select("label", F.explode("pieces")).collect()))
+    if missing := {r["label"] for r in totals} - {name for name, _ in sample}:
+        raise ValueError(f"no text drawn for {sorted(missing)}")
     sample = [(name, piece.lower().encode()) for name, piece in sample]
     classes = sorted({name for name, _ in sample})
     at = {c: i for i, c in enumerate(classes)}

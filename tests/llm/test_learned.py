@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from prefspark.llm import byte_cnn, queries, weak_toxicity
 from tests.llm.helpers import ODD, folder, table
@@ -48,6 +49,22 @@ def test_op4_without_labels_or_rows(spark, tmp_path):
     assert queries.op4_byte_cnn(spark, folder(docs.limit(0), tmp_path / "b")).count() == 0
 
 
+def test_op4_samples_distinct_texts_of_every_language(spark, monkeypatch):
+    """Few texts with many copies: each language is learnt, and copies bring nothing to the driver."""
+    rng = random.Random(21)
+    texts = [(g, sentence(g, rng, 60)) for g in SYLLABLES for _ in range(6)]
+    docs = table(spark, [x for _, x in texts], [g for g, _ in texts]).select("lang", "text").crossJoin(spark.range(200)).drop("id")
+    seen = []
+    monkeypatch.setattr(byte_cnn, "train", lambda pieces, labels, classes, net: seen.append((pieces, classes)) or byte_cnn.Weights(net, classes))
+    sizes = []
+    plain = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: sizes.append(len(out := plain(self))) or out)
+    for per_class in (3, 6, 20):
+        byte_cnn.fit(docs, F.lit(True), byte_cnn.Net(per_class=per_class))
+    assert [classes for _, classes in seen] == [sorted(SYLLABLES)] * 3
+    assert max(sizes) <= len(texts) * byte_cnn.Net().crops
+
+
 def test_windows_cover_every_byte_once():
     net = byte_cnn.Net(window=16, widths=(2, 3))
     one = byte_cnn.Classifier(byte_cnn.Weights(net, ["a"]))
