@@ -3,7 +3,7 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet in the shared
 folder and hands what it reads back to the next stage, so a lost executor costs the tasks of one stage. All stages but the
 last return the columns of documents, extra columns included; rows with a null or empty text, or one without letters,
-are dropped by the first, as they have no language.
+are dropped by the first, as they have no language, and so are texts in none of the labelled languages.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from prefspark.llm import bbit_minhash, byte_cnn, piece_codec, seed_align, token
 from prefspark.llm.common import documents, fresh, materialise, tokenizer_path
 from prefspark.llm.queries import secret_vocabulary
 
-#: The network's probability of its best language below which a text is not taken for any of them.
+#: The network's probability of its best language below which a text is not taken for any of them; up to five languages
+#: always reach it, so texts in none of them are told by their letter trigrams.
 LEAST_SCORE = 0.2
 
 
@@ -23,9 +24,9 @@ def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents whose language the network can tell; trained on the labelled documents themselves."""
     names = docs.columns
     weights = byte_cnn.fit(docs, F.lit(True))
-    told, score = fresh(docs, "told"), fresh(docs, "told_score")
-    seen = byte_cnn.identify(docs, weights, keep=names, names=(told, score))
-    return seen.where((F.col(told) != byte_cnn.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*names)
+    told, score, fits = fresh(docs, "told"), fresh(docs, "told_score"), fresh(docs, "told_fits")
+    seen = byte_cnn.identify(docs, weights, keep=names, names=(told, score, fits))
+    return seen.where((F.col(told) != byte_cnn.UNKNOWN) & (F.col(score) >= LEAST_SCORE) & F.col(fits)).select(*names)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,12 +8,16 @@ windows' log-odds, weighted by their bytes.
 The network is fitted on the driver from at most about ``Net.per_class`` distinct texts of each language and ``Net.crops``
 pieces of each text; all else covers all rows. Only the text enters a prediction.
 
+The softmax only compares the languages it knows. Whether a text is in its best one at all is told by its letter trigrams:
+how much likelier the language makes them than its single letters do, against what labelled texts reach that were left out.
+
 Defined results: null texts and texts without letters are ``und`` with score 0, as is everything if nothing could be
 learnt; every input row gives one output row; texts of any length are read whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,6 +34,10 @@ PAD = 256
 UNKNOWN = "und"
 LETTER = r"\p{L}"
 MOST_LANGUAGES = 512
+NO_LETTERS = re.compile(r"[\W\d_]+")
+#: Share of a trigram's chance that its last byte alone gives, and so the gain of a trigram that was never seen.
+SMOOTH = 0.1
+UNSEEN = float(np.log(SMOOTH))
 
 
 @dataclass(frozen=True)
@@ -55,6 +63,54 @@ class Weights:
     net: Net
     classes: list[str]
     p: dict[str, np.ndarray] = field(default_factory=dict)
+    usage: list[Usage] = field(default_factory=list)
+
+
+@dataclass
+class Usage:
+    """Letter trigrams of a class and the gain of each; mean and spread of the gain in texts of the class (nothing is
+    known of them if NaN)."""
+
+    keys: np.ndarray
+    gains: np.ndarray
+    mean: float = np.nan
+    spread: float = np.nan
+
+    def of(self, seen: np.ndarray) -> np.ndarray:
+        """The gain of each of these trigrams."""
+        at = np.minimum(np.searchsorted(self.keys, seen), len(self.keys) - 1)
+        return np.where(self.keys[at] == seen, self.gains[at], UNSEEN)
+
+    def fits(self, text: str) -> bool:
+        """Whether a text can be of this class: at least half the usual gain, four standard errors allowed for its length."""
+        if not self.mean > 0:
+            return True
+        seen = trigrams(text)
+        return bool(self.of(seen).mean() >= self.mean / 2 - 4 * self.spread / np.sqrt(len(seen)))
+
+
+def trigrams(text: str) -> np.ndarray:
+    """Byte trigrams of the letters of a text; all between letters counts as one space."""
+    b = np.frombuffer(b" %b " % NO_LETTERS.sub(" ", text.lower()).strip().encode(), np.uint8).astype(np.uint32)
+    return b[:-2] << 16 | b[1:-1] << 8 | b[2:]
+
+
+def learn_usage(pieces: list[np.ndarray]) -> Usage:
+    """Gains of the trigrams in these pieces: log of their chance behind their first two bytes over that of the last byte."""
+    keys, counts = np.unique(np.concatenate(pieces), return_counts=True)
+    _, at = np.unique(keys >> 8, return_inverse=True)
+    alone = np.bincount(keys & 255, counts, 256) / counts.sum()
+    gains = np.log((1 - SMOOTH) * counts / np.bincount(at, counts)[at] / alone[keys & 255] + SMOOTH)
+    return Usage(keys, gains.astype(np.float32))
+
+
+def calibrated_usage(halves: tuple[list[np.ndarray], list[np.ndarray]]) -> Usage:
+    """Usage of all pieces, its mean and spread measured on each half by the trigrams of the other."""
+    usage = learn_usage(halves[0] + halves[1])
+    if all(halves):
+        gains = np.concatenate([learn_usage(a).of(np.concatenate(b)) for a, b in (halves, halves[::-1])])
+        usage.mean, usage.spread = float(gains.mean()), float(gains.std())
+    return usage
 
 
 def patches(p: dict[str, np.ndarray], windows: np.ndarray, width: int) -> np.ndarray:
@@ -171,6 +227,13 @@ class Classifier:
             scores[rows] = chance.max(axis=1)
         return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
 
+    def judge(self, texts: pa.Array) -> list[pa.Array]:
+        """Class and probability of every text, and whether it can be of that class."""
+        names, scores = self.predict(texts)
+        at = {c: u for c, u in zip(self.w.classes, self.w.usage, strict=True)}
+        fits = [c in at and at[c].fits(t) for c, t in zip(names.to_pylist(), texts.to_pylist(), strict=True)]
+        return [names, scores, pa.array(fits, pa.bool_())]
+
 
 def fit(docs: DataFrame, usable: Column, net: Net = Net(), text: str = "text", label: str = "lang") -> Weights:
     """Train on a bounded sample of the rows of ``docs`` that are ``usable`` and have a label and letters."""
@@ -190,25 +253,33 @@ def fit(docs: DataFrame, usable: Column, net: Net = Net(), text: str = "text", l
     pieces = [F.substring("t", F.pmod(F.xxhash64("t", F.lit(k)), room).cast("int") + 1, F.lit(net.window)) for k in range(net.crops)]
     # one row of each drawn text, as its pieces are the same in all copies
     once = drawn.select("label", "h", F.array_distinct(F.array(*pieces)).alias("pieces")).dropDuplicates(["label", "h"])
-    sample = sorted(map(tuple, once.select("label", F.explode("pieces")).collect()))
-    if missing := {r["label"] for r in totals} - {name for name, _ in sample}:
+    found = sorted(map(tuple, once.select("label", F.explode("pieces"), F.pmod(F.xxhash64("h"), F.lit(2))).collect()))
+    if missing := {r["label"] for r in totals} - {name for name, *_ in found}:
         raise ValueError(f"no text drawn for {sorted(missing)}")
-    sample = [(name, piece.lower().encode()) for name, piece in sample]
+    sample = [(name, piece.lower().encode()) for name, piece, _ in found]
     classes = sorted({name for name, _ in sample})
     at = {c: i for i, c in enumerate(classes)}
     by_class = [[piece for name, piece in sample if name == c] for c in classes]
     # as many draws of every class: languages with fewer pieces repeat theirs
     most = max(map(len, by_class))
     texts = [one[i % len(one)] for one in by_class for i in range(most)]
-    return train(texts, np.repeat([at[c] for c in classes], most), classes, net)
+    weights = train(texts, np.repeat([at[c] for c in classes], most), classes, net)
+    halves = {c: ([], []) for c in classes}
+    for name, piece, half in found:
+        halves[name][half].append(trigrams(piece))
+    weights.usage = [calibrated_usage(halves[c]) for c in classes]
+    return weights
 
 
 def identify(
-    docs: DataFrame, weights: Weights, text: str = "text", keep: list[str] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")
+    docs: DataFrame, weights: Weights, text: str = "text", keep: list[str] = ("doc_id",), names: tuple[str, ...] = ("lang_pred", "score")
 ) -> DataFrame:
-    """``keep`` columns with the predicted language and its probability, under ``names``."""
-    fields = [T.StructField(n, t, False) for n, t in zip(names, (T.StringType(), T.DoubleType()), strict=True)]
-    return map_texts(docs, text, list(keep), fields, lambda: Classifier(weights).predict)
+    """``keep`` columns with the predicted language and its probability, under ``names``; a third name adds whether the
+    text can be of that language at all."""
+    fields = [T.StructField(n, t, False) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=False)]
+    if len(names) == 2:
+        return map_texts(docs, text, list(keep), fields, lambda: Classifier(weights).predict)
+    return map_texts(docs, text, list(keep), fields, lambda: Classifier(weights).judge)
 
 
 def remainder(key: str, parts: int) -> Column:

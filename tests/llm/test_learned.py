@@ -1,8 +1,10 @@
 """Learned operators on held-out rows, and the parts of their models against definitions."""
 
 import random
+import string
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +67,19 @@ def test_op4_samples_distinct_texts_of_every_language(spark, monkeypatch):
     assert max(sizes) <= len(texts) * byte_cnn.Net().crops
 
 
+def test_language_stage_drops_unlearnt_languages_and_gibberish(spark):
+    rng = random.Random(31)
+    learnt = [(g, sentence(g, rng, rng.randint(3, 120))) for g in ("xx", "yy") for _ in range(150)]
+    clean = [(None, sentence(g, rng, 40)) for g in ("xx", "yy") for _ in range(20)]
+    other = [(None, sentence("zz", rng, 40)) for _ in range(20)] + [(None, "Это русский текст, которого сеть не знает.")]
+    gibberish = [(None, "".join(rng.choices(string.ascii_letters + "   ", k=200))) for _ in range(20)]
+    rows = learnt + clean + other + gibberish
+    docs = table(spark, [x for _, x in rows], [g for g, _ in rows])
+    kept = corpus_pipeline.with_language(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(len(learnt) + len(clean)))
+
+
 def test_windows_cover_every_byte_once():
     net = byte_cnn.Net(window=16, widths=(2, 3))
     one = byte_cnn.Classifier(byte_cnn.Weights(net, ["a"]))
