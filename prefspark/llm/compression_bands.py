@@ -2,7 +2,8 @@
 
 A text that repeats itself compresses far better than prose of its length, and random text hardly compresses. The
 zstandard ratio (bytes before / after) of the whole text and of each of its fixed chunks must lie in the band of its
-length. A text is kept if the base rules hold, its whole ratio lies in the band, and fewer than ``bad_share`` of its
+length; the last chunk ends with the text, chunks of texts under two of them are smaller, and texts under 512 bytes have
+none. The low limits lie near or below the ratio of random text under 1,000 bytes. A text is kept if the base rules hold, its whole ratio lies in the band, and fewer than ``bad_share`` of its
 chunks lie outside theirs.
 
 Base counts work on words, runs without space or the control characters 9 to 13. Defined results: null counts as the
@@ -21,6 +22,8 @@ from pyspark.sql import types as T
 
 from prefspark.llm.common import map_texts, split_words
 
+#: Texts of under two chunks are cut into halves of a chunk, quarters and so on, down to this size.
+LEAST_CHUNK = 256
 SPACE, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 
 
@@ -109,7 +112,10 @@ def measure(docs: DataFrame, bands: Bands = Bands(), text: str = "text", keep: l
                 repeated = repeated_words(numbers[start:end])
                 base = n < bands.min_words or repeated > bands.most_repeated * n
                 ratio, bad = outside(data)
-                chunks = [outside(data[i : i + size])[1] for i in range(0, len(data) - size + 1, size)] if len(data) >= 2 * size else []
+                while len(data) < 2 * size and size > LEAST_CHUNK:
+                    size //= 2
+                places = [*range(0, len(data) - size + 1, size), *([len(data) - size] if len(data) % size else [])]
+                chunks = [outside(data[i : i + size])[1] for i in places] if len(data) >= 2 * size else []
                 share = sum(chunks) / len(chunks) if chunks else float(bad)
                 rows.append(
                     (n, len(text) - len(data) + len(data.translate(None, SPACE)), len(data) - len(data.translate(None, SYMBOLS)),

@@ -54,6 +54,17 @@ def test_bands_keep_prose_and_reject_the_ends(spark, sf_dir):
     assert [r.kept for r in compression_bands.measure(docs, strict).orderBy("doc_id").collect()] == [False, True, True, False]
 
 
+def test_every_chunk_is_measured(spark):
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choices(string.ascii_letters + string.digits, k=n))
+    good = prose(1, 4_000, 1_000)
+    strict = compression_bands.Bands(min_words=0, most_repeated=1.0)
+    docs = table(spark, [good[:8_000], good[:4_000] + noise(4_000), good[:4_000] + ("again the same phrase " * 200)[:4_000], good[:8_192] + noise(4_095)])
+    rows = compression_bands.measure(docs, strict).orderBy("doc_id").collect()
+    assert [r.kept for r in rows[:3]] == [True, False, False]
+    assert [r.bad_chunks for r in rows] == [0.0, 0.5, 0.5, 1 / 3]
+
+
 def test_many_distinct_words_are_numbered_in_two_steps():
     import numpy as np
 
