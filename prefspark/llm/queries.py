@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefspark.llm import bbit_minhash, byte_cnn, byte_shards, compression_bands, license_rules, orc_tokens, piece_codec, seed_align, token_secrets, weak_toxicity
+from prefspark.llm import bbit_minhash, byte_cnn, byte_shards, compression_bands, fourier_quality, license_rules, orc_tokens, piece_codec, seed_align, token_secrets, weak_toxicity
 from prefspark.llm.common import documents, tokenizer_path
 from prefspark.session import scratch_path
 
@@ -94,3 +94,10 @@ def op9_token_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_seed_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, word for word or edited, with the alignment of each."""
     return seed_align.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query
+def op13_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; a fifth of the ids is held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return fourier_quality.quality(documents(spark, sf_dir), labels, byte_cnn.remainder("doc_id", 5) == 0)
