@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefspark.llm import bbit_minhash, byte_cnn, byte_shards, compression_bands, fourier_quality, hilbert_codes, license_rules, orc_tokens, piece_codec, seed_align, token_secrets, weak_toxicity
+from prefspark.llm import bbit_minhash, byte_cnn, byte_shards, compression_bands, fourier_quality, hilbert_codes, license_rules, orc_tokens, piece_codec, quotient_phrases, seed_align, token_secrets, weak_toxicity
 from prefspark.llm.common import documents, tokenizer_path
 from prefspark.session import scratch_path
 
@@ -96,6 +96,15 @@ def op10_seed_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seed_align.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@query
+def op11_quotient_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best collocations of every language."""
+    return quotient_phrases.collocations(documents(spark, sf_dir))
+
+
+SQL["op11_quotient_phrases"] = quotient_phrases.collocations_sql()
+
+
 @query
 def op12_hilbert_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of every vector by codebooks that are fitted to all of them."""
