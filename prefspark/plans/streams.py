@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from prefspark.functions.numeric import half_up as rounded
 from prefspark.functions.text import normalize_key
+from prefspark.operators import event_rules as E
 from prefspark.operators import heads as M
 from prefspark.operators.bucketed import HOUR
 from prefspark.plans.event_rules import cooldown_sql
@@ -24,26 +25,47 @@ def stream_of(t: Tables, table: str):
     return runner.file_stream(t.spark, t.sf_dir, getattr(t, table).schema, f"{table}.parquet")
 
 
-def decision_stream(t: Tables):
-    return stream_of(t, "events").select(
+#: Replays: parts in time order, the query stopped and started between them; one row in seven comes up to DELAY late.
+PARTS, DELAY, LATE, WAIT = 5, 6 * H, 7, "6 hours"
+
+
+def decision_rows(t: Tables, frame):
+    return frame.select(
         "event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "value"
     )
 
 
+def replayed(t: Tables, rows, rule, purpose: str):
+    """Deliver ``rows`` in time order with late ones, then a row without keys from after the end, whose watermark releases all that
+    waits; ``rule`` maps the stream to its result."""
+    path = scratch_path(t.spark, purpose)
+    end = rows.agg((F.max("us") + 2 * DELAY + 1000).alias("us"))
+    close = end.select(*[(F.col("us") if c == "us" else F.timestamp_micros("us") if c == "ts" else F.lit(None).cast(k)).alias(c) for c, k in rows.dtypes])
+    parts = runner.time_ordered(rows, "us", PARTS, DELAY, F.pmod(F.xxhash64("event_id"), F.lit(LATE)) == 0)
+    return runner.drain_parts(lambda folder: rule(runner.file_stream(t.spark, folder, rows.schema)), [*parts, close], path)
+
+
+def decision_stream(t: Tables):
+    return decision_rows(t, stream_of(t, "events"))
+
+
 @query(
     "stream_dedupe_ttl",
     f"SELECT event_id, coalesce(us - lag(us) OVER (PARTITION BY user_id, event_type ORDER BY us, event_id) <= {24 * H}, false) AS is_duplicate FROM decisions",
 )
 def stream_dedupe_ttl(t):
-    flagged = rules.stream_dedupe_ttl(decision_stream(t), ["user_id", "event_type"], "us", "event_id", 24 * H)
-    return runner.drain(flagged, scratch_path(t.spark, "dedupe")).select("event_id", "is_duplicate")
+    rule = lambda s: rules.stream_dedupe_ttl(s, ["user_id", "event_type"], "us", "event_id", 24 * H, event_time="ts", delay=WAIT)
+    return replayed(t, decision_rows(t, t.events), rule, "dedupe").filter("user_id IS NOT NULL").select("event_id", "is_duplicate")
 
 
-@query("stream_dedupe_watermark")
+@query("stream_dedupe_watermark", "SELECT DISTINCT user_id, event_type, false AS too_close FROM decisions")
 def stream_dedupe_watermark(t):
-    """First sighting per user and type within the watermark (which row is first depends on arrival: rows only)."""
-    first = rules.stream_dedupe_watermark(decision_stream(t), ["user_id", "event_type"], "ts", "24 hours")
-    return runner.drain(first, scratch_path(t.spark, "watermark")).select("user_id", "event_type").distinct()
+    """Which row of a key comes first depends on arrival; that every key comes, and none twice within the watermark, does not."""
+    keys = ["user_id", "event_type"]
+    rule = lambda s: rules.stream_dedupe_watermark(s, keys, "ts", "24 hours")
+    first = replayed(t, decision_rows(t, t.events), rule, "watermark").filter("user_id IS NOT NULL")
+    gaps = E.inactivity_gap(first.select(*keys, "us", "event_id"), keys, "us", "event_id")
+    return gaps.groupBy(*keys).agg(F.coalesce(F.min("gap") <= 24 * H, F.lit(False)).alias("too_close"))
 
 
 @query(
@@ -61,27 +83,36 @@ def stream_alerts(t):
     text = F.when(F.col("event_type") == "purchase", "Timeout storm; sale").otherwise("ok")
     line = F.concat_ws(" | ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"), level, F.lit("main"), F.lit("app"), F.concat(F.col("event_id"), F.lit(" "), text))
     logs = scratch_path(t.spark, "logs")
-    t.events.select(line.alias("value")).write.text(logs)
-    parsed = rules.parse_log(t.spark.readStream.text(logs))
-    found = rules.match_rules(parsed, (("fatal", r"\b(ERROR|CRITICAL)\b"), ("storm", "timeout storm"), ("sale", "SALE")), F.concat_ws(" ", "level", "message"))
-    events = found.select("rule", "us", F.split("message", " ")[0].cast("bigint").alias("event_id"))
-    alerts = rules.stream_alerts(events, ["rule"], "us", "event_id", 6 * H, 6, 12 * H)
-    return runner.drain(alerts, scratch_path(t.spark, "alerts")).select("event_id", "rule")
+    end = t.events.agg(F.date_format(F.timestamp_micros(F.unix_micros(F.max(F.col("ts").cast("timestamp"))) + 2 * DELAY), "yyyy-MM-dd HH:mm:ss,SSS").alias("ts"))
+    parts = runner.time_ordered(decision_rows(t, t.events), "us", PARTS, DELAY, F.pmod(F.xxhash64("event_id"), F.lit(LATE)) == 0)
+    out = None
+    for part in [*(p.select(line.alias("value")) for p in parts), end.select(F.concat("ts", F.lit(" | INFO | main | app | end of log")).alias("value"))]:
+        part.write.mode("append").text(f"{logs}/in")
+        parsed = rules.parse_log(t.spark.readStream.text(f"{logs}/in"))
+        found = rules.match_rules(parsed, (("fatal", r"\b(ERROR|CRITICAL)\b"), ("storm", "timeout storm"), ("sale", "SALE"), ("end", "end of log")), F.concat_ws(" ", "level", "message"))
+        events = found.select("rule", "us", "ts", F.try_to_number(F.split("message", " ")[0], F.lit("9999999999999999999")).cast("bigint").alias("event_id"))
+        out = runner.drain(rules.stream_alerts(events, ["rule"], "us", "event_id", 6 * H, 6, 12 * H, event_time="ts", delay=WAIT), logs)
+    return out.filter("rule <> 'end'").select("event_id", "rule")
 
 
 @query(
     "stream_session_stats",
     f"""
     WITH s AS (SELECT user_id, us, value, event_type, us - lag(us) OVER (PARTITION BY user_id ORDER BY us) AS gap FROM decisions WHERE event_type <> 'error'),
-    g AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= {6 * H} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us) AS sess FROM s),
-    a AS (SELECT user_id, sess, max(us) + {6 * H} AS ends, count(*) AS total, count(*) FILTER (event_type IN ('click', 'purchase')) AS likes,
-                 count(*) FILTER ((event_type IN ('click', 'purchase')) <> (value >= 20)) AS corrected FROM g GROUP BY 1, 2)
-    SELECT user_id, total, likes, corrected FROM a WHERE ends <= (SELECT max(us) - {1 * H} FROM decisions WHERE event_type <> 'error') // 1000 * 1000""",
+    g AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= {6 * H} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us) AS sess,
+                 event_type IN ('click', 'purchase') AS liked, (event_type IN ('click', 'purchase')) <> (value >= 20) AS moved FROM s)
+    SELECT user_id, min(us) AS first, count(*) AS total, count(*) FILTER (liked) AS likes, count(*) FILTER (event_type = 'purchase') AS super_likes,
+           count(*) FILTER (NOT liked) AS passes, count(*) FILTER (value >= 20) AS model_likes, count(*) FILTER (event_type <> 'view') AS prompts,
+           count(*) FILTER (moved) AS corrected, count(*) FILTER (moved AND liked) AS corrected_to_like, count(*) FILTER (moved AND NOT liked) AS corrected_to_pass,
+           max(us) + {6 * H} <= (SELECT max(us) // 1000 - {6 * H} // 1000 FROM decisions WHERE event_type <> 'error') * 1000 AS closed
+    FROM g GROUP BY user_id, sess""",
 )
 def stream_session_stats(t):
     kind = F.col("event_type")
-    judged = decision_stream(t).filter(kind != "error").select(
+    judged = decision_rows(t, t.events).filter(kind != "error").select(
+        "event_id",
         "user_id",
+        "us",
         "ts",
         "value",
         F.when(kind.isin("click", "purchase"), "LIKE").otherwise("PASS").alias("final"),
@@ -89,8 +120,11 @@ def stream_session_stats(t):
         F.when(F.col("value") >= 20, "LIKE").otherwise("PASS").alias("model"),
         (kind != "view").alias("prompted"),
     )
-    sessions = rules.stream_session_stats(judged, "user_id", "ts", "6 hours", "1 hour", "value")
-    return runner.drain(sessions, scratch_path(t.spark, "sessions")).select("user_id", "total", "likes", "corrected")
+    path = scratch_path(t.spark, "sessions")
+    parts = runner.time_ordered(judged, "us", PARTS, DELAY, F.pmod(F.xxhash64("event_id"), F.lit(LATE)) == 0)
+    rule = lambda folder: rules.stream_session_stats(runner.file_stream(t.spark, folder, judged.schema), "user_id", "us", "ts", 6 * H, WAIT, "value")
+    found = rules.sessions_of(runner.drain_parts(rule, parts, path), "user_id")
+    return found.select("user_id", "first", *rules.SESSION_COUNTS[:-2], "closed")
 
 
 CAPTURE = """'{"phase":"' || CASE WHEN event_type = 'view' THEN 'start' ELSE 'Complete' END || '","url":"https://api.example.com/' || CASE WHEN event_type = 'click' THEN 'like/' ELSE 'pass/' END
@@ -111,12 +145,15 @@ CAPTURE = """'{"phase":"' || CASE WHEN event_type = 'view' THEN 'start' ELSE 'Co
     FROM d WHERE fresh = 1 OR (rich AND seen = 0)""",
 )
 def stream_confirmations(t):
-    captured = decision_stream(t).select("event_id", "us", F.expr(CAPTURE).alias("body"))
-    parsed = rules.parse_confirmations(captured, "body", "api.example.com")
-    seen = rules.stream_upgrade(parsed, ["action", "item_id"], "us", "event_id", "has_body", 48 * H, ["likes_remaining"])
-    confirmed = runner.drain(seen, scratch_path(t.spark, "confirm")).filter("status <> 'duplicate'")
+    captured = decision_rows(t, t.events).select("event_id", "us", "ts", F.expr(CAPTURE).alias("body"))
+
+    def rule(stream):
+        parsed = rules.parse_confirmations(stream, "body", "api.example.com", keep_null=True)
+        return rules.stream_upgrade(parsed, ["action", "item_id"], "us", "event_id", "has_body", 48 * H, ["likes_remaining"], event_time="ts", delay=WAIT)
+
+    seen = replayed(t, captured, rule, "confirm").filter("event_id IS NOT NULL AND seen_status <> 'duplicate'")
     low = F.coalesce(F.col("likes_remaining") <= 5, F.lit(False))
-    return confirmed.select("event_id", "action", "status", low.alias("low_balance"))
+    return seen.select("event_id", "action", F.col("seen_status").alias("status"), low.alias("low_balance"))
 
 
 @query("stream_score")

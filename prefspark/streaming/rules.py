@@ -1,5 +1,8 @@
-"""Streaming forms of the event rules. Each processor keeps a few values per key and agrees with its batch twin as long
-as a key's rows arrive in time order from one micro-batch to the next (inside a micro-batch they are sorted).
+"""Streaming forms of the event rules. Each processor keeps a few values per key in the state store.
+
+A rule needs the rows of a key in time order. With ``event_time`` set, rows wait in the state until the watermark passes them, so
+they may arrive in any order within the delay and the result equals the batch twin; event-time timers release them, and drop a
+key's state when it can no longer matter. Without it rows are taken as they come: for sources that are in order themselves.
 """
 
 from __future__ import annotations
@@ -11,31 +14,81 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from prefspark.functions.numeric import half_up
 from prefspark.operators.event_rules import ddl
-from prefspark.operators.sessions import session_aggregates
+
+
+def plain(values, kind: str) -> list:
+    """Python values of a column of this type, missing ones as None: what the state store takes. (A whole number column with
+    missing values comes as floats.)"""
+    as_kind = int if kind in ("tinyint", "smallint", "int", "bigint") else lambda v: v.item() if hasattr(v, "item") else v
+    return [None if pd.isna(v) else as_kind(v) for v in values]
 
 
 class _Keyed(StatefulProcessor):
-    """Common part: rows of a key in time order, one state value, extra output columns."""
+    """Common part: rows of a key in time order, one state value, extra output columns. ``ts`` holds whole microseconds."""
 
     state_schema = ""
+    #: How long (in microseconds) the state of a key matters after its last row.
+    keep = 0
 
     def __init__(self, ts: str, tie: str):
         self.ts, self.tie = ts, tie
         self.state_ttl_ms: int | None = None
+        self.keys: list[str] = []
+        self.columns: dict[str, str] = {}  # waiting columns and their types; empty: rows come in order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", self.state_schema, self.state_ttl_ms)
+        self.handle = handle
+        waiting = "".join(f", waiting_{i} array<{kind}>" for i, kind in enumerate(self.columns.values()))
+        self.width = len(self.state_schema.split(", "))
+        self.state = handle.getValueState("state", f"{self.state_schema}, at bigint{waiting}", self.state_ttl_ms)
 
     def walk(self, frame: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
         raise NotImplementedError
 
+    def held(self) -> tuple[tuple | None, int | None, list[list]]:
+        """The rule's state (None before the first row), the time of the last row, the waiting columns."""
+        values = self.state.get() if self.state.exists() else None
+        if values is None:
+            return None, None, [[] for _ in self.columns]
+        at = values[self.width]
+        return (None if at is None else tuple(values[: self.width])), at, [list(v or []) for v in values[self.width + 1 :]]
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows), ignore_index=True).sort_values([self.ts, self.tie])
-        out, state = self.walk(frame, self.state.get() if self.state.exists() else None)
-        if state is not None:
-            self.state.update(state)
-        yield out
+        frame = pd.concat(list(rows), ignore_index=True)
+        state, at, waiting = self.held()
+        if not self.columns:
+            frame = frame.sort_values([self.ts, self.tie])
+            out, state = self.walk(frame, state)
+            self.state.update((*state, int(frame[self.ts].iloc[-1])))
+            yield out
+            return
+        for (column, kind), values in zip(self.columns.items(), waiting, strict=True):
+            values += plain(frame[column], kind)
+        yield from self.release(key, state, at, waiting, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state, at, waiting = self.held()
+        yield from self.release(key, state, at, waiting, timerValues.getCurrentWatermarkInMs())
+
+    def release(self, key, state: tuple | None, at: int | None, waiting: list[list], watermark: int) -> Iterator[pd.DataFrame]:
+        """Walk the rows that the watermark has passed, keep the others, and set the timer for what comes next."""
+        frame = pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in zip(self.columns, waiting, strict=True)}).sort_values([self.ts, self.tie])
+        ripe = frame[self.ts] <= watermark * 1000
+        later, frame = frame[~ripe], frame[ripe]
+        if len(frame):
+            out, state = self.walk(frame.reset_index(drop=True), state)
+            at = int(frame[self.ts].iloc[-1])
+            if len(out):
+                yield out.assign(**dict(zip(self.keys, key, strict=True)))
+        if not len(later) and (at is None or at + self.keep < watermark * 1000):
+            self.state.clear()
+            return
+        blank = (None,) * self.width
+        self.state.update((*(blank if state is None else state), at, *[plain(later[c], kind) for c, kind in self.columns.items()]))
+        due = int(later[self.ts].iloc[0]) if len(later) else at + self.keep
+        self.handle.registerTimer(max(due // 1000, watermark) + 1)
 
     def close(self) -> None:
         pass
@@ -48,7 +101,7 @@ class TtlDedupe(_Keyed):
 
     def __init__(self, ts: str, tie: str, ttl: int):
         super().__init__(ts, tie)
-        self.ttl = ttl
+        self.ttl = self.keep = ttl
 
     def walk(self, frame: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
         times = frame[self.ts].to_numpy()
@@ -64,7 +117,7 @@ class UpgradeDedupe(_Keyed):
 
     def __init__(self, ts: str, tie: str, rich: str, ttl: int):
         super().__init__(ts, tie)
-        self.rich, self.ttl = rich, ttl
+        self.rich, self.ttl, self.keep = rich, ttl, ttl
 
     def walk(self, frame: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
         seen, rich = state if state else (None, False)
@@ -79,7 +132,7 @@ class UpgradeDedupe(_Keyed):
             else:
                 words.append("duplicate")
             seen = int(at)
-        return frame.assign(status=words), (seen, bool(rich))
+        return frame.assign(seen_status=words), (seen, bool(rich))
 
 
 class ThresholdAlert(_Keyed):
@@ -91,6 +144,7 @@ class ThresholdAlert(_Keyed):
     def __init__(self, ts: str, tie: str, window: int, threshold: int, cooldown: int):
         super().__init__(ts, tie)
         self.window, self.threshold, self.cooldown = window, threshold, cooldown
+        self.keep = max(window, cooldown)
 
     def walk(self, frame: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
         recent, alerted = (list(state[0]), state[1]) if state else ([], None)
@@ -104,21 +158,86 @@ class ThresholdAlert(_Keyed):
         return frame.iloc[chosen], (recent, alerted)
 
 
+class OpenSessions(_Keyed):
+    """Sessions of a key: rows less than ``gap`` apart, in whatever order they come. All open ones are told after every change,
+    numbered, and each is told once more when the watermark closes it; ``sessions_of`` reads that log.
+
+    A row is (time, counts...); a session is its first and last time and the sums of the counts of its rows."""
+
+    def __init__(self, ts: str, counts: Sequence[str], gap: int):
+        super().__init__(ts, ts)
+        self.counts, self.gap = list(counts), gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        sums = ", ".join(f"sum_{i} array<double>" for i in range(len(self.counts)))
+        self.state = handle.getValueState("sessions", f"seq bigint, first array<bigint>, last array<bigint>, {sums}")
+
+    def sessions(self) -> tuple[int, list[tuple]]:
+        if not self.state.exists():
+            return 0, []
+        seq, *columns = self.state.get()
+        return seq, [(int(a), int(b), list(sums)) for a, b, *sums in zip(*columns, strict=True)]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows), ignore_index=True)
+        seq, found = self.sessions()
+        new = [(int(at), int(at), [float(x) for x in sums]) for at, *sums in zip(frame[self.ts], *[frame[c] for c in self.counts], strict=True)]
+        merged: list[tuple] = []
+        for first, last, sums in sorted(found + new, key=lambda s: s[0]):
+            if merged and first - merged[-1][1] < self.gap:
+                before = merged[-1]
+                merged[-1] = (before[0], max(before[1], last), [x + y for x, y in zip(before[2], sums, strict=True)])
+            else:
+                merged.append((first, last, sums))
+        yield self.tell(key, seq, merged, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        seq, found = self.sessions()
+        if found:
+            yield self.tell(key, seq, found, timerValues.getCurrentWatermarkInMs())
+        elif timerValues.getCurrentWatermarkInMs() > seq + self.gap // 1000:
+            self.state.clear()
+
+    def tell(self, key, seq: int, found: list[tuple], watermark: int) -> pd.DataFrame:
+        # a row later than the watermark may still join a session that ended less than a gap before it
+        done = [s[1] + self.gap <= watermark * 1000 for s in found]
+        still = [s for s, over in zip(found, done, strict=True) if not over]
+        # numbers run ahead of the watermark, so they go on rising after the state of a key is dropped, a gap after its last change
+        seq = max(seq, watermark)
+        columns = list(zip(*[(a, b, *sums) for a, b, sums in still], strict=True)) or [()] * (2 + len(self.counts))
+        self.state.update((seq + 1, *[list(c) for c in columns]))
+        due = min(s[1] for s in still) // 1000 if still else seq + 1
+        self.handle.registerTimer(max(due + self.gap // 1000, watermark) + 1)
+        rows = [(*key, seq + 1, over, a, b, *sums) for (a, b, sums), over in zip(found, done, strict=True)]
+        return pd.DataFrame(rows, columns=[*self.keys, "seq", "closed", "first", "last", *self.counts])
+
+
 def _run(
-    df: DataFrame, keys: Sequence[str], processor: _Keyed, columns: Sequence[str], extra: str = "", state_ttl_ms: int | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    processor: _Keyed,
+    columns: Sequence[str],
+    extra: str = "",
+    state_ttl_ms: int | None = None,
+    event_time: str | None = None,
+    delay: str = "",
 ) -> DataFrame:
-    """``state_ttl_ms`` drops the state of keys untouched for that long (processing time), so that it stays bounded in a
-    query that never ends; replays leave it unset, as they run through event time faster than the clock."""
-    processor.state_ttl_ms = state_ttl_ms
+    """``event_time`` (a timestamp column, late by at most ``delay``) orders rows by the watermark. Without it ``state_ttl_ms`` drops
+    the state of keys untouched for that long (processing time), so that it stays bounded in a query that never ends."""
+    processor.state_ttl_ms, processor.keys = (None if event_time else state_ttl_ms), list(keys)
     schema = ddl(df, [*keys, *columns]) + (f", {extra}" if extra else "")
-    selected = df.select(*keys, *columns)
-    return selected.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="processingTime" if state_ttl_ms else "none"
-    )
+    selected = df.select(*keys, *columns, *([event_time] if event_time else []))
+    if event_time:
+        processor.columns = {f.name: f.dataType.simpleString() for f in df.select(*columns).schema}
+        selected = selected.withWatermark(event_time, delay)
+    mode = "eventTime" if event_time else "processingTime" if state_ttl_ms else "none"
+    return selected.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode=mode)
 
 
-def stream_dedupe_ttl(df: DataFrame, keys: Sequence[str], ts: str, tie: str, ttl: int, state_ttl_ms: int | None = None) -> DataFrame:
-    return _run(df, keys, TtlDedupe(ts, tie, ttl), [ts, tie], "is_duplicate boolean", state_ttl_ms)
+def stream_dedupe_ttl(df: DataFrame, keys: Sequence[str], ts: str, tie: str, ttl: int, **options) -> DataFrame:
+    """Rows with ``is_duplicate``; ``options`` are ``event_time`` and ``delay``, or ``state_ttl_ms``."""
+    return _run(df, keys, TtlDedupe(ts, tie, ttl), [ts, tie], "is_duplicate boolean", **options)
 
 
 def stream_dedupe_watermark(df: DataFrame, keys: Sequence[str], event_time: str, ttl: str) -> DataFrame:
@@ -126,12 +245,12 @@ def stream_dedupe_watermark(df: DataFrame, keys: Sequence[str], event_time: str,
     return df.withWatermark(event_time, ttl).dropDuplicatesWithinWatermark(list(keys))
 
 
-def stream_upgrade(df: DataFrame, keys: Sequence[str], ts: str, tie: str, rich: str, ttl: int, columns: Sequence[str] = (), state_ttl_ms: int | None = None) -> DataFrame:
-    return _run(df, keys, UpgradeDedupe(ts, tie, rich, ttl), [ts, tie, rich, *columns], "status string", state_ttl_ms)
+def stream_upgrade(df: DataFrame, keys: Sequence[str], ts: str, tie: str, rich: str, ttl: int, columns: Sequence[str] = (), **options) -> DataFrame:
+    return _run(df, keys, UpgradeDedupe(ts, tie, rich, ttl), [ts, tie, rich, *columns], "seen_status string", **options)
 
 
-def stream_alerts(df: DataFrame, keys: Sequence[str], ts: str, tie: str, window: int, threshold: int, cooldown: int, state_ttl_ms: int | None = None) -> DataFrame:
-    return _run(df, keys, ThresholdAlert(ts, tie, window, threshold, cooldown), [ts, tie], "", state_ttl_ms)
+def stream_alerts(df: DataFrame, keys: Sequence[str], ts: str, tie: str, window: int, threshold: int, cooldown: int, **options) -> DataFrame:
+    return _run(df, keys, ThresholdAlert(ts, tie, window, threshold, cooldown), [ts, tie], "", **options)
 
 
 def parse_log(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -154,21 +273,34 @@ def match_rules(events: DataFrame, rules: Sequence[tuple[str, str]], text: Colum
     return events.withColumn("rule", F.explode(hits))
 
 
-def stream_session_stats(df: DataFrame, key: str, event_time: str, gap: str, delay: str, score: str) -> DataFrame:
-    """Decision counts per session of a key, emitted when the watermark closes the session."""
-    session = F.session_window(F.col(event_time), gap)
-    grouped = df.withWatermark(event_time, delay).groupBy(key, session.alias("session"))
-    return grouped.agg(*session_aggregates(score)).select(
-        key, F.col("session.start").alias("started"), F.col("session.end").alias("ended"), *[c for c in _session_columns()]
-    )
+#: What a session counts, and the flag of a decision row that each count sums.
+SESSION_COUNTS = "total likes super_likes passes model_likes prompts corrected corrected_to_like corrected_to_pass like_sum pass_sum".split()
+
+
+def stream_session_stats(df: DataFrame, key: str, ts: str, event_time: str, gap: int, delay: str, score: str) -> DataFrame:
+    """A log of the sessions of a key (see ``OpenSessions``) from decision rows (final, model, super, prompted and a score)."""
+    like, moved = F.col("final") == "LIKE", F.col("final") != F.col("model")
+    flags = [F.lit(True), like, F.col("super"), ~like, F.col("model") == "LIKE", F.col("prompted"), moved, moved & like, moved & ~like]
+    scores = [F.when(like, F.col(score)), F.when(~like, F.col(score))]
+    counts = [F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in zip(SESSION_COUNTS, [*flags, *scores], strict=True)]
+    processor = OpenSessions(ts, SESSION_COUNTS, gap)
+    processor.keys = [key]
+    schema = f"{ddl(df, [key])}, seq bigint, closed boolean, first bigint, last bigint, " + ", ".join(f"{n} double" for n in SESSION_COUNTS)
+    rows = df.select(key, F.col(ts).alias(ts), event_time, *counts).withWatermark(event_time, delay)
+    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="eventTime")
 
 
-def _session_columns() -> list[str]:
-    return "total likes super_likes passes model_likes prompts corrected corrected_to_like like_score pass_score".split()
+def sessions_of(log: DataFrame, key: str) -> DataFrame:
+    """The sessions that a log tells of: all closed ones, and the open ones as last told."""
+    last = log.groupBy(key).agg(F.max("seq").alias("last_seq"))
+    live = log.join(last, key).filter(F.col("closed") | (F.col("seq") == F.col("last_seq")))
+    whole = [F.col(n).cast("bigint").alias(n) for n in SESSION_COUNTS[:-2]]
+    mean = lambda total, n: half_up(F.when(F.col(n) > 0, F.col(total) / F.col(n)), 4)
+    return live.select(key, "first", "last", "closed", *whole, mean("like_sum", "likes").alias("like_score"), mean("pass_sum", "passes").alias("pass_score"))
 
 
-def parse_confirmations(df: DataFrame, body: str, host: str) -> DataFrame:
-    """Finished, successful decision posts out of captured network events."""
+def parse_confirmations(df: DataFrame, body: str, host: str, keep_null: bool = False) -> DataFrame:
+    """Finished, successful decision posts out of captured network events; rows without a body too, if asked (end marks)."""
     from prefspark.functions.urls import first_two_segments, url_parts
 
     schema = "phase string, url string, method string, status int, response struct<body:string>"
@@ -184,6 +316,8 @@ def parse_confirmations(df: DataFrame, body: str, host: str) -> DataFrame:
         & (target["target"] != "")
     )
     kept = df.columns
+    if keep_null:
+        ok = ok | F.col(body).isNull()
     return event.filter(ok).select(
         *[c for c in kept if c != body],
         target["action"].alias("action"),

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -45,6 +46,28 @@ def drain_batches(stream: DataFrame, path: str, handle: Callable[[DataFrame, int
     return stream.sparkSession.read.schema(f"{schema}, batch_id bigint").parquet(f"{path}/out")
 
 
+def drain_parts(stream: Callable[[str], DataFrame], parts: Sequence[DataFrame], path: str) -> DataFrame:
+    """Deliver ``parts`` one after another to the folder that ``stream`` reads; after each the query is started again from its
+    checkpoint, runs what is new and stops. The sink is the same as if it had never stopped."""
+    out = None
+    for part in parts:
+        part.write.mode("append").parquet(f"{path}/in")
+        out = drain(stream(f"{path}/in"), path)
+    return out
+
+
+def time_ordered(df: DataFrame, us: str, parts: int, delay: int, late: Column) -> list[DataFrame]:
+    """``df`` cut at equal times of ``us``; rows that are ``late`` and within ``delay`` of their part's end come with the next part."""
+    low, high = df.agg(F.min(us), F.max(us)).first()
+    if low is None:
+        return [df]
+    width = (high - low) // parts + 1
+    own = F.floor((F.col(us) - low) / F.lit(width)).cast("int")
+    held = late & (low + (own + 1) * width - F.col(us) < delay) & (own < parts - 1)
+    dealt = df.withColumn("_part", own + held.cast("int"))
+    return [dealt.filter(F.col("_part") == k).drop("_part") for k in range(parts)]
+
+
 def replay(df: DataFrame, path: str, files: int) -> str:
     """Write a frame as several files for a stream to pick up one by one."""
     df.repartition(files).write.mode("overwrite").parquet(path)
