@@ -1,19 +1,22 @@
 """Stateful event rules in batch form: time-to-live duplicates, alerts, cooldowns, as-of values, hysteresis, flip-flops.
 
-Everything runs per (key, time bucket), see ``bucketed``; event time is a bigint of microseconds. The rules whose state
-is a true chain (cooldown, flip-flop) are cut into buckets as well and stitched exactly.
+Rules that look back run per (key, time bucket), see ``bucketed``; event time is a bigint of microseconds. The rules whose state is
+a true chain (alerts, cooldown, flip-flop) walk runs: the rows in the order of key and time, cut at equal counts into partitions
+whatever the keys. A run tells how its exit depends on its entry; folding that over the runs, one after another, gives the state
+each is entered with, and then all of them are walked at once. A key of any size, and any burst of it, is spread over as many runs
+as its rows fill; only rows of one key and one instant stay together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefspark.operators.bucketed import HOUR, ordered_scan, rolling_range, with_bucket
+from prefspark.operators.bucketed import HOUR, ordered_scan, rolling_range
 from prefspark.session import cut_lineage
 
 
@@ -54,6 +57,8 @@ def merged(produce, rows: int = 20_000):
     def run(batches: Batches) -> Batches:
         waiting, size = [], 0
         for frame in produce(batches):
+            if not len(frame):
+                continue
             waiting.append(frame)
             size += len(frame)
             if size >= rows:
@@ -137,67 +142,151 @@ def rolling_counts(df: DataFrame, keys: Sequence[str], ts: str, window: int) ->
     return rolling_range(df, keys, ts, window, {"in_window": lambda w: F.count("*").over(w)})
 
 
-def cooldown(df: DataFrame, keys: Sequence[str], ts: str, tie: str, seconds: int, width: int | None = None) -> DataFrame:
-    """Rows emitted when a key may emit again only ``seconds`` (in microseconds) after its last emission.
+def in_runs(df: DataFrame, keys: Sequence[str], ts: str, tie: str) -> DataFrame:
+    """Rows in the order of key and time, cut into partitions of near equal row counts, numbered by ``_run``."""
+    ordered = df.repartitionByRange(*keys, ts).sortWithinPartitions(*keys, ts, tie)
+    return cut_lineage(ordered).withColumn("_run", F.spark_partition_id())
+
+
+def segments(batches: Batches, keys: Sequence[str], columns: Sequence[str]) -> Iterator[tuple[int, tuple, bool, bool, list[np.ndarray]]]:
+    """(run, key, is it the run's first key, its last, arrays) of every key of a run."""
+    held, first = None, True
+    for (*key, run), arrays in grouped_arrays(batches, [*keys, "_run"], columns):
+        if held is not None:
+            yield held[0], held[1], first, held[0] != run, held[2]
+            first = held[0] != run
+        held = int(run), tuple(key), arrays
+    if held is not None:
+        yield held[0], held[1], first, True, held[2]
+
+
+def folded(summary: DataFrame, state: str, step: Callable[[pd.DataFrame, object], object], keys: Sequence[str]) -> dict[int, object]:
+    """What every run is entered with. ``summary`` has rows of (keys, _run, whole, ...): those of the run's first key and, unless this
+    key fills the run (``whole``), of its last. ``step`` maps these rows and the entry of a key (None where it begins) to its exit.
+
+    The fold reads a few rows per run, in one task; one value per run comes back."""
+
+    def fold(batches: Batches) -> Batches:
+        key, carried, out = None, None, []
+        for frame in runs_of(batches):
+            run, whole = int(frame["_run"].iloc[0]), bool(frame["whole"].iloc[0])
+            names = list(frame[list(keys)].itertuples(index=False, name=None))
+            entry = carried if names[0] == key else None
+            if entry is not None:
+                out.append((run, entry))
+            own = frame if whole else frame[[n == names[-1] for n in names]]
+            carried = step(own, entry if whole else None)
+            key = names[-1]
+        yield pd.DataFrame(out, columns=["_run", "entry"])
+
+    def runs_of(batches: Batches) -> Iterator[pd.DataFrame]:
+        waiting = None
+        for frame in batches:
+            waiting = frame if waiting is None else pd.concat([waiting, frame], ignore_index=True)
+            last = waiting["_run"].iloc[-1] if len(waiting) else None
+            for _, own in waiting[waiting["_run"] != last].groupby("_run", sort=False):
+                yield own
+            waiting = waiting[waiting["_run"] == last]
+        if waiting is not None and len(waiting):
+            yield waiting
+
+    ordered = summary.repartition(1).sortWithinPartitions("_run", "place")
+    return {r["_run"]: r["entry"] for r in ordered.mapInPandas(fold, f"_run int, entry {state}").collect()}
+
+
+def _emitted(times: np.ndarray, allowed: int, gap: int) -> np.ndarray:
+    """Places emitted from ``allowed`` on, each at least ``gap`` after the one before."""
+    chosen, at = [], int(np.searchsorted(times, allowed, "left"))
+    while at < len(times):
+        chosen.append(at)
+        at = int(np.searchsorted(times, times[at] + gap, "left"))
+    return np.array(chosen, dtype=np.int64)
+
+
+def _exits(times: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """How the last emission depends on the entry, as steps: entered with a time up to ``upto`` (and above the step before), the
+    last emission is at ``final``. Different ways through a run soon meet, so there are few steps."""
+    follow, last = np.searchsorted(times, times + gap, "left"), np.arange(len(times))
+    moving = np.ones(len(last), dtype=bool)
+    while moving.any():
+        nxt = follow[last]
+        moving = nxt < len(times)
+        last[moving] = nxt[moving]
+    final = times[last]
+    keep = np.append(final[1:] != final[:-1], True)
+    return times[keep], final[keep]
+
+
+def cooldown(df: DataFrame, keys: Sequence[str], ts: str, tie: str, seconds: int) -> DataFrame:
+    """Rows emitted when a key may emit again only ``seconds`` (in microseconds) after its last emission: a greedy choice."""
+    return _cooled(in_runs(df.select(*keys, ts, tie), keys, ts, tie), list(keys), ts, tie, seconds)
+
+
+def _cooled(runs: DataFrame, keys: list[str], ts: str, tie: str, seconds: int) -> DataFrame:
+    key_schema = ddl(runs, keys)
+
+    def summarize(batches: Batches) -> Batches:
+        for run, key, first, last, (times,) in segments(batches, keys, [ts]):
+            if first and last:
+                upto, final = _exits(times, seconds)
+                place = np.arange(len(upto))
+            elif last:
+                place, upto, final = np.array([1]), np.array([0]), times[_emitted(times, np.iinfo(np.int64).min, seconds)[-1:]]
+            elif first:  # only its name is needed
+                place, upto, final = np.array([0]), np.array([0]), np.array([0])
+            else:
+                continue
+            yield pd.DataFrame({k: [v] * len(place) for k, v in zip(keys, key)} | {"_run": run, "whole": first and last, "place": place, "upto": upto, "final": final})
 
-    The choice is greedy and sequential. Each (key, bucket) first tells, for every way it can be entered, when it would
-    emit last; as those ways soon merge, the answer is a few steps. Folding the steps over the buckets of a key gives
-    the state each bucket is entered with, and the buckets then emit independently. No task sees more than one bucket
-    of raw rows.
-    """
-    keys = list(keys)
-    width = max(width or 0, 64 * seconds)
-    rows = with_bucket(df.select(*keys, ts, tie), ts, width)
-    key_schema = ddl(df, keys)
-
-    def entry_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group, (times,) in grouped_arrays(batches, [*keys, "_bucket"], [ts]):
-            entries = np.arange(int(np.searchsorted(times, int(group[-1]) * width + seconds, "left")) + 1)
-            entries = entries[entries < len(times)]
-            follow, last = np.searchsorted(times, times + seconds, "left"), entries.copy()
-            moving = np.ones(len(last), dtype=bool)
-            while moving.any():
-                nxt = follow[last]
-                moving = nxt < len(times)
-                last[moving] = nxt[moving]
-            final = times[last]
-            keep = np.append(final[1:] != final[:-1], True)
-            yield pd.DataFrame({n: [v] * int(keep.sum()) for n, v in zip([*keys, "_bucket"], group)} | {"upto": times[entries][keep], "final": final[keep]})
-
-    def entered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group, (buckets, upto, final) in grouped_arrays(batches, keys, ["_bucket", "upto", "final"]):
-            allowed, numbers, starts = np.iinfo(np.int64).min, [], []
-            edges = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1]))
-            for begin, end in zip(edges, np.append(edges[1:], len(buckets))):
-                numbers.append(buckets[begin])
-                starts.append(allowed)
-                at = begin + int(np.searchsorted(upto[begin:end], allowed, "left"))
-                if at < end:
-                    allowed = int(final[at]) + seconds
-            yield pd.DataFrame({n: [v] * len(numbers) for n, v in zip(keys, group)} | {"_bucket": numbers, "_allowed": starts})
-
-    def emissions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group, (times, ties, allowed) in grouped_arrays(batches, [*keys, "_bucket"], [ts, tie, "_allowed"]):
-            chosen, at = [], int(np.searchsorted(times, allowed[0], "left"))
-            while at < len(times):
-                chosen.append(at)
-                at = int(np.searchsorted(times, times[at] + seconds, "left"))
-            yield pd.DataFrame({n: [v] * len(chosen) for n, v in zip(keys, group)} | {ts: times[chosen], tie: ties[chosen]})
-
-    def sorted_by(frame: DataFrame, group: list[str], *order: str) -> DataFrame:
-        return frame.repartition(*group).sortWithinPartitions(*group, *order)
-
-    place = [*keys, "_bucket"]
-    steps = sorted_by(rows, place, ts).mapInPandas(merged(entry_steps), f"{key_schema}, _bucket bigint, upto bigint, final bigint")
-    starts = sorted_by(steps, keys, "_bucket", "upto").mapInPandas(merged(entered), f"{key_schema}, _bucket bigint, _allowed bigint")
-    opened = sorted_by(rows.join(starts, place), place, ts, tie)
-    return opened.mapInPandas(merged(emissions), ddl(df, [*keys, ts, tie]))
+    def step(own: pd.DataFrame, entry: int | None) -> int | None:
+        if not own["whole"].iloc[0]:
+            return int(own["final"].iloc[0]) + seconds
+        at = int(np.searchsorted(own["upto"].to_numpy(), np.iinfo(np.int64).min if entry is None else entry, "left"))
+        return int(own["final"].iloc[at]) + seconds if at < len(own) else entry
+
+    summary = runs.mapInPandas(merged(summarize), f"{key_schema}, _run int, whole boolean, place bigint, upto bigint, final bigint")
+    entries = folded(summary, "bigint", step, keys)
+
+    def emissions(batches: Batches) -> Batches:
+        for run, key, first, _, (times, ties) in segments(batches, keys, [ts, tie]):
+            allowed = entries.get(run) if first else None
+            chosen = _emitted(times, np.iinfo(np.int64).min if allowed is None else allowed, seconds)
+            yield pd.DataFrame({n: [v] * len(chosen) for n, v in zip(keys, key)} | {ts: times[chosen], tie: ties[chosen]})
+
+    return runs.mapInPandas(merged(emissions), ddl(runs, [*keys, ts, tie]))
 
 
 def threshold_alerts(df: DataFrame, keys: Sequence[str], ts: str, tie: str, window: int, threshold: int, cooldown_for: int) -> DataFrame:
-    """Alerts: at least ``threshold`` rows of the key in the trailing window, then quiet for the cooldown."""
-    loud = rolling_counts(df.select(*keys, ts, tie), keys, ts, window).filter(F.col("in_window") >= threshold)
-    return cooldown(loud, keys, ts, tie, cooldown_for)
+    """Alerts: at least ``threshold`` rows of the key in the trailing window, then quiet for the cooldown.
+
+    Whether a row has company enough depends on the ``threshold`` - 1 rows before it, which is all that a run hands on."""
+    keys = list(keys)
+    runs = in_runs(df.select(*keys, ts, tie), keys, ts, tie)
+    back = threshold - 1
+
+    def summarize(batches: Batches) -> Batches:
+        for run, key, first, last, (times,) in segments(batches, keys, [ts]):
+            if first or last:
+                tail = times[len(times) - min(back, len(times)) :].tolist()
+                yield pd.DataFrame([(*key, run, first and last, int(not first), tail)], columns=[*keys, "_run", "whole", "place", "tail"])
+
+    def step(own: pd.DataFrame, entry: list[int] | None) -> list[int]:
+        together = [*(entry if entry is not None else []), *own["tail"].iloc[0]]
+        return together[max(0, len(together) - back) :]
+
+    summary = runs.mapInPandas(merged(summarize), f"{ddl(runs, keys)}, _run int, whole boolean, place bigint, tail array<bigint>")
+    entries = folded(summary, "array<bigint>", step, keys)
+
+    def loud(batches: Batches) -> Batches:
+        for run, key, first, _, (times, ties) in segments(batches, keys, [ts, tie]):
+            before = np.array(entries.get(run) or [] if first else [], np.int64)
+            every = np.concatenate([before, times])
+            near = np.searchsorted(every, times, "right") - np.searchsorted(every, times - window, "left")
+            at = near >= threshold
+            yield pd.DataFrame({k: [v] * int(at.sum()) for k, v in zip(keys, key)} | {ts: times[at], tie: ties[at], "_run": run})
+
+    found = runs.mapInPandas(merged(loud), f"{ddl(runs, [*keys, ts, tie])}, _run int")
+    return _cooled(found, keys, ts, tie, cooldown_for)
 
 
 STATE = {"cur": "string", "cur_same": "string", "prev": "string", "prev_same": "string", "changed": "bigint"}
@@ -214,58 +303,61 @@ def flipflop_step(state: tuple, at: int, item: str, name: str, hold: int) -> tup
     return False, (item, name, cur, cur_same, at)
 
 
-def flipflop(df: DataFrame, keys: Sequence[str], ts: str, tie: str, who: str, same: str, hold: int, width: int = 24 * HOUR) -> DataFrame:
+def flipflop_walk(times: np.ndarray, items: np.ndarray, names: np.ndarray, state: tuple, hold: int) -> tuple[np.ndarray, tuple]:
+    """``flipflop_step`` over many rows: stretches of one id and name are taken at once, as after the first row of a stretch that
+    is taken, or that is past the hold, the others change nothing."""
+    ignored = np.zeros(len(times), bool)
+    starts = np.flatnonzero(np.append(True, (items[1:] != items[:-1]) | (names[1:] != names[:-1])))
+    for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), len(times)]):
+        skip, now = flipflop_step(state, int(times[begin]), items[begin], names[begin], hold)
+        if skip:  # the state stays as it is until the hold is over
+            late = begin + int(np.searchsorted(times[begin:end], state[4] + hold, "right"))
+            ignored[begin:late] = True
+            if late < end:
+                _, now = flipflop_step(state, int(times[late]), items[late], names[late], hold)
+        state = now
+    return ignored, state
+
+
+def flipflop(df: DataFrame, keys: Sequence[str], ts: str, tie: str, who: str, same: str, hold: int) -> DataFrame:
     """Flag rows that only flip back to the previous id (``who``), ``same`` being the name that must agree.
 
-    Each (key, bucket) is walked from a guessed entry state, and walked again while the exit of the bucket before it
-    disagrees with the guess; at the fixed point every bucket was entered with its true state. A bucket's exit seldom
-    depends on how it was entered, so few rounds are needed, and only stale buckets are read again. Rows are sorted
-    within partitions and streamed: a task holds one Arrow batch and one state.
+    Runs are walked from a guessed entry, the exit of the run before it under its own guess. Only a run that one key fills, and
+    whose exit depends on its entry, can make the next guess wrong; such runs are walked again with the entry now known.
+    An exit seldom depends on the entry, so that is seldom needed; each time brings one state per such run to the driver.
     """
-    group = [*keys, "_bucket"]
-    state = F.struct(*STATE)
-    rows = with_bucket(df.select(*keys, ts, tie, who, same), ts, width)
-    blank = F.struct(*[F.lit(v).cast(t).alias(n) for (n, t), v in zip(STATE.items(), BLANK)])
-
-    def walk(entered: DataFrame, schema, emit_rows: bool) -> DataFrame:
-        ordered = entered.select(*rows.columns, *[F.col(f"entry.{n}").alias(n) for n in STATE])
-        ordered = ordered.repartition(*group).sortWithinPartitions(*group, ts, tie)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            current, now, ends = None, BLANK, []
-            for frame in batches:
-                marks = []
-                inputs = zip(*[frame[c] for c in (*group, ts, who, same, *STATE)])
-                for values in inputs:
-                    this, (at, item, name) = values[: len(group)], values[len(group) : len(group) + 3]
-                    if this != current:
-                        if current is not None:
-                            ends.append((*current, *now))
-                        current, now = this, values[len(group) + 3 :]
-                    ignored, now = flipflop_step(now, at, item, name, hold)
-                    marks.append(ignored)
-                if emit_rows:
-                    yield frame[[*keys, ts, tie]].assign(ignored=marks)
-            if current is not None:
-                ends.append((*current, *now))
-            if not emit_rows:
-                yield pd.DataFrame(ends, columns=[*group, *STATE])
-
-        return ordered.mapInPandas(run, schema)
-
-    exit_schema = ", ".join([ddl(rows, group), *[f"{name} {kind}" for name, kind in STATE.items()]])
-
-    def exits(entered: DataFrame) -> DataFrame:
-        return walk(entered, exit_schema, False).select(*group, state.alias("exit"))
-
-    table = cut_lineage(exits(rows.withColumn("entry", blank)).withColumn("entry", blank))
-    before = Window.partitionBy(*keys).orderBy("_bucket")
+    keys = list(keys)
+    runs = in_runs(df.select(*keys, ts, tie, who, same), keys, ts, tie)
+    fields = ", ".join(f"{name} {kind}" for name, kind in STATE.items())
+
+    def exits(entries: dict[int, tuple], some: list[int] | None) -> list:
+        def run_exits(batches: Batches) -> Batches:
+            rows = []
+            for run, key, first, last, (times, items, names) in segments(batches, keys, [ts, who, same]):
+                if first:
+                    start = key
+                if last:
+                    _, now = flipflop_walk(times, items, names, entries.get(run, BLANK) if first else BLANK, hold)
+                    rows.append((run, repr(start), repr(key), first, *now))
+            yield pd.DataFrame(rows, columns=["_run", "first", "last", "whole", *STATE])
+
+        source = runs if some is None else runs.filter(F.col("_run").isin(some))
+        return source.mapInPandas(run_exits, f"_run int, first string, last string, whole boolean, {fields}").collect()
+
+    entries: dict[int, tuple] = {}
+    told = {r["_run"]: r for r in exits(entries, None)}
     while True:
-        wanted = table.withColumn("want", F.coalesce(F.lag("exit").over(before), blank))
-        stale = wanted.filter(F.col("want") != F.col("entry")).select(*group, F.col("want").alias("entry"))
-        if stale.isEmpty():
+        order = sorted(told)
+        wanted = {b: tuple(told[a][n] for n in STATE) for a, b in zip(order, order[1:]) if told[a]["last"] == told[b]["first"]}
+        stale = [run for run, state in wanted.items() if told[run]["whole"] and entries.get(run, BLANK) != state]
+        entries = wanted
+        if not stale:
             break
-        redone = exits(rows.join(stale, group)).join(stale, group)
-        table = cut_lineage(table.join(stale.select(*group), group, "left_anti").unionByName(redone))
-    flagged = rows.join(table.select(*group, "entry"), group)
-    return walk(flagged, f"{ddl(df, [*keys, ts, tie])}, ignored boolean", True)
+        told |= {r["_run"]: r for r in exits(entries, stale)}
+
+    def flag(batches: Batches) -> Batches:
+        for run, key, first, _, (times, ties, items, names) in segments(batches, keys, [ts, tie, who, same]):
+            ignored, _ = flipflop_walk(times, items, names, entries.get(run, BLANK) if first else BLANK, hold)
+            yield pd.DataFrame({k: [v] * len(times) for k, v in zip(keys, key)} | {ts: times, tie: ties, "ignored": ignored})
+
+    return runs.mapInPandas(merged(flag), f"{ddl(df, [*keys, ts, tie])}, ignored boolean")

@@ -134,7 +134,7 @@ def rolling_threshold_alert(t):
 )
 def flipflop_suppress(t):
     named = t.decisions.withColumn("name", F.lit("same"))
-    flagged = E.flipflop(named, ["user_id"], "us", "event_id", "event_type", "name", 30 * H, 240 * H)
+    flagged = E.flipflop(named, ["user_id"], "us", "event_id", "event_type", "name", 30 * H)
     return flagged.select("event_id", "ignored")
 
 

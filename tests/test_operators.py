@@ -75,23 +75,54 @@ def greedy(times, gap):
     return out
 
 
-@pytest.mark.parametrize("gap, width", [(40, None), (7, 448), (300, None)])
-def test_cooldown_equals_greedy_walk(events, gap, width):
-    got = E.cooldown(events, ["key"], "ts", "id", gap, width).collect()
+@pytest.fixture
+def many_runs(spark):
+    """Small tables stay in several partitions, so that rules are handed on from run to run."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("gap", [1, 7, 40, 300, 10_000])
+def test_cooldown_equals_greedy_walk(events, gap, many_runs):
+    got = E.cooldown(events, ["key"], "ts", "id", gap).collect()
     rows = sorted(events.collect(), key=lambda r: (r.ts, r.id))
     for key in {r.key for r in rows}:
         assert sorted(r.ts for r in got if r.key == key) == greedy([r.ts for r in rows if r.key == key], gap)
 
 
-@pytest.mark.parametrize("width", [60, 5000])
-def test_flipflop_equals_sequential_walk(events, width):
+@pytest.mark.parametrize("window, threshold, quiet", [(30, 3, 50), (100, 9, 1), (4000, 200, 300), (5, 1, 20)])
+def test_alerts_equal_a_walk(events, window, threshold, quiet, many_runs):
+    got = E.threshold_alerts(events, ["key"], "ts", "id", window, threshold, quiet).collect()
+    rows = sorted(events.collect(), key=lambda r: (r.ts, r.id))
+    for key in {r.key for r in rows}:
+        times = [r.ts for r in rows if r.key == key]
+        loud = [t for t in times if sum(t - window <= x <= t for x in times) >= threshold]
+        assert sorted(r.ts for r in got if r.key == key) == greedy(loud, quiet)
+
+
+def test_runs_share_a_hot_key_and_burst(spark, many_runs):
+    """Nine tenths of the rows belong to one key and one day: no run holds twice the mean."""
+    burst = spark.range(40_000).select("id", F.when(F.col("id") % 10 == 0, F.concat(F.lit("k"), F.col("id") % 7)).otherwise("hot").alias("key"), (F.col("id") * 97 % 86_400).alias("ts"))
+    sizes = [r["count"] for r in E.in_runs(burst, ["key"], "ts", "id").groupBy("_run").count().collect()]
+    assert len(sizes) > 2 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    times = [r.ts for r in burst.filter("key = 'hot'").orderBy("ts", "id").collect()]
+    got = E.cooldown(burst, ["key"], "ts", "id", 500).filter("key = 'hot'")
+    assert sorted(r.ts for r in got.collect()) == greedy(times, 500)
+
+
+@pytest.mark.parametrize("hold", [3, 25, 5000])
+def test_flipflop_equals_sequential_walk(events, hold, many_runs):
     named = events.withColumn("name", F.lit("n"))
-    got = pairs(E.flipflop(named, ["key"], "ts", "id", "who", "name", 25, width), "ignored")
+    got = pairs(E.flipflop(named, ["key"], "ts", "id", "who", "name", hold), "ignored")
     want = {}
     for key in {r.key for r in events.collect()}:
         state = E.BLANK
         for r in sorted((r for r in events.collect() if r.key == key), key=lambda r: (r.ts, r.id)):
-            want[r.id], state = E.flipflop_step(state, r.ts, r.who, "n", 25)
+            want[r.id], state = E.flipflop_step(state, r.ts, r.who, "n", hold)
     assert got == want and any(want.values())
 
 
