@@ -126,25 +126,28 @@ class DistinctTable:
 
     def __init__(self, add: Callable[[list[str]], None], reset: Callable[[], None], most_bytes: int = 32 << 20):
         self.add, self.reset, self.most = add, reset, most_bytes
-        self.at: dict[str, int] = {}
-        self.size = 0
+        self.known: pa.Array | None = None  # the strings in the order of their rows
+        self.n = self.size = 0
 
     def rows(self, strings: pa.Array) -> np.ndarray:
         if self.size > self.most:
-            self.at, self.size = {}, 0
+            self.known, self.n, self.size = None, 0, 0
             self.reset()
         coded = strings.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        found = list(map(self.at.get, distinct))
-        new = [s for s, row in zip(distinct, found, strict=True) if row is None]
-        if new:
-            first = len(self.at)
-            self.at.update(zip(new, range(first, first + len(new)), strict=True))
-            fresh = iter(range(first, first + len(new)))
-            found = [next(fresh) if row is None else row for row in found]
-            self.size += sum(map(len, new)) + 64 * len(new)
-            self.add(new)
-        return np.array(found, np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int64)
+        distinct = coded.dictionary
+        if self.known is None:
+            found, missing = np.empty(len(distinct), np.int64), np.ones(len(distinct), bool)
+        else:
+            at = pc.index_in(distinct, value_set=self.known)
+            found, missing = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), at.is_null().to_numpy(zero_copy_only=False)
+        if missing.any():
+            new = distinct.filter(pa.array(missing))
+            found[missing] = np.arange(self.n, self.n + len(new))
+            self.known = new if self.known is None else pa.concat_arrays([self.known, new])
+            self.n += len(new)
+            self.size += int(pc.sum(pc.binary_length(new)).as_py()) + 64 * len(new)
+            self.add(new.to_pylist())
+        return found[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int64)
 
 
 class Ragged:

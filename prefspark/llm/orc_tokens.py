@@ -17,6 +17,7 @@ are left out.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -40,6 +41,17 @@ ROW = T.StructType(
 MANIFEST = "_manifest"
 #: A special token of the vocabulary, put between words that are encoded in one call; how many these are.
 MARK, AT_ONCE = "<|endoftext|>", 2_000
+#: Words of Latin letters whose lower case is one letter each and composed: the normalizer and the pre-tokenizer leave them whole.
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
+#: Latin and Cyrillic letters of that kind, for the searches in whole texts.
+PLAIN = r"A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}\x{400}-\x{481}\x{48A}-\x{52F}"
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where printable, else one from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class WordTable:
@@ -54,18 +66,32 @@ class WordTable:
         self.tokenizer = Tokenizer.from_str(vocabulary.decode())
         self.mark_id = self.tokenizer.token_to_id(MARK)
         self.ids = Ragged(np.int32)
-        self.words = DistinctTable(self._add, self.ids.clear, most_bytes=48 << 20)
+        self.letters = byte_letters()
+        self.words = DistinctTable(self._add, self.ids.clear, most_bytes=32 << 20)
 
     def _add(self, new: list[str]) -> None:
-        for start in range(0, len(new), AT_ONCE):
-            words = new[start : start + AT_ONCE]
+        lists: list = [None] * len(new)
+        tokens, letters = self.tokenizer.model.tokenize, self.letters
+        others = []
+        for i, word in enumerate(new):
+            if LATIN.fullmatch(word):
+                lower = word.lower()
+                lists[i] = [t.id for t in tokens(lower if lower.isascii() else lower.encode().decode("latin-1").translate(letters))]
+            else:
+                others.append(i)
+        for start in range(0, len(others), AT_ONCE):
+            at = others[start : start + AT_ONCE]
+            words = [new[i] for i in at]
             if self.mark_id is None or any("<|" in w for w in words):  # may hold special tokens: one by one
-                self.ids.extend([e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])
-                continue
-            ids = np.array(self.tokenizer.encode_batch_fast([MARK.join(words)], add_special_tokens=False)[0].ids, np.int32)
-            marks = np.flatnonzero(ids == self.mark_id)
-            edges = np.concatenate([[-1], marks, [len(ids)]])
-            self.ids.extend_flat(np.delete(ids, marks), np.diff(edges) - 1)
+                found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            else:
+                ids = np.array(self.tokenizer.encode_batch_fast([MARK.join(words)], add_special_tokens=False)[0].ids, np.int32)
+                marks = np.flatnonzero(ids == self.mark_id)
+                found = [x.tolist() for x in np.split(ids, marks)]
+                found[1:] = [x[1:] for x in found[1:]]
+            for i, own in zip(at, found, strict=True):
+                lists[i] = own
+        self.ids.extend(lists)
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each closed by ``end``, and the number per text."""
@@ -83,9 +109,10 @@ class WordTable:
 def parted(texts: pa.Array) -> pa.Array:
     """Texts with A-Z lowered and a space between a letter and punctuation, which leaves their ids as they are.
 
-    Texts with combining marks (case decides whether these compose) or with what may be a special token stay unchanged.
+    Only letters of ``PLAIN`` count, which stay single letters when lowered and composed: what others become may end in a mark,
+    and a mark goes with the punctuation behind it. Texts with marks, and with what may be a special token, stay unchanged.
     """
-    changed = pc.replace_substring_regex(pc.ascii_lower(texts), r"(\pL)([.,!?;:*$%&#|])", r"\1 \2")
+    changed = pc.replace_substring_regex(pc.ascii_lower(texts), rf"([{PLAIN}])([.,!?;:*$%&#|])", r"\1 \2")
     return pc.if_else(pc.match_substring_regex(texts, r"\pM|<\|"), texts, changed)
 
 
@@ -95,17 +122,17 @@ def write_tokens(
     vocabulary_path: str,
     end_id: int = 1,
     files: int | None = None,
-    stripe_bytes: int = 16 << 20,
+    stripe_bytes: int = 8 << 20,
     index_stride: int = 1000,
 ) -> None:
-    """Encode ``docs`` (doc_id, text) into ``files`` ORC files, unless given half the session's shuffle partitions: the more
-    text a task has, the more of its words it has met before."""
+    """Encode ``docs`` (doc_id, text) into ``files`` ORC files, unless given as many as the session has shuffle partitions. Rows of
+    one id, however many (null too), are dealt over ranges by the hash of their text."""
     spark = docs.sparkSession
     vocabulary = spark.sparkContext.broadcast(model_bytes(vocabulary_path))
-    n = files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("t"))
-        .repartitionByRange(n, "doc_id")
+        .repartitionByRange(n, F.col("doc_id"), F.xxhash64("t"))
         .sortWithinPartitions("doc_id", F.xxhash64("t"))
     )
 
@@ -119,6 +146,7 @@ def write_tokens(
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(starts), pa.array(sizes), list_array(ids, sizes)], names=ROW.names
                 )
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task
 
     (
         ordered.mapInArrow(run, ROW)
@@ -135,14 +163,14 @@ def write_tokens(
 def _manifest(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: its rows, ids, and the number of ids in all files before it.
 
-    Part names rise with the ranges. The totals come from the files' narrow columns; there is a row per file, so the
+    The numbers of part files rise with the ranges. The totals come from the files' narrow columns; there is a row per file, so the
     running sum is over as many rows as files were written.
     """
     totals = (
         spark.read.schema(ROW).orc(path)
         .groupBy(F.col("_metadata.file_name").alias("file"))
         .agg(F.count("*").alias("rows"), F.sum("n_tokens").alias("ids"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-        .orderBy("file")
+        .orderBy(F.regexp_extract("file", r"^part-(\d+)", 1).cast("long"))
         .toPandas()
     )
     before = (totals["ids"].cumsum() - totals["ids"]).astype("int64") if len(totals) else []
@@ -175,11 +203,13 @@ def checksums(tokens: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("ids")
-            flat = memoryview(np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False), "<u4")).cast("B")
-            sizes = np.diff(lists.offsets.to_numpy()) * 4
-            ends = np.cumsum(sizes)
-            crc = [zlib.crc32(flat[e - s : e]) for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(crc, pa.int64())], names=schema.names)
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                lists = part.column("ids")
+                flat = memoryview(np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False), "<u4")).cast("B")
+                sizes = np.diff(lists.offsets.to_numpy()) * 4
+                ends = np.cumsum(sizes)
+                crc = [zlib.crc32(flat[e - s : e]) for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(crc, pa.int64())], names=schema.names)
 
     return tokens.mapInArrow(run, schema)

@@ -85,3 +85,41 @@ def test_empty_tables(spark, tmp_path):
     empty = folder(table(spark, ["x"]).limit(0), tmp_path / "t")
     assert queries.op1_piece_codec(spark, empty).count() == 0
     assert queries.op8_orc_tokens(spark, empty).count() == 0
+
+
+def test_op8_table_equals_the_library_on_every_letter_and_odd_text():
+    """Every kind of character before every sign, and random mixtures of what normalizers change."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from prefspark.llm.common import model_bytes, utf8
+
+    path = tokenizer_path("word_bpe_49k.json")
+    plain, table_ = Tokenizer.from_file(path), orc_tokens.WordTable(model_bytes(path))
+    rng = random.Random(1)
+    codes = [c for c in range(0x20, 0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 97 == 0)]
+    texts = ["".join(f"a{chr(c)}{s} {chr(c)}{s}b{chr(c)} " for s in ".,!?;:*$%&#|") for c in codes]
+    odd = [chr(c) for c in range(0x20, 0x250)] + ["İ", "ı", "ſ", "́", "̇", "Σ", "日", "🎉", "<|endoftext|>", "<|", "'s", " ", "\xa0", "\n", "ﬁ", "क़"] * 8
+    texts += ["".join(rng.choice(odd) for _ in range(rng.randint(0, 40))) for _ in range(10_000)] + ["word " * 400_000 + "x" * 300_000]
+    for i in range(0, len(texts), 500):
+        ids, sizes = table_.encode(utf8(pa.array(texts[i : i + 500])), 1)
+        want = [e.ids + [1] for e in plain.encode_batch(texts[i : i + 500], add_special_tokens=False)]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+
+
+def test_files_are_in_the_order_of_their_numbers(spark, tmp_path, monkeypatch):
+    """From 100,000 files on, names no longer sort like numbers."""
+    import os
+
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(12)], "doc_id long, text string")
+    path = f"{tmp_path}/orc"
+    orc_tokens.write_tokens(docs, path, tokenizer_path("word_bpe_49k.json"), files=3)
+    files = sorted(f for f in os.listdir(path) if f.startswith("part-"))
+    for number, name in zip((99_999, 100_000, 100_001), files, strict=True):
+        os.rename(f"{path}/{name}", f"{path}/part-{number}-{name[11:]}")
+    for crc in [f for f in os.listdir(path) if f.endswith(".crc")]:
+        os.remove(f"{path}/{crc}")
+    starts = {r.file: (r.start, r.first_id) for r in orc_tokens._manifest(spark, path).collect()}
+    assert [starts[f] for f in sorted(starts, key=lambda f: int(f.split("-")[1]))] == sorted(starts.values())
