@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from prefspark.llm import bbit_minhash, byte_shards, queries, seed_align
@@ -163,6 +164,8 @@ def test_op10_equals_full_alignment(spark, leaks):
                 share = best_alignment(own, words(text)) / (2 * len(own))
                 if share >= 0.4:
                     want[i, k] = share
+            elif own and any(words(text)[j : j + len(own)] == own for j in range(len(words(text)))):
+                want[i, k] = 1.0
     assert len(want) > 60 and got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
@@ -211,3 +214,45 @@ def test_stages_keep_columns_and_stand_empty_tables(spark, leaks):
         assert out.count() == 0
         if name != "token_ids":
             assert out.columns == docs.columns
+
+
+def plain_alignment(item, passage, p):
+    """The best local alignment by the whole table, and a walk back through it."""
+    score = np.zeros((len(item) + 1, len(passage) + 1), int)
+    for i in range(1, len(item) + 1):
+        for j in range(1, len(passage) + 1):
+            both = score[i - 1, j - 1] + (p.match if item[i - 1] == passage[j - 1] else p.mismatch)
+            score[i, j] = max(0, both, score[i - 1, j] + p.gap, score[i, j - 1] + p.gap)
+    i, j = np.unravel_index(int(score.argmax()), score.shape)
+    best, last, agree = int(score[i, j]), int(j) - 1, 0
+    while score[i, j] > 0:
+        same = item[i - 1] == passage[j - 1]
+        if score[i, j] == score[i - 1, j - 1] + (p.match if same else p.mismatch):
+            agree, i, j = agree + bool(same), i - 1, j - 1
+        elif score[i, j] == score[i - 1, j] + p.gap:
+            i -= 1
+        else:
+            j -= 1
+    return best, agree, int(j), last
+
+
+def test_alignment_in_two_rows_equals_the_whole_table():
+    rng = np.random.default_rng(8)
+    p = seed_align.Params()
+    for _ in range(300):
+        item, passage = (rng.integers(0, 4, rng.integers(1, 25)).astype(np.uint64) for _ in range(2))
+        assert seed_align.align(item, passage, p)[0] == plain_alignment(item, passage, p)[0]
+        got, want = seed_align.align(item, passage, p), plain_alignment(item, passage, p)
+        assert got == want
+
+
+def test_op10_finds_short_and_very_long_items_and_rows_without_id(spark):
+    long = prose(1, 3000)
+    texts = ["before Zyx after", "nothing here", "a qua, qui b", "a qui qua b", prose(2, 50) + " " + long + " " + prose(3, 50), None, ""]
+    docs = table(spark, texts)
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") != 4, F.col("doc_id"))).withColumn("kept0", F.lit("x")).withColumn("hits", F.lit("x"))
+    items = spark.createDataFrame([(1, "zyx"), (2, "Qua qui!"), (3, long), (4, None), (5, "..."), (6, "absent")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.score, r.first_word, r.last_word) for r in seed_align.contaminated(docs, items).collect()}
+    assert got == {(0, 1, 1.0, 1, 1), (2, 2, 1.0, 1, 2), (None, 3, 1.0, 50, 3049)}
+    left = seed_align.decontaminate(docs, items)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 3, 5, 6]
