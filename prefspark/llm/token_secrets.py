@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -97,37 +98,57 @@ class Scanner:
             size = self.sizes[token]
             before, at = at, at + self.rule.most_chars_per_token - size
             if at > before:
-                one = (before, at, place, place + size)
+                one, link = (before, at, place, place + size), len(best) - 1
                 if before <= least:
-                    done.extend(best)
-                    best, least = [], before
+                    done.extend(b for b, _ in best)
+                    best, least, link = [], before, -1
+                # the nearest stretch that began lower; each keeps a link to its own, so the search skips what lies between
                 while best:
-                    k = next((k for k in range(len(best) - 1, -1, -1) if best[k][0] < one[0]), -1)
-                    if k < 0 or best[k][1] >= one[1]:
+                    k = link
+                    while k >= 0 and best[k][0][0] >= one[0]:
+                        k = best[k][1]
+                    link = k
+                    if k < 0 or best[k][0][1] >= one[1]:
                         break
-                    one = (best[k][0], one[1], best[k][2], one[3])
+                    one, link = (best[k][0][0], one[1], best[k][0][2], one[3]), best[k][1]
                     del best[k:]
-                best.append(one)
+                best.append((one, link))
             place += size
+        best = [b for b, _ in best]
         parts = [m.span() for m in PARTS.finditer(s)]
+        starts, ends = [a for a, _ in parts], [b for _, b in parts]
+        near: dict[int, bool] = {}  # each part is measured once, each range of parts judged once
+        judged: dict[tuple[int, int], bool] = {}
+
+        def joins(k: int) -> bool:
+            if k not in near:
+                a, b = parts[k]
+                near[k] = b - a <= 3 or self.gain(s[a:b]) + 1 >= 0
+            return near[k]
+
+        def random(i: int, j: int) -> bool:
+            if (i, j) not in judged:
+                judged[i, j] = self.is_random(s[starts[i] : ends[j]])
+            return judged[i, j]
+
         out, taken = [], 0
         for _, _, start, end in done + best:
-            held = [k for k, (a, b) in enumerate(parts) if a < end and b > start and a >= taken]
-            if not held:
+            # parts that overlap the stretch and begin behind what is taken
+            first = max(bisect_right(ends, start), bisect_left(starts, taken))
+            last = bisect_left(starts, end) - 1
+            if first > last:
                 continue
-            first, last = held[0], held[-1]
             low, high = first, last
-            near = lambda k, a, b: b - a <= 3 or self.gain(s[a:b]) + 1 >= 0
-            while low and parts[low - 1][0] >= taken and near(low - 1, *parts[low - 1]):
+            while low and starts[low - 1] >= taken and joins(low - 1):
                 low -= 1
-            while high + 1 < len(parts) and near(high + 1, *parts[high + 1]):
+            while high + 1 < len(parts) and joins(high + 1):
                 high += 1
-            tries = [(i, j, s[parts[i][0] : parts[j][1]]) for i, j in ((low, high), (first, high), (low, last), (first, last))]
-            tries.append((first, last, s[start:end]))  # glued to a word without a sign
-            hit = next(((i, j) for i, j, own in tries if self.is_random(own)), None)
+            hit = next((pair for pair in ((low, high), (first, high), (low, last), (first, last)) if random(*pair)), None)
+            if hit is None and self.is_random(s[start:end]):  # glued to a word without a sign
+                hit = first, last
             if hit:
-                taken = parts[hit[1]][1]
-                out.append((parts[hit[0]][0], taken))
+                taken = ends[hit[1]]
+                out.append((starts[hit[0]], taken))
         return out
 
     def pieces(self, s: str) -> list[tuple[int, int]]:

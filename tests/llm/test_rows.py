@@ -166,3 +166,22 @@ def test_empty_tables(spark, tmp_path):
     empty = folder(table(spark, ["x"]).limit(0), tmp_path / "t")
     for name in ("op2_compression_bands", "op6_license_rules", "op9_token_secrets"):
         assert queries.QUERIES[name](spark, empty).count() == 0
+
+
+def test_op9_time_grows_with_the_text():
+    """A run of a megabyte, of readable parts with random ones between, in seconds; each random part is found."""
+    import random
+    import time
+    from pathlib import Path
+
+    vocabulary, pattern = queries.secret_vocabulary()
+    scanner = token_secrets.Scanner(Path(vocabulary).read_bytes(), pattern, token_secrets.Efficiency())
+    rng = random.Random(4)
+    words = ["production", "server", "client", "webhook", "database", "customer"]
+    secrets = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)) for _ in range(200)]
+    text = "/".join("/".join(rng.choice(words) for _ in range(600)) + "/" + s for s in secrets)
+    start = time.time()
+    spans = scanner.spans(text, (True,) * 4)
+    assert len(text) > 900_000 and time.time() - start < 20
+    found = [text[a:b] for a, kind, b in spans if kind == 3]
+    assert sum(any(s in f for f in found) for s in secrets) >= 190
