@@ -49,6 +49,16 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(written: DataFrame) -> None:
+    """Remove the files of a frame that ``materialise`` wrote, and that no later step reads."""
+    hadoop = written.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = written.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in written.inputFiles()}:
+        if "/prefspark-" in folder:
+            path = hadoop(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """``name``, with underscores behind it until no column of ``docs`` is called so."""
     taken = {c.lower() for c in docs.columns}

@@ -256,3 +256,15 @@ def test_op10_finds_short_and_very_long_items_and_rows_without_id(spark):
     assert got == {(0, 1, 1.0, 1, 1), (2, 2, 1.0, 1, 2), (None, 3, 1.0, 50, 3049)}
     left = seed_align.decontaminate(docs, items)
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 3, 5, 6]
+
+
+def test_components_of_large_ids(spark):
+    """Ids may be hashes: neither their sums nor their order overflow."""
+    big = 1 << 62
+    links = [(big, big + 1), (big + 1, big + 2), (-big, -big - 5), (-big - 5, 7), (big + 9, big + 9), (None, 3), (4, None)]
+    found = connected_components(spark.createDataFrame(links, "a long, b long"), "a", "b")
+    assert {tuple(r) for r in found.collect()} == {(big, big), (big + 1, big), (big + 2, big), (-big, -big - 5), (-big - 5, -big - 5), (7, -big - 5)}
+    texts = [prose(1, 80), prose(1, 80), prose(2, 80), prose(3, 80) + " one", prose(3, 80) + " two"]
+    docs = table(spark, texts, extra=False).withColumn("doc_id", F.lit(big) + F.col("doc_id"))
+    got = {r.doc_id - big: r.component_id - big for r in bbit_minhash.find_components(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3}
