@@ -127,8 +127,8 @@ def with_position(ordered: DataFrame, name: str = "position") -> DataFrame:
     return numbered.withColumn(name, (F.element_at(F.create_map(*before), part) + own + 1).cast("bigint"))
 
 
-def order_cut(df: DataFrame, order: str, share: float, buckets: int = 4096) -> int | None:
-    """The value of the unique integer column ``order`` at position floor(share * count); None without rows.
+def kth_value(df: DataFrame, order: str, rank: int, buckets: int = 4096) -> int | None:
+    """The ``rank``-th smallest (from 1) of the integer column ``order``, equal values counted each; None without rows.
 
     Nested histograms (``buckets`` parts per level) narrow the range to a single value, so nothing is sorted or ranked; each
     level brings one row to the driver, and a 64-bit range takes six at most.
@@ -137,9 +137,9 @@ def order_cut(df: DataFrame, order: str, share: float, buckets: int = 4096) -> i
     low, high, n = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
     if not n:
         return None
-    rank = int(share * n)
-    if rank == 0:
+    if rank <= 0:
         return low - 1
+    rank = min(rank, n)
     while True:
         step = max(-(-(high - low + 1) // buckets), 1)
         inside = values.filter(F.col("v").between(low, high))
@@ -151,6 +151,24 @@ def order_cut(df: DataFrame, order: str, share: float, buckets: int = 4096) -> i
             return low
 
 
+def order_cut(df: DataFrame, order: str, share: float) -> int | None:
+    """The value of the unique integer column ``order`` at position floor(share * count); None without rows."""
+    n = df.filter(F.col(order).isNotNull()).count()
+    return kth_value(df, order, int(share * n)) if n else None
+
+
+def smallest(df: DataFrame, order: str, tie: str, k: int) -> DataFrame:
+    """The ``k`` first rows by (order, tie), both integers: two cuts, no rank of all rows. Equal pairs all count as one place."""
+    if k <= 0:
+        return df.limit(0)
+    cut = kth_value(df, order, k)
+    if cut is None:
+        return df
+    below = df.filter(F.col(order) < cut).count()
+    last = kth_value(df.filter(F.col(order) == cut), tie, k - below)
+    return df.filter((F.col(order) < cut) | ((F.col(order) == cut) & (F.col(tie) <= last)))
+
+
 def chronological_split(df: DataFrame, order: str, share: float = 0.8) -> DataFrame:
     """Mark the last part of the rows, by position in ``order``, as holdout."""
     cut = order_cut(df, order, share)

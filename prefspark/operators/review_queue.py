@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefspark.functions.numeric import half_up
-from prefspark.operators.bucketed import ordered_scan
+from prefspark.functions.text import normalize
+from prefspark.operators.bucketed import kth_value, ordered_scan, smallest, with_position
 from prefspark.operators.keys import explode_keys, matching_ids
+from prefspark.session import cut_lineage
 
 HISTORY_MODES = ("history", "quick_agree_recheck")
 RECHECK_MODE = "quick_agree_recheck"
@@ -149,9 +151,9 @@ def retention_candidates(
     old_enough = F.lit(now) - F.col(mtime) >= grace
     inside = F.col("_age_rank") <= F.least(F.col("_n") - F.col("pending"), F.col("consolidated"))
     eligible = joined.filter(F.when(unmatched, old_enough).otherwise(inside)).select(*assets.columns)
-    excess = assets.agg(F.greatest(F.count("*") - F.lit(max_files), F.lit(0))).scalar()
-    placed = ordered_scan(eligible, [], mtime, id_column, width, row_number="evict_order")
-    return placed.filter(F.col("evict_order") <= excess)
+    excess = max(0, assets.count() - max_files)
+    chosen = smallest(cut_lineage(eligible), mtime, id_column, excess)
+    return with_position(chosen.orderBy(mtime, id_column), "evict_order")
 
 
 def history_score(domain: Column, reason: Column, details: Column, corrected: Column, p: Column, missing: Sequence[tuple[Column, float]]) -> Column:
@@ -211,14 +213,47 @@ def next_unreviewed(counts: DataFrame, asset: str, reviews: str, current) -> Dat
     )
 
 
-def bounded_queue(incoming: DataFrame, key: Column, order: str, recent: DataFrame, queued: DataFrame, cap: int) -> DataFrame:
-    """Rows that may join the queue: not recent, not queued, first of their key, oldest first.
+def queue_key(item_id: Column, content_hash: Column, name: Column, age: Column) -> Column:
+    """What an item counts as in a queue: its id, else the hash of its content, else its name with its age; null without any."""
+    text = lambda c: F.trim(F.coalesce(c.cast("string"), F.lit("")))
+    years = F.coalesce(age.cast("int"), F.lit(0))
+    return (
+        F.when(text(item_id) != "", F.concat(F.lit("id:"), text(item_id)))
+        .when(text(content_hash) != "", F.concat(F.lit("hash:"), text(content_hash)))
+        .when((text(name) != "") & (years != 0), name_age_key(name, age))
+    )
+
+
+def name_age_key(name: Column, age: Column) -> Column:
+    """Key of a name (case and accents aside) with an age; null where either is missing."""
+    years, plain = F.coalesce(age.cast("int"), F.lit(0)), normalize(F.trim(F.coalesce(name, F.lit(""))))
+    return F.when((plain != "") & (years != 0), F.concat_ws(":", F.lit("name"), plain, years.cast("string")))
+
 
-    ``cap`` is that of the whole queue: what is queued already leaves the less room.
+def admit(incoming: DataFrame, order: str, key: str, also: str, recent: DataFrame, since: Column, queued: DataFrame, cap: int) -> DataFrame:
+    """What becomes of every row that asks to join a queue, in ``outcome``: one after another in the unique integer ``order``,
+    ``recent`` rows are refused (their ``key``, or their other key ``also``, is among ``recent`` (key, at) not older than
+    ``since``), then those whose key is queued or was admitted before (``duplicate``; rows without a key never are).
+    The others are ``added``; where the queue (of ``cap`` places, 0 for no limit) is full, the newest are ``dropped``.
     """
-    keyed = incoming.withColumn("_key", key)
-    fresh = keyed.join(recent.select("_key").distinct(), "_key", "left_anti").join(queued.select("_key").distinct(), "_key", "left_anti")
-    columns = [c for c in keyed.columns if c != "_key"]
-    firsts = fresh.filter(F.col("_key").isNotNull()).groupBy("_key").agg(F.min_by(F.struct(*columns), order).alias("_r")).select("_r.*")
-    both = firsts.unionByName(fresh.filter(F.col("_key").isNull()).select(*columns))
-    return both.orderBy(order).limit(max(0, cap - queued.count()))
+    alive = recent.filter(F.col("at") >= since).select("key").distinct()
+    held = queued.select("key").filter(F.col("key").isNotNull()).distinct()
+    mark = lambda keys, column, name: keys.select(F.col("key").alias(column), F.lit(True).alias(name))
+    rows = incoming.join(mark(alive, key, "_r"), key, "left").join(mark(alive, also, "_s"), also, "left").join(mark(held, key, "_q"), key, "left")
+    refused = F.when(F.coalesce("_r", "_s", F.lit(False)), "recent").when(F.coalesce("_q", F.lit(False)), "duplicate")
+    rows = cut_lineage(rows.withColumn("outcome", refused).drop("_r", "_s", "_q"))
+    firsts = rows.filter(F.col("outcome").isNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("_first"))
+    later = F.col("_first").isNotNull() & (F.col(order) > F.col("_first"))
+    rows = rows.join(firsts, key, "left").withColumn("outcome", F.coalesce("outcome", F.when(later, "duplicate"))).drop("_first")
+    places = cap - queued.count()
+    last = None if cap <= 0 else kth_value(rows.filter("outcome IS NULL"), order, max(0, places))
+    full = F.lit(False) if last is None else F.col(order) > last
+    return rows.withColumn("outcome", F.coalesce("outcome", F.when(full, "dropped").otherwise("added"))).select(*incoming.columns, "outcome")
+
+
+def make_room(waiting: DataFrame, order: str, cap: int) -> DataFrame:
+    """What stays of batches that came one after another (unique integer ``order``) where each takes the place of the oldest when
+    ``cap`` are waiting (0: no limit): the newest ones."""
+    if cap <= 0:
+        return waiting
+    return smallest(waiting.withColumn("_newest", -F.col(order)), "_newest", order, cap).drop("_newest")

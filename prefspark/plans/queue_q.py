@@ -171,7 +171,7 @@ def asset_training_counts(t):
 @query(
     "retention_candidates",
     f"""
-    WITH a AS (SELECT o_orderkey, o_custkey, epoch_us(o_orderdate) AS mtime FROM orders WHERE o_totalprice >= 2.4e5),
+    WITH a AS (SELECT o_orderkey, o_custkey, epoch_us(o_orderdate) AS mtime FROM orders),
     c AS (SELECT o_custkey, consolidated, pending FROM asset_counts),
     r AS (SELECT a.*, row_number() OVER (PARTITION BY o_custkey ORDER BY mtime, o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM a),
     e AS (SELECT r.o_orderkey, mtime FROM r LEFT JOIN c USING (o_custkey) WHERE CASE WHEN coalesce(pending, 0) = 0 AND coalesce(consolidated, 0) = 0
@@ -181,7 +181,7 @@ def asset_training_counts(t):
 )
 def retention_candidates(t):
     day = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
-    assets = t.orders.filter("o_totalprice >= 240000").select("o_orderkey", "o_custkey", day.alias("mtime"))
+    assets = t.orders.select("o_orderkey", "o_custkey", day.alias("mtime"))
     counts = t.orders.groupBy("o_custkey").agg(
         F.count_if(F.col("o_orderstatus") == "F").alias("consolidated"),
         F.count_if((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "O")).alias("pending"),
@@ -330,19 +330,45 @@ def recheck_enqueue(t):
     return fresh.select("id", priority.alias("review_priority"))
 
 
+VIEWS["arrivals"] = """
+    SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'id:' || user_id WHEN event_id % 3 = 1 THEN 'hash:h' || user_id % 50
+                          WHEN user_id % 7 <> 0 THEN 'name:' || lower(c_name) || ':' || user_id % 7 END AS key,
+           CASE WHEN user_id % 7 <> 0 THEN 'name:' || lower(c_name) || ':' || user_id % 7 END AS also
+    FROM events JOIN customer ON c_custkey = user_id WHERE event_type IN ('view', 'click')"""
+
+
 @query(
     "bounded_queue",
-    """WITH q AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
-        SELECT event_id, user_id FROM (SELECT event_id, user_id, row_number() OVER (ORDER BY event_id) AS r FROM (SELECT min(event_id) AS event_id, arg_min(user_id, event_id) AS user_id FROM events WHERE event_type = 'view'
-        AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 150) AND user_id NOT IN (FROM q)
-        GROUP BY user_id)) WHERE r <= greatest(0, 150 - (SELECT count(*) FROM q))""",
+    """
+    WITH r AS (SELECT unnest(['id:' || user_id, CASE WHEN user_id % 7 <> 0 THEN 'name:' || lower(c_name) || ':' || user_id % 7 END]) AS key FROM events
+               JOIN customer ON c_custkey = user_id WHERE event_type = 'purchase' AND ts >= (SELECT max(ts) FROM events) - INTERVAL 36 HOUR),
+    q AS (SELECT 'id:' || c_custkey AS key FROM customer WHERE c_acctbal < 0),
+    o AS (SELECT a.*, CASE WHEN a.key IN (SELECT key FROM r WHERE key IS NOT NULL) OR coalesce(also IN (SELECT key FROM r WHERE key IS NOT NULL), false) THEN 'recent'
+                           WHEN a.key IN (SELECT key FROM q) THEN 'duplicate' END AS outcome FROM arrivals a),
+    f AS (SELECT *, CASE WHEN outcome IS NULL AND key IS NOT NULL AND row_number() OVER (PARTITION BY key, outcome ORDER BY event_id) > 1 THEN 'duplicate' ELSE outcome END AS now FROM o),
+    p AS (SELECT *, row_number() OVER (PARTITION BY now ORDER BY event_id) AS place FROM f)
+    SELECT event_id, CASE WHEN now IS NOT NULL THEN now WHEN place <= greatest(0, 400 - (SELECT count(*) FROM q)) THEN 'added' ELSE 'dropped' END AS outcome FROM p""",
 )
 def bounded_queue(t):
-    key = F.col("user_id").cast("string")
-    incoming = t.events.filter("event_type = 'view'").select("event_id", "user_id")
-    recent = t.events.filter("event_type = 'purchase' AND value > 150").select(key.alias("_key"))
-    queued = t.customer.filter("c_acctbal < 0").select(F.col("c_custkey").cast("string").alias("_key"))
-    return Q.bounded_queue(incoming, key, "event_id", recent, queued, 150)
+    years, kind = F.col("user_id") % 7, F.col("event_type")
+    seen = t.events.join(t.customer.select(F.col("c_custkey").alias("user_id"), "c_name"), "user_id")
+    item = F.when(F.col("event_id") % 3 == 0, F.col("user_id").cast("string"))
+    content = F.when(F.col("event_id") % 3 == 1, F.concat(F.lit("h"), F.col("user_id") % 50))
+    incoming = seen.filter(kind.isin("view", "click")).select(
+        "event_id", Q.queue_key(item, content, F.col("c_name"), years).alias("key"), Q.name_age_key(F.col("c_name"), years).alias("also")
+    )
+    both = F.array(F.concat(F.lit("id:"), "user_id"), Q.name_age_key(F.col("c_name"), years))
+    done = seen.filter(kind == "purchase").select(F.explode(both).alias("key"), F.col("ts").alias("at")).filter("key IS NOT NULL")
+    since = t.events.agg(F.max("ts") - F.expr("INTERVAL 36 HOURS")).scalar()
+    queued = t.customer.filter("c_acctbal < 0").select(F.concat(F.lit("id:"), "c_custkey").alias("key"))
+    return Q.admit(incoming, "event_id", "key", "also", done, since, queued, 400).select("event_id", "outcome")
+
+
+@query("batch_queue", "SELECT conv_id, turns FROM (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1) ORDER BY conv_id DESC LIMIT 100")
+def batch_queue(t):
+    """Batches waiting for work, one per conversation: each takes the place of the oldest once a hundred wait."""
+    waiting = t.conversations.groupBy("conv_id").agg(F.count("*").alias("turns"))
+    return Q.make_room(waiting, "conv_id", 100)
 
 
 @query(

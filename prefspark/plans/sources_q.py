@@ -9,7 +9,7 @@ from prefspark.operators import labelled as LB
 from prefspark.operators import metrics as M
 from prefspark.plans.registry import half_up, query
 from prefspark.plans.tables import VIEWS
-from prefspark.session import scratch_path
+from prefspark.session import cut_lineage, scratch_path
 from prefspark.sources import capture as C
 from prefspark.sources import nested as N
 from prefspark.sources import records as R
@@ -184,13 +184,28 @@ def quality_variant_pick(t):
     return rows.select("conv_id", "n", *[N.pick_variant(F.col("photo"), q).alias(q) for q in ("high", "medium", "low")])
 
 
-@query("jsonl_scan_tolerant", "SELECT event_id, 'p' || user_id AS photo_path, CASE event_type WHEN 'click' THEN 'like' ELSE 'dislike' END AS impression FROM events WHERE event_type IN ('click', 'view')")
+@query(
+    "jsonl_scan_tolerant",
+    """SELECT 'record' AS kind, event_id, 'p' || user_id AS photo_path, CASE event_type WHEN 'click' THEN 'like' ELSE 'dislike' END AS impression FROM events WHERE event_type IN ('click', 'view')
+       UNION ALL SELECT 'rejected', count(*), CASE event_type WHEN 'error' THEN 'broken' WHEN 'signup' THEN 'blank' ELSE 'not an object' END, '' FROM events
+       WHERE event_type NOT IN ('click', 'view') GROUP BY event_type""",
+)
 def jsonl_scan_tolerant(t):
+    """A growing log of JSON lines: read, appended to, read again; every line counts once, also those that hold no record."""
     line = F.expr(
-        """CASE event_type WHEN 'click' THEN ' {"photo_path":"p' || user_id || '","impression":"like"}' WHEN 'view' THEN '{"photo_path":"p' || user_id || '","impression":"dislike","x":[1]}'
+        """CASE event_type WHEN 'click' THEN ' {"id":' || event_id || ',"photo_path":"p' || user_id || '","impression":"like"}'
+           WHEN 'view' THEN '{"id":' || event_id || ',"photo_path":"p' || user_id || '","impression":"dislike","x":[1]}'
            WHEN 'error' THEN '{"photo_path":' WHEN 'signup' THEN '   ' ELSE '[1,2]' END"""
     )
-    return R.parse_lines(t.events.select("event_id", line.alias("line")), "line", "photo_path string, impression string")
+    logs, state, parts = scratch_path(t.spark, "jsonl"), scratch_path(t.spark, "jsonl-state"), []
+    for part in (t.events.filter("event_id % 3 = 0"), t.events.filter("event_id % 3 <> 0"), t.events.limit(0)):
+        part.select(line.alias("value")).write.mode("append").text(logs)
+        new = R.read_new_lines(t.spark, logs, state, "id bigint, photo_path string, impression string")
+        parts.append(cut_lineage(new.select(F.lit("record").alias("kind"), F.col("id").alias("event_id"), "photo_path", "impression")))
+    faults = R.rejected_lines(t.spark, state).groupBy("fault").agg(F.count("*").alias("event_id"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(
+        faults.select(F.lit("rejected").alias("kind"), "event_id", F.col("fault").alias("photo_path"), F.lit("").alias("impression"))
+    )
 
 
 RULES = C.CaptureRules(

@@ -12,7 +12,7 @@ from prefspark.operators.bucketed import HOUR
 from prefspark.plans.event_rules import cooldown_sql
 from prefspark.plans.feature_store import ASSET_FEATURES, SHIPPED, TEXT_FEATURES, score_frame, training_frame
 from prefspark.plans.registry import half_up, query
-from prefspark.plans.scalars import item_features
+from prefspark.plans.scalars import NKEY, item_features
 from prefspark.plans.tables import Tables
 from prefspark.session import scratch_path
 from prefspark.streaming import jobs, rules, runner
@@ -156,25 +156,39 @@ def stream_confirmations(t):
     return seen.select("event_id", "action", F.col("seen_status").alias("status"), low.alias("low_balance"))
 
 
-@query("stream_score")
+@query(
+    "stream_score",
+    f"""SELECT min(doc_id) AS id, true AS scored FROM (SELECT doc_id, md5({NKEY.format('text')}) AS h FROM documents)
+        WHERE h NOT IN (SELECT md5({NKEY.format('text')}) FROM documents JOIN labels USING (doc_id)) GROUP BY h""",
+)
 def stream_score(t):
-    """Documents as they arrive: drop those whose text is already labelled, score the rest. Rows only (fitted trees)."""
+    """Documents as they arrive, some of them twice and in other batches: texts that are labelled or queued are left out, the rest is
+    scored by the model in use. The probabilities come from fitted trees; that every one is there and valid is compared."""
     frame = training_frame(t)
     text = M.fit_head(frame, TEXT_FEATURES, "label", "w_text", SHIPPED)
     asset = M.fit_head(frame.filter("brightness > 0.2"), ASSET_FEATURES, "label", "w_photo", SHIPPED)
-    trained = t.labelled.select(F.sha1(normalize_key("text")).alias("h")).distinct()
+    hashed = F.md5(normalize_key("text"))
+    trained = t.labelled.select(hashed.alias("h")).distinct()
 
-    def fresh(batch):
-        items = Tables(t.spark, t.sf_dir)
-        items.__dict__["documents"] = batch
-        return items.items.withColumn("h", F.sha1(normalize_key("text"))).join(trained, "h", "left_anti").drop("h")
+    def known(batch):
+        return batch.withColumn("h", hashed).join(trained, "h", "left_anti")
 
     def score(batch):
-        scored = score_frame(item_features(batch, ("id", "lang", "src_no")), text, asset)
-        return scored.select("id", "probability", "decision", "review_priority")
+        items = Tables(t.spark, t.sf_dir)
+        items.__dict__["documents"] = batch
+        scored = score_frame(item_features(items.items, ("id", "lang", "src_no")), text, asset)
+        return batch.select("h", F.col("doc_id").alias("id")).join(scored, "id").select("id", "h", "probability", "decision", "review_priority")
 
-    schema = "id bigint, probability double, decision string, review_priority double"
-    return jobs.stream_score(stream_of(t, "documents"), scratch_path(t.spark, "score"), score, fresh, schema).drop("batch_id")
+    path, again = scratch_path(t.spark, "score"), F.col("doc_id") % 5 == 0
+    edge = t.documents.agg(F.percentile_approx("doc_id", F.array(F.lit(0.33), F.lit(0.66))).alias("e")).first()["e"] or [0, 0]
+    first, second = F.col("doc_id") <= edge[0], F.col("doc_id") <= edge[1]
+    parts = [t.documents.filter(first), t.documents.filter((second & ~first) | (first & again)), t.documents.filter(~second | again)]
+    queue = None
+    for part in parts:
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = runner.file_stream(t.spark, f"{path}/in", t.documents.schema)
+        queue = jobs.stream_score(stream, path, score, known, "h", "doc_id", "id bigint, h string, probability double, decision string, review_priority double")
+    return queue.select("id", F.col("probability").between(0, 1).alias("scored"))
 
 
 @query(
@@ -189,9 +203,25 @@ def stream_centroid(t):
     return merged.select("label", F.col("pos").cast("bigint").alias("pos"), rounded("mean", 6).alias("mean"), "n")
 
 
-@query("stream_retrain", "SELECT count(*) AS total, true AS retrained FROM labels")
+@query(
+    "stream_retrain",
+    """WITH p AS (SELECT CAST((doc_id - (SELECT min(doc_id) FROM labels)) // ((SELECT max(doc_id) - min(doc_id) FROM labels) // 4 + 1) AS BIGINT) AS batch_id, count(*) AS n FROM labels GROUP BY 1),
+        c AS (SELECT *, CAST(sum(n) OVER (ORDER BY batch_id) AS BIGINT) AS total FROM p),
+        f AS (SELECT *, batch_id = 0 OR total // 100 > (total - n) // 100 AS retrained FROM c)
+        SELECT *, CAST(max(CASE WHEN retrained THEN batch_id END) OVER (ORDER BY batch_id) AS BIGINT) AS version FROM f""",
+)
 def stream_retrain(t):
-    folder = runner.replay(t.labels, scratch_path(t.spark, "labels"), 4)
-    stream = runner.file_stream(t.spark, folder, t.labels.schema, files_per_trigger=1)
-    log = jobs.stream_retrain(stream, scratch_path(t.spark, "retrain"), 100)
-    return log.agg(F.max("total").alias("total"), F.max("retrain").alias("retrained"))
+    """Labels arrive in four batches, the query stopped between them; each retraining fits the linear head on all labels so far."""
+    path, rows = scratch_path(t.spark, "retrain"), t.labels
+    frame = training_frame(t)
+
+    def fit(labels):
+        known = frame.join(labels.select(F.col("doc_id").alias("id")), "id", "left_semi")
+        return M.fit_head(known, TEXT_FEATURES, "label", "w_text", M.HeadConfig(min_rows=1 << 60))
+
+    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    part, log = F.floor((F.col("doc_id") - low) / F.lit((high - low) // 4 + 1)), None
+    for k in range(4):
+        rows.filter(part == k).write.mode("append").parquet(f"{path}/in")
+        log = jobs.stream_retrain(runner.file_stream(t.spark, f"{path}/in", rows.schema), path, 100, fit)
+    return log

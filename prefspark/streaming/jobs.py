@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefspark.functions.vectors import as_doubles
-from prefspark.streaming.runner import drain_batches
+from prefspark.sources import versioned
+from prefspark.streaming.runner import drain_batches, run_batches
 
 
 def centroid_parts(df: DataFrame, label: str, vector: str) -> DataFrame:
@@ -32,33 +35,73 @@ def stream_centroid(stream: DataFrame, path: str, label: str, vector: str) -> Da
     return merge_centroids(parts, label)
 
 
-def stream_score(stream: DataFrame, path: str, score: Callable[[DataFrame], DataFrame], known: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
-    """Score each micro-batch and keep what is not known yet. ``known`` maps scored rows to those already handled;
-    rows enqueued by earlier micro-batches are handled by the caller's key, through the sink itself.
-    """
-    return drain_batches(stream, path, lambda batch, _: score(known(batch)), schema)
-
-
-def stream_retrain(stream: DataFrame, path: str, every: int, retrain: Callable[[int], None] | None = None) -> DataFrame:
-    """Count labels as they arrive and retrain when the total crosses a multiple of ``every`` (or with the first data).
-
-    The total is read back from the sink, so a restarted query goes on from where it stopped.
-    """
-    spark, schema = stream.sparkSession, "n bigint, total bigint, retrain boolean"
-
-    def handle(batch: DataFrame, batch_id: int) -> DataFrame:
-        before = _labels_before(spark, f"{path}/out", f"{schema}, batch_id bigint", batch_id)
-        n = batch.count()
-        fire = n > 0 and (before == 0 or (before + n) // every > before // every)
-        if fire and retrain:
-            retrain(before + n)
-        return spark.createDataFrame([(n, before + n, fire)], schema)
-
-    return drain_batches(stream, path, handle, schema)
-
-
-def _labels_before(spark: SparkSession, path: str, schema: str, batch_id: int) -> int:
-    if batch_id == 0:
-        return 0
-    earlier = spark.read.schema(schema).parquet(path).filter(F.col("batch_id") < batch_id)
-    return earlier.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+def enqueue(rows: DataFrame, queue: str, batch_id: int, key: str, order: str, score: Callable[[DataFrame], DataFrame], schema: str) -> None:
+    """Score the rows of a batch whose ``key`` is in no earlier version of the queue, the first by ``order`` of each, and commit them
+    as the batch's version. A batch that is replayed reads the same versions and finds its own committed, so it adds nothing."""
+    spark = rows.sparkSession
+    if batch_id in versioned.versions(spark, queue):
+        return
+    waiting = versioned.read(spark, queue, schema, before=batch_id, newest=False)
+    columns = [c for c in rows.columns if c != key]
+    firsts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*columns), order).alias("_r")).select(key, "_r.*")
+    versioned.write(score(firsts.join(waiting.select(key), key, "left_anti")), queue, batch_id)
+
+
+def stream_score(
+    stream: DataFrame, path: str, score: Callable[[DataFrame], DataFrame], known: Callable[[DataFrame], DataFrame], key: str, order: str, schema: str
+) -> DataFrame:
+    """Score each micro-batch and add to a queue what is not known yet: ``known`` takes out rows that are labelled already, the queue
+    itself those that an earlier batch added. ``score`` must keep ``key``. The queue is a versioned table, a version per batch."""
+    queue = f"{path}/queue"
+    run_batches(stream, path, lambda batch, batch_id: enqueue(known(batch), queue, batch_id, key, order, score, schema))
+    return versioned.read(stream.sparkSession, queue, schema, newest=False)
+
+
+LOG = "batch_id bigint, n bigint, total bigint, retrained boolean, version bigint"
+
+
+def stream_retrain(stream: DataFrame, path: str, every: int, fit: Callable[[DataFrame], PipelineModel]) -> DataFrame:
+    """Collect labels as they arrive and fit again when their total crosses a multiple of ``every`` (or with the first data).
+
+    ``fit`` gets all labels so far. Its model is saved under the number of its batch and becomes the current one in one step
+    (see ``versioned``); a fit that fails leaves the version before it current and is told in the log: a row per batch with its
+    labels, the total, whether it retrained, and the version that is current behind it. Labels and log are versioned, so a
+    replayed batch counts once."""
+    spark, schema = stream.sparkSession, stream.schema
+    labels, log, models = f"{path}/labels", f"{path}/log", f"{path}/models"
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        if batch_id in versioned.versions(spark, log):
+            return
+        before = versioned.read(spark, labels, schema, before=batch_id, newest=False).count()
+        versioned.write(batch, labels, batch_id)
+        every_label = versioned.read(spark, labels, schema, before=batch_id + 1, newest=False)
+        total = every_label.count()
+        fire = total > before and (before == 0 or total // every > before // every)
+        retrained = fire and retrain(every_label, models, batch_id, fit)
+        row = (batch_id, total - before, total, retrained, versioned.current(spark, models))
+        versioned.write(spark.createDataFrame([row], LOG), log, batch_id)
+
+    run_batches(stream, path, handle)
+    return versioned.read(spark, log, LOG, newest=False)
+
+
+def retrain(labels: DataFrame, models: str, version: int, fit: Callable[[DataFrame], PipelineModel]) -> bool:
+    """Fit, save as ``version`` and make it current; False where the fit fails, which changes nothing."""
+    spark = labels.sparkSession
+    if version in versioned.versions(spark, models):
+        return True
+    try:
+        model = fit(labels)
+    except Exception:  # noqa: BLE001 - the labels so far may not do; the model before stays in use
+        logging.getLogger(__name__).exception("retraining failed on version %s", version)
+        return False
+    model.write().overwrite().save(versioned.folder(models, version))
+    versioned.commit(spark, models, version)
+    return True
+
+
+def current_model(spark: SparkSession, models: str) -> PipelineModel | None:
+    """The model in use."""
+    version = versioned.current(spark, models)
+    return None if version is None else PipelineModel.load(versioned.folder(models, version))

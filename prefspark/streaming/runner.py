@@ -31,18 +31,19 @@ def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+def run_batches(stream: DataFrame, path: str, handle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Run everything available through ``handle``, which must stand the replay of a batch."""
+    use_rocksdb(stream.sparkSession)
+    writer = stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", f"{path}/_state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
 def drain_batches(stream: DataFrame, path: str, handle: Callable[[DataFrame, int], DataFrame], schema: str, mode: str = "append") -> DataFrame:
     """Run everything available through ``handle`` and keep each micro-batch's result.
 
     A result is written to its own batch folder with overwrite, so a batch replayed after a failure replaces itself.
     """
-    use_rocksdb(stream.sparkSession)
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        handle(batch, batch_id).write.mode("overwrite").parquet(f"{path}/out/batch_id={batch_id}")
-
-    writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/_state")
-    writer.trigger(availableNow=True).start().awaitTermination()
+    run_batches(stream, path, lambda batch, n: handle(batch, n).write.mode("overwrite").parquet(f"{path}/out/batch_id={n}"), mode)
     return stream.sparkSession.read.schema(f"{schema}, batch_id bigint").parquet(f"{path}/out")
 
 
