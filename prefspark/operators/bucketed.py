@@ -131,7 +131,7 @@ def kth_value(df: DataFrame, order: str, rank: int, buckets: int = 4096) -> int
     """The ``rank``-th smallest (from 1) of the integer column ``order``, equal values counted each; None without rows.
 
     Nested histograms (``buckets`` parts per level) narrow the range to a single value, so nothing is sorted or ranked; each
-    level brings one row to the driver, and a 64-bit range takes six at most.
+    level brings one row to the driver, and a 64-bit range takes six at most. The range must not pass 63 bits.
     """
     values = df.select(F.col(order).cast("bigint").alias("v")).filter(F.col("v").isNotNull())
     low, high, n = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
@@ -143,7 +143,7 @@ def kth_value(df: DataFrame, order: str, rank: int, buckets: int = 4096) -> int
     while True:
         step = max(-(-(high - low + 1) // buckets), 1)
         inside = values.filter(F.col("v").between(low, high))
-        histogram = inside.groupBy(F.floor((F.col("v") - F.lit(low)) / F.lit(step)).cast("bigint").alias("part")).agg(F.count("*").alias("n"))
+        histogram = inside.groupBy(F.expr(f"(v - ({low}L)) div {step}L").alias("part")).agg(F.count("*").alias("n"))
         running = histogram.withColumn("upto", F.sum("n").over(Window.orderBy("part")))  # at most `buckets` rows
         part, count, upto = running.filter(F.col("upto") >= rank).agg(F.min_by(F.struct("part", "n", "upto"), "part").alias("s")).select("s.*").first()
         low, high, rank = low + part * step, low + (part + 1) * step - 1, rank - (upto - count)

@@ -52,6 +52,6 @@ def cached_features(
     stats = {"held": held, "computed": counts["all"] - held, "used": counts["used"], "kept": min(counts["all"], most)}
     if counts["all"] > most:
         # the latest runs stay; among rows of one run the hash decides
-        newest = smallest(whole.withColumn("_age", -F.col("used")).withColumn("_tie", F.xxhash64("content_hash")), "_age", "_tie", most)
+        newest = smallest(whole.withColumn("_age", -F.col("used")).withColumn("_tie", F.shiftrightunsigned(F.xxhash64("content_hash"), 1)), "_age", "_tie", most)
         versioned.write(newest.drop("_age", "_tie"), path, run + 1)
     return found, stats
