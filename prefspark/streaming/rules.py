@@ -274,7 +274,10 @@ def match_rules(events: DataFrame, rules: Sequence[tuple[str, str]], text: Colum
 
 
 #: What a session counts, and the flag of a decision row that each count sums.
-SESSION_COUNTS = "total likes super_likes passes model_likes prompts corrected corrected_to_like corrected_to_pass like_sum pass_sum".split()
+SESSION_COUNTS = (
+    "total", "likes", "super_likes", "passes", "model_likes", "prompts", "corrected", "corrected_to_like", "corrected_to_pass",
+    "like_sum", "pass_sum",
+)
 
 
 def stream_session_stats(df: DataFrame, key: str, ts: str, event_time: str, gap: int, delay: str, score: str) -> DataFrame:

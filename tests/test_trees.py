@@ -1,14 +1,15 @@
 """Selections, JSON trees and queues: the cases where rules are easily mistaken."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from prefspark.functions.attrs import SELECTION_SCHEMA, attr_map_extract
 from prefspark.functions.text import rule_reason
+from prefspark.functions.trees import value_texts
 from prefspark.operators import bucketed as B
-from prefspark.operators import review_queue as Q
 from prefspark.sources import capture as C
 from prefspark.sources import nested as N
 
@@ -36,14 +37,6 @@ def test_first_configured_deny_word_is_reported(spark):
     assert one(spark, rule_reason(F.lit("plain"), (), ())) is None
 
 
-def test_cap_counts_what_is_queued(spark):
-    incoming = spark.createDataFrame([(i, f"k{i}") for i in range(6)], "id int, k string")
-    none = spark.createDataFrame([], "_key string")
-    queued = spark.createDataFrame([("q1",), ("q2",), ("q3",)], "_key string")
-    admit = lambda cap: [r.id for r in Q.bounded_queue(incoming, F.col("k"), "id", none, queued, cap).collect()]
-    assert admit(5) == [0, 1] and admit(3) == [] and admit(1) == []
-
-
 def test_positions_follow_the_global_order(spark):
     rows = spark.range(1000).withColumn("v", F.xxhash64("id"))
     got = B.with_position(rows.repartition(7).orderBy("v")).collect()
@@ -51,6 +44,60 @@ def test_positions_follow_the_global_order(spark):
     assert sorted(r.position for r in got) == list(range(1, 1001))
 
 
+def random_tree(rng, depth):
+    if depth == 0 or rng.random() < 0.15:
+        return rng.choice(["x", 1, None, True, 'a"b', "  long text "])
+    n = rng.randint(0, 3)
+    if rng.random() < 0.5:
+        return [random_tree(rng, depth - 1) for _ in range(n)]
+    return {rng.choice(["k", "token", "z", "name", "value"]): random_tree(rng, depth - 1) for _ in range(n)}
+
+
+def chain(depth):
+    tree = "end"
+    for i in range(depth):
+        tree = {"value": tree, "secret_x": [1]} if i % 2 else [tree]
+    return tree
+
+
+def masked(v, key=None, depth=0, most=None):
+    if key and any(w in key for w in C.SENSITIVE):
+        return "<redacted>"
+    if isinstance(v, list | dict) and most is not None and depth >= most:
+        return "<max_depth>"
+    if isinstance(v, list):
+        return [masked(x, None, depth + 1, most) for x in v]
+    return {k: masked(x, k, depth + 1, most) for k, x in v.items()} if isinstance(v, dict) else v
+
+
+def told(v):
+    if isinstance(v, list):
+        return ", ".join(t for t in map(told, v) if t)
+    if isinstance(v, dict):
+        return next((t for t in (told(v.get(k)) for k in ("name", "value")) if t), "")
+    return "" if v is None else str(v).lower() if isinstance(v, bool) else str(v).strip()
+
+
+def test_trees_of_forty_levels(spark):
+    """Redaction, its depth limit and value texts equal a walk, in rounds whose plans do not grow with the depth."""
+    rng = random.Random(1)
+    trees = [random_tree(rng, 9) for _ in range(30)] + [chain(40), chain(41)]
+    df = spark.createDataFrame([(i, json.dumps(t)) for i, t in enumerate(trees)], "id long, body string")
+    for most in (None, 3, 5, 8):
+        got = {r.id: json.loads(r.body) for r in C.redact_json(df, "body", max_depth=most).collect()}
+        assert got == {i: masked(t, most=most) for i, t in enumerate(trees)}
+    texts = value_texts(df.withColumn("v", F.try_parse_json("body")), "v", ("name", "value"))
+    assert {r.id: r.v for r in texts.collect()} == {i: told(t) for i, t in enumerate(trees)}
+
+
+def test_labels_and_values_of_any_depth(spark):
+    tree = {"name": "Low", "value": chain(30)}
+    for k in range(25):
+        tree = {"title": f"S{k}", "items": [tree]} if k % 2 else [tree]
+    df = spark.createDataFrame([(1, json.dumps(tree)), (2, "{}")], "id int, body string")
+    assert {r.id: r.attrs for r in N.deep_attrs(df, "body").collect()} == {1: {"S1: Low": "end"}, 2: {}}
+
+
 @pytest.fixture(scope="module")
 def deep():
     tree = {"z": "deep"}
