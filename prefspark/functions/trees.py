@@ -10,14 +10,20 @@ from pyspark.sql import functions as F
 from prefspark.session import cut_lineage
 
 
+#: Types that only variants of a kind can be cast to.
+KINDS = {"OBJECT": "struct<>", "ARRAY": "array<variant>"}
+
+
 def is_kind(v: Column, kind: str) -> Column:
-    """Whether a variant is an OBJECT, an ARRAY, ..."""
+    """Whether a variant is an OBJECT, an ARRAY, ...; those two are told by a cast, as a schema would be that of all that they hold."""
+    if kind in KINDS:
+        return F.try_variant_get(v, "$", KINDS[kind]).isNotNull()
     return F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
 
 
 def elements(v: Column) -> Column:
     """Elements of an array variant; null for anything else."""
-    return F.when(is_kind(v, "ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+    return F.try_variant_get(v, "$", KINDS["ARRAY"])
 
 
 def member(v: Column, key: str) -> Column:
@@ -42,20 +48,23 @@ def value_text(v: Column, depth: int, keys: Sequence[str]) -> Column:
 
     Looks ``depth`` levels into lists and keys; every level adds one lambda to the expression.
     """
-    names = F.filter(
-        F.transform(elements(member(v, "choice_selections")), lambda c: F.coalesce(F.nullif(scalar_text(member(c, "name")), F.lit("")), scalar_text(c))),
-        lambda n: n != "",
-    )
+    choices = F.transform(elements(member(v, "choice_selections")), lambda c: F.coalesce(first_filled([scalar_text(member(c, "name"))]), scalar_text(c)))
+    names = F.array_join(F.filter(choices, lambda n: n != ""), ", ")
     measure = member(v, "measurable_selection")
-    number, unit = scalar_text(member(measure, "value")), scalar_text(member(measure, "unit_of_measure"))
-    out = F.when(F.size(names) > 0, F.array_join(names, ", ")).when(number != "", F.trim(F.concat_ws(" ", number, unit)))
-    if depth > 0:
-        below = F.filter(F.coalesce(elements(v), F.array(*[member(v, k) for k in keys])), lambda x: x.isNotNull())
-        texts = F.filter(F.transform(below, lambda x: value_text(x, depth - 1, keys)), lambda t: t != "")
-        wanted = F.when(is_kind(v, "ARRAY"), F.lit(1 << 30)).otherwise(1)
-        nested = F.array_join(F.slice(texts, 1, wanted), ", ")
-        out = out.when(is_kind(v, "OBJECT") | is_kind(v, "ARRAY"), nested)
-    return F.coalesce(out, scalar_text(v))
+    measured = F.transform(F.array(scalar_text(member(measure, "value"))), lambda n: F.when(n != "", F.trim(F.concat_ws(" ", n, scalar_text(member(measure, "unit_of_measure"))))))
+    told = [first_filled([names]), F.get(measured, 0)]
+    if depth == 0:
+        return F.when(is_kind(v, "OBJECT"), F.coalesce(*told, F.lit(""))).otherwise(scalar_text(v))
+    texts = lambda below: F.filter(F.transform(below, lambda x: value_text(x, depth - 1, keys)), lambda t: t != "")
+    held = texts(F.filter(F.coalesce(elements(v), F.array(*[member(v, k) for k in keys])), lambda x: x.isNotNull()))
+    wanted = F.when(is_kind(v, "OBJECT"), 1).otherwise(1 << 30)
+    nested = F.array_join(F.slice(held, 1, wanted), ", ")  # the texts are named once: an expression that repeats them doubles with every level
+    return F.when(is_kind(v, "OBJECT") | is_kind(v, "ARRAY"), F.coalesce(*told, nested)).otherwise(scalar_text(v))
+
+
+def first_filled(texts: Sequence[Column]) -> Column:
+    """The first text that is not empty, each of them evaluated once; null where there is none."""
+    return F.get(F.filter(F.array(*texts), lambda t: t != ""), 0)
 
 
 #: Stands for a part of a JSON text that is put in later; no JSON text holds it, as control characters are escaped there.

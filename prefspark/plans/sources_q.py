@@ -158,15 +158,15 @@ TREE = """'{"section_name":"Basics","items":[{"title_text":"Kind","body_text":"'
     """SELECT event_id, event_type AS kind, k::VARCHAR AS level, 'a, b' AS deep, k::VARCHAR AS shallow, 3::BIGINT AS n FROM decisions""",
 )
 def nested_value_coalesce(t):
-    """Deep trees through Arrow batches; the shallow form reads the same value with variant paths."""
+    """Deep trees level by level; the shallow form reads the same value with variant paths."""
     trees = t.decisions.select("event_id", F.expr(TREE).alias("body"), F.expr("""'{"value":{"text":" ' || k || '"}}'""").alias("small"))
-    deep = N.deep_attrs(trees, "body")
+    deep = N.deep_attrs(trees, "body").withColumn("small", F.try_variant_get(F.parse_json("small"), "$.value", "variant"))
     return deep.select(
         "event_id",
         F.col("attrs")["Basics: Kind"].alias("kind"),
         F.col("attrs")["Basics: Level"].alias("level"),
         F.col("attrs")["Inner: Deep"].alias("deep"),
-        N.shallow_value(F.try_variant_get(F.parse_json("small"), "$.value", "variant")).alias("shallow"),
+        N.shallow_value("small").alias("shallow"),
         F.size("attrs").cast("bigint").alias("n"),
     )
 

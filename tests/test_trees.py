@@ -135,3 +135,14 @@ def test_tree_attributes_first_label_wins(spark):
     df = spark.createDataFrame([(1, json.dumps(tree)), (2, "broken"), (3, None)], "id int, body string")
     got = {r.id: r.attrs for r in N.deep_attrs(df, "body").collect()}
     assert got == {1: {"S: K": "a, b", "T: P": "c, d", "S: M": "7 cm"}, 2: {}, 3: {}}
+
+
+def test_kinds_are_told_without_the_schema_of_all_that_is_held(spark):
+    """Kinds of nodes: no schema of a whole subtree is made to tell one, and each text is named once."""
+    rows = spark.createDataFrame([(json.dumps({"title": "A", "value": {"text": [1, "x"]}}),)], "body string").coalesce(1)
+    node = F.parse_json("body")
+    for found in (N._label(F.struct(F.lit("").alias("path"), node.alias("node"), F.lit("").alias("section"))), N.shallow_value(node)):
+        plan = rows.select(found.alias("x"))._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "schemaofvariant" not in plan and "schema_of_variant" not in plan
+    attrs = N.deep_attrs(rows, "body").first().attrs
+    assert attrs == {"A": "1, x"}
