@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,19 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+@contextmanager
+def state_partitions(spark: SparkSession) -> Iterator[None]:
+    """No more state partitions than cores for a query started here: each opens a store and a Python worker in every micro-batch,
+    however few rows come."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def file_stream(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet", files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_trigger:
@@ -27,7 +41,9 @@ def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Run everything available into a Parquet sink (exactly once, by its commit log) and read the sink."""
     use_rocksdb(stream.sparkSession)
     writer = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}/_state")
-    writer.trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    with state_partitions(stream.sparkSession):
+        query = writer.trigger(availableNow=True).start(f"{path}/out")
+    query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
 

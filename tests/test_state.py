@@ -176,3 +176,18 @@ def test_sessions_are_told_open_and_closed(spark, tmp_path):
     log = runner.drain_parts(rule, frames, str(tmp_path / "s"))
     got = {(r.key, r.first // 1_000_000, r.last // 1_000_000): (r.total, r.closed, r.like_score) for r in rules.sessions_of(log, "key").collect()}
     assert got == {("a", 1000, 1050): (3, True, 2.3333), ("a", 1390, 1400): (2, False, 6.0), ("b", 1010, 1010): (1, True, 3.0), ("b", 1420, 1420): (1, False, 6.0)}
+
+
+def test_keys_share_calls_and_large_ids_survive(spark, tmp_path):
+    """A processor is called per group of keys, however many keys there are; ids beyond 2^53 stand beside missing ones."""
+    big = 1 << 60
+    rows = [(big + i, f"k{i % 700}", 1000 + i // 700) for i in range(2100)]
+    frame = timed(spark, rows)
+    groups = rules.grouped(frame, ["key"], ["us", "id"]).select(rules.GROUP).distinct().count()
+    assert groups <= rules.GROUPS < 700
+    rule = lambda folder: rules.stream_dedupe_ttl(
+        runner.file_stream(spark, folder, frame.schema), ["key"], "us", "id", 20_000_000, event_time="at", delay="60 seconds"
+    )
+    out = runner.drain_parts(rule, [frame, timed(spark, [(None, f"k{i}", 9000) for i in range(700)])], str(tmp_path / "s"))
+    got = {r.id: r.is_duplicate for r in out.filter("id IS NOT NULL").collect()}
+    assert got == {i: i - big >= 700 for i, _, _ in rows}
