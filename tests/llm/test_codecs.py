@@ -123,3 +123,30 @@ def test_files_are_in_the_order_of_their_numbers(spark, tmp_path, monkeypatch):
         os.remove(f"{path}/{crc}")
     starts = {r.file: (r.start, r.first_id) for r in orc_tokens._manifest(spark, path).collect()}
     assert [starts[f] for f in sorted(starts, key=lambda f: int(f.split("-")[1]))] == sorted(starts.values())
+
+
+def test_a_worker_gives_back_the_memory_of_each_slice(spark):
+    """Workers are used again by later stages, so what a slice took must not stay with them."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from prefspark.llm.common import map_texts
+
+    def make():
+        real, calls = pa.default_memory_pool(), []
+
+        class Counting:
+            def __getattr__(self, name):
+                return getattr(real, name)
+
+            def release_unused(self):
+                calls.append(1)
+                real.release_unused()
+
+        pa.default_memory_pool = Counting
+        return lambda texts: [pa.array([len(calls)] * len(texts), pa.int64())]
+
+    docs = spark.range(0, 3, 1, 1).select("id", F.expr("repeat('x', 3000000)").alias("text"))
+    rows = map_texts(docs, "text", ["id"], [T.StructField("calls", T.LongType())], make).collect()
+    assert sorted(r.calls for r in rows) == [0, 1, 2]
