@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from prefspark.functions.labels import detail
 from prefspark.functions.numeric import half_up
-from prefspark.functions.text import BLOCKED_BIGRAMS_PT, STOPWORDS_PT, candidate_bigrams, ngrams_of, normalize_key, parse_list, raw_tokens
+from prefspark.functions.text import BLOCKED_BIGRAMS_PT, STOPWORDS_PT, candidate_pairs, ngrams_of, normalize_key, parse_list, raw_tokens, stopwords_nulled
+from prefspark.session import cut_lineage
 
 # fixed values: signal kinds, polarities, the default weight and its limits
 KINDS = ("interest", "bio", "descriptor")
@@ -104,7 +105,7 @@ def signal_rows(
         for key, pos, neg in ((f"{kind}_not_positive", 1, 0), (f"{kind}_not_negative", 0, 1)):
             vetoed = F.filter(F.transform(parse_list(detail(details, key)), lambda x: normalize_key(x)), lambda x: x != "")
             groups.append(_group(kind, vetoed, zero, zero, pos, neg))
-    flat = staged.select(F.inline(F.array(*groups)))
+    flat = staged.select(F.inline_outer(F.array(*groups)))
     return flat.select("kind", F.explode("norms").alias("norm"), "likes", "dislikes", "not_positive", "not_negative", "counted")
 
 
@@ -244,12 +245,14 @@ def profile_text_score(df: DataFrame, table: DataFrame, key: str, text: str, tag
 def signal_occurrences(df: DataFrame, key: str, label: str, text: str, tags: str, displays: str, stopwords: Sequence[str], blocked: Sequence[str] = BLOCKED_BIGRAMS_PT) -> DataFrame:
     """(key, label, kind, display, norm): every tag, candidate bigram (once per row) and attribute of the rows."""
     raw = df.select(key, label, tags, displays, raw_tokens(text).alias("_raw"))
-    bigrams = F.array_distinct(candidate_bigrams(F.col("_raw"), stopwords, blocked))
+    raw = raw.withColumn("_raw", stopwords_nulled(F.col("_raw"), stopwords))
+    bigrams = F.array_distinct(candidate_pairs(F.col("_raw"), blocked))
     groups = [
         F.struct(F.lit(kind).alias("kind"), values.alias("displays"))
         for kind, values in (("interest", F.col(tags)), ("bio", bigrams), ("descriptor", F.col(displays)))
     ]
-    grouped = raw.select(key, label, F.inline(F.array(*groups)))
+    # the outer form: see item_signals
+    grouped = raw.select(key, label, F.inline_outer(F.array(*groups)))
     flat = grouped.select(key, label, "kind", F.explode("displays").alias("display"))
     # bigrams are normalized already; normalizing them again would be most of the work
     norm = F.when(F.col("kind") == "bio", F.col("display")).otherwise(normalize_key("display"))
@@ -259,9 +262,12 @@ def signal_occurrences(df: DataFrame, key: str, label: str, text: str, tags: str
 def signal_candidates(
     occurrences: DataFrame, feedback: DataFrame, key: str, label: str, limit: int = 60, min_occurrences: int = 3, max_explicit: int = 2, examples: int = 3
 ) -> DataFrame:
-    """Frequent signals still short of explicit feedback, most useful first, with a few example rows."""
+    """Frequent signals still short of explicit feedback, most useful first, with a few example rows.
+
+    All signals are only counted, which hashes; how one is displayed is looked up for the ``limit`` chosen ones, as an aggregate that
+    keeps a text per signal would sort every occurrence.
+    """
     counted = occurrences.groupBy("kind", "norm").agg(
-        F.min_by("display", key).alias("display"),
         F.count("*").alias("occurrences"),
         F.count_if(F.col(label) == 1).alias("likes"),
         F.count_if(F.col(label) != 1).alias("dislikes"),
@@ -276,13 +282,14 @@ def signal_candidates(
             "priority": half_up(F.col("occurrences") / (1 + F.col("explicit")) * (1.0 + F.abs(score - 0.5)), 4),
         }
     )
-    best = ranked.orderBy("explicit", F.desc("priority"), F.desc("occurrences"), "kind", "norm").limit(limit)
-    # the report is `limit` rows long, so that side of the example lookup is small by construction
-    found = occurrences.join(F.broadcast(best.select("kind", "norm")), ["kind", "norm"])
-    order = Window.partitionBy("kind", "norm").orderBy(key)
+    # the report is `limit` rows long, so it is small by construction; it is read twice, and counting again would read all texts again
+    best = cut_lineage(ranked.orderBy("explicit", F.desc("priority"), F.desc("occurrences"), "kind", "norm").limit(limit))
+    found = occurrences.select(key, "kind", "display", "norm").join(F.broadcast(best.select("kind", "norm")), ["kind", "norm"])
+    order = Window.partitionBy("kind", "norm").orderBy(key, "display")
     shown = found.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= examples)
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", key))), lambda e: e[key].cast("string")), ",")
-    return best.join(shown.groupBy("kind", "norm").agg(text.alias("examples")), ["kind", "norm"])
+    looked_up = shown.groupBy("kind", "norm").agg(F.min_by("display", "rn").alias("display"), text.alias("examples"))
+    return best.join(looked_up, ["kind", "norm"])
 
 
 def summary_topn(table: DataFrame, top: int = 8) -> DataFrame:
