@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from prefspark.functions.labels import detail
 from prefspark.functions.numeric import half_up
 from prefspark.functions.text import BLOCKED_BIGRAMS_PT, STOPWORDS_PT, candidate_pairs, ngrams_of, normalize_key, parse_list, raw_tokens, stopwords_nulled
-from prefspark.session import cut_lineage
+from prefspark.session import cut_lineage, scratch_path
 
 # fixed values: signal kinds, polarities, the default weight and its limits
 KINDS = ("interest", "bio", "descriptor")
 POLARITIES = ("positive", "neutral", "negative")
 DEFAULT_WEIGHT, MIN_WEIGHT, MAX_WEIGHT = 3, 1, 20
 LIKED, DISLIKED, MIN_EVIDENCE, SHOWN = 0.70, 0.30, 2, 5
+#: Most terms that are sent to every executor; the others are joined by a shuffle.
+HEAD = 100_000
 
 
 def laplace_score(likes: Column | str, dislikes: Column | str) -> Column:
@@ -167,22 +169,57 @@ def vetoed_score() -> Column:
     )
 
 
-def _known_items(items: DataFrame, table: DataFrame) -> DataFrame:
-    """Items found in the learned table, with their score and whether they count as a hit.
-
-    The table has one row per (kind, norm), so hashing its partitions is cheap and saves sorting the (far more) items;
-    a common item makes a skewed partition on the item side only, which AQE splits.
-    """
-    enough = F.col("likes") + F.col("dislikes") >= MIN_EVIDENCE
-    score = vetoed_score()
-    known = table.filter("counted").select(
+def _scored_terms(table: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The terms that score, with their score and whether they count as a hit: the most taught ones, at most ``HEAD`` and so fit for a
+    broadcast, and the rest (None if there is none). Written once, as learning them reads all taught texts."""
+    spark, total = table.sparkSession, F.col("likes") + F.col("dislikes")
+    score, enough = vetoed_score(), total >= MIN_EVIDENCE
+    path = scratch_path(spark, "terms")
+    table.filter("counted").select(
         "kind",
         "norm",
+        F.floor(F.log2(total + 1)).cast("int").alias("magnitude"),
         score.alias("score"),
         (enough & (F.col("not_positive") == 0) & (score >= LIKED)).alias("liked"),
         (enough & (F.col("not_negative") == 0) & (score <= DISLIKED)).alias("disliked"),
-    )
-    return items.join(known.hint("shuffle_hash"), ["kind", "norm"])
+    ).write.parquet(path)
+    terms = spark.read.schema("kind string, norm string, magnitude int, score double, liked boolean, disliked boolean").parquet(path)
+    sizes = {r.magnitude: r.n for r in terms.groupBy("magnitude").agg(F.count("*").alias("n")).collect()}
+    least, room = max(sizes, default=0) + 1, HEAD
+    for magnitude in sorted(sizes, reverse=True):
+        room -= sizes[magnitude]
+        if room < 0:
+            break
+        least = magnitude
+    head = terms.filter(F.col("magnitude") >= least).drop("magnitude")
+    return head, terms.filter(F.col("magnitude") < least).drop("magnitude") if room < 0 else None
+
+
+def _known_items(items: DataFrame, table: DataFrame) -> DataFrame:
+    """Items found in the learned table, with their score and whether they count as a hit.
+
+    Most items are among the few most taught terms. Those are scored where the texts are read; only what is left is shuffled to the
+    rest of the table, once, whose partitions are hashed, as that saves sorting the (far more) items.
+    """
+    common, rare = _known_parts(items, table)
+    return common if rare is None else common.unionByName(rare)
+
+
+def _known_parts(items: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``_known_items`` by the most taught terms, and by the others."""
+    head, tail = _scored_terms(table)
+    common = items.join(F.broadcast(head), ["kind", "norm"])
+    if tail is None:
+        return common, None
+    left = items.join(F.broadcast(head.select("kind", "norm")), ["kind", "norm"], "left_anti")
+    # kind and norm travel as one text, as a second one would cost most of a row's bytes
+    term = F.concat(F.substring("kind", 1, 1), "norm").alias("_term")
+    rest = left.select(*[c for c in items.columns if c not in ("kind", "norm")], term)
+    rare = rest.join(tail.select(term, "score", "liked", "disliked").hint("shuffle_hash"), "_term")
+    kind = F
+    for name in KINDS:
+        kind = kind.when(F.col("_term").startswith(name[0]), name)
+    return common, rare.withColumns({"kind": kind.otherwise(None), "norm": F.expr("substring(_term, 2)")}).select(*common.columns)
 
 
 def _token_scores(known: DataFrame, key: str) -> DataFrame:
@@ -196,19 +233,29 @@ def _token_scores(known: DataFrame, key: str) -> DataFrame:
 def token_score_join(items: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Score the items (key, kind, pos, norm) of each row against the table: mean score, hits, first five signals.
 
-    Repeats count. Unknown items drop out in the join, so only scored ones are shuffled to their row; the lists that
-    are gathered are the hits inside one row's own text.
+    Repeats count. Unknown items drop out in the join. Of the common terms, what is no hit is summed to one cell per row and kind before
+    it is shuffled; the lists that are gathered are the hits inside one row's own text.
     """
-    known = _known_items(items, table)
+    common, rare = _known_parts(items, table)
+    hit = F.col("liked") | F.col("disliked")
+    place = [key, "kind", F.when(hit, F.col("pos")).alias("pos"), F.when(hit, F.col("norm")).alias("norm"), "liked", "disliked"]
+    cells = common.groupBy(*place).agg(F.sum("score").alias("total"), F.count("*").alias("n"))
+    if rare is not None:
+        cells = cells.unionByName(rare.select(*place, F.col("score").alias("total"), F.lit(1).cast("bigint").alias("n")))
+    # dealt as plain rows: buffers of lists, which hold a hit or none each, would be larger
+    cells = cells.repartition(key, "kind")
 
     def shown(flag: str) -> Column:
         uses = F.sort_array(F.collect_list(F.when(F.col(flag), F.struct("pos", "norm"))))
         return F.array_join(F.transform(F.slice(uses, 1, SHOWN), lambda u: u["norm"]), ",")
 
-    hits = known.filter(F.col("liked") | F.col("disliked")).groupBy(key, "kind").agg(
-        shown("liked").alias("positive_signals"), shown("disliked").alias("negative_signals")
+    return cells.groupBy(key, "kind").agg(
+        half_up(F.sum("total") / F.sum("n"), 4).alias("score"),
+        F.coalesce(F.sum(F.when(F.col("liked"), F.col("n"))), F.lit(0)).alias("positive_hits"),
+        F.coalesce(F.sum(F.when(F.col("disliked"), F.col("n"))), F.lit(0)).alias("negative_hits"),
+        shown("liked").alias("positive_signals"),
+        shown("disliked").alias("negative_signals"),
     )
-    return _token_scores(known, key).join(hits, [key, "kind"], "left").fillna("", ["positive_signals", "negative_signals"])
 
 
 def item_signals(df: DataFrame, key: str, text: str, tags: str, items: str, stopwords: Sequence[str] = STOPWORDS_PT) -> DataFrame:

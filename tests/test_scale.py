@@ -36,3 +36,30 @@ def test_ascii_texts_pass_the_accent_table_by(spark):
     assert all(r.x for r in df.select(T.word_count("s").eqNullSafe(before).alias("x")).collect())
     tokens = F.regexp_extract_all(T.normalize_key("s"), F.lit("[a-z]{3,}"), F.lit(0))
     assert all(r.x for r in df.select(T.raw_tokens("s").eqNullSafe(tokens).alias("x")).collect())
+
+
+def test_cleanup_keeps_numbers_not_structs_and_the_lowest_id_of_a_tie(spark):
+    from prefspark.operators import review_queue as Q
+
+    rows = [(1, 5, "pending"), (2, 5, "pending"), (3, 4, "pending")]
+    df = spark.createDataFrame(rows, "review_id long, s long, review_status string").selectExpr(
+        "review_id", "timestamp_seconds(s) AS created_at", "review_status", "'auto' AS review_mode"
+    )
+    keys = F.array(F.struct(F.lit("k").alias("kind"), F.lit("x").alias("key")))
+    lost = Q.duplicate_pending(df, "review_id", keys)
+    assert "SortAggregate" not in lost._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.review_id for r in lost.collect()) == [2, 3]
+
+
+def test_rare_terms_are_scored_like_common_ones(spark, monkeypatch):
+    table = spark.createDataFrame(
+        [("bio", "a", 50, 0, 0, 0, True), ("bio", "b", 3, 0, 0, 0, True), ("interest", "a", 0, 3, 0, 0, True)],
+        "kind string, norm string, likes long, dislikes long, not_positive long, not_negative long, counted boolean",
+    )
+    items = spark.createDataFrame([(1, "bio", p, n) for p, n in enumerate("baxb")] + [(1, "interest", 0, "a")], "id long, kind string, pos int, norm string")
+    assert G.HEAD >= 3
+    whole = {tuple(r) for r in G.token_score_join(items, table, "id").collect()}
+    monkeypatch.setattr(G, "HEAD", 1)
+    split = G.token_score_join(items, table, "id")
+    assert {tuple(r) for r in split.collect()} == whole and len(whole) == 2
+    assert "LeftAnti" in plan_of(split)
