@@ -19,7 +19,7 @@ from prefspark.functions.numeric import (
     tent_score,
     weighted_mean,
 )
-from prefspark.functions.text import keyword_count, normalize, normalize_key, plain_key, raw_tokens, string_set, word_count
+from prefspark.functions.text import keywords_in, normalize, normalize_key, plain_key, raw_tokens, string_set, word_count
 
 
 @dataclass(frozen=True)
@@ -74,11 +74,14 @@ def feature_columns(
     measurements: dict[str, Column] | None = None,
     sentiment: Column | None = None,
     vetoed_attrs: Column | None = None,
+    plain_text: Column | None = None,
 ) -> dict[str, Column]:
-    """All features of one item as numeric columns, neutral where a value is missing."""
+    """All features of one item as numeric columns, neutral where a value is missing. ``plain_text`` is a column with the normalized
+    text, for frames that hold it: without it every keyword may normalize the text again."""
     dist = soft_range(distance, *config.distance_range, config.distance_soft_max)
     years = F.coalesce(age.cast("double"), F.lit(0.0))
     body = F.coalesce(text, F.lit(""))
+    plain = normalize(body) if plain_text is None else plain_text
     disliked = [plain_key(n) for n in config.disliked_names]
     out = {
         "age_in_range": in_range_flag(years, *config.age_range),
@@ -91,8 +94,8 @@ def feature_columns(
         "text_length": F.length(body),
         "text_words": word_count(body),
         "text_long_enough": (F.length(body) >= config.min_text_length).cast("int"),
-        "positive_keywords": keyword_count(body, config.positive_keywords),
-        "negative_keywords": keyword_count(body, config.negative_keywords),
+        "positive_keywords": keywords_in(plain, config.positive_keywords),
+        "negative_keywords": keywords_in(plain, config.negative_keywords),
         "sentiment": sentiment if sentiment is not None else F.lit(0.0),
         "tag_count": F.size(tags),
         "tag_overlap": list_overlap(tags, config.preferred_tags),

@@ -177,11 +177,27 @@ def balanced(df: DataFrame, label: str, weight: str | None) -> tuple[DataFrame,
     return df.withColumn("_weight", factor * (F.col(weight) if weight else F.lit(1.0))), sizes
 
 
+#: Rows of a matrix that one task of a fit reads.
+TASK_ROWS = 500_000
+
+
+def matrix_tasks(spark: SparkSession, rows: int) -> int:
+    """Partitions of a matrix: the trees read it more than a thousand times, so a task for every piece of the texts it came from would
+    cost more than the rows in it; no fewer than there are cores."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
+def fit_heads(spark: SparkSession, heads: Sequence[tuple[DataFrame, Sequence[str], str, str | None]], config: HeadConfig = HeadConfig()) -> list[PipelineModel]:
+    """Independent heads (frame, features, label, weight), fitted side by side: the steps of one are too short to fill the cores."""
+    return _in_parallel(spark, list(heads), lambda head: fit_head(*head, config), len(heads))
+
+
 def fit_head(df: DataFrame, features: Sequence[str], label: str, weight: str | None = None, config: HeadConfig = HeadConfig()) -> PipelineModel:
     """Fit one head. The matrix is built once and kept while the iterations read it."""
     keep = [label] + ([weight] if weight else [])
     matrix, sizes = balanced(feature_matrix(df.filter(F.col(label).isNotNull()), features, keep), label, weight)
-    matrix = matrix.select("raw_features", F.col(label).cast("double").alias("label"), "_weight").persist()
+    matrix = matrix.select("raw_features", F.col(label).cast("double").alias("label"), "_weight")
+    matrix = matrix.repartition(matrix_tasks(df.sparkSession, sum(sizes.values()))).persist()
     try:
         scaler = StandardScaler(withMean=True, withStd=True, inputCol="raw_features", outputCol="features")
         if sum(sizes.values()) < config.min_rows:

@@ -98,7 +98,7 @@ def stratified_oof(t):
 
 def training_frame(t):
     """Labelled items with their wide features, head labels and weights, written once: a fit reads them many times."""
-    keep = ("id", "label", "p", "toxic", "lang", "w_text", "w_photo")
+    keep = ("id", "label", "p", "toxic", "lang", "details", "feedback_intensity", "w_text", "w_photo")
     rows = weighted(weighted(weight_rows(t), "photo", "w_photo"), "text", "w_text")
     return cut_lineage(item_features(rows, keep))
 
@@ -134,7 +134,7 @@ def meta_stack_platt(t):
 
 @query("second_head")
 def second_head(t):
-    liked = training_frame(t).filter("label = 1").join(t.feedback.select("id", "details", "feedback_intensity"), "id")
+    liked = training_frame(t).filter("label = 1")
     strong = (F.col("toxic") == 1) | (F.col("lang") == "es")
     model = M.fit_second_head(liked, TEXT_FEATURES, strong, F.col("feedback_intensity"), "details", SHIPPED)
     return M.score(model, liked, TEXT_FEATURES, "strong_p").select("id", rounded("strong_p", 6).alias("strong_p"))
@@ -335,11 +335,16 @@ def uncertain_escalate(t):
 def score_items(t):
     """The whole scoring projection: heads, blends, adjustment, cap and policy. Rows only (fitted trees)."""
     frame = training_frame(t)
-    text = M.fit_head(frame, TEXT_FEATURES, "label", "w_text", SHIPPED)
-    asset = M.fit_head(frame.filter("brightness > 0.2"), ASSET_FEATURES, "label", "w_photo", SHIPPED)
+    text, asset = fit_both(t.spark, frame)
     return score_frame(item_features(t.items, ("id", "lang", "src_no")), text, asset)
 
 
+def fit_both(spark, frame):
+    """Text head, and asset head on the measured rows."""
+    measured = frame.filter("brightness > 0.2")
+    return M.fit_heads(spark, [(frame, TEXT_FEATURES, "label", "w_text"), (measured, ASSET_FEATURES, "label", "w_photo")], SHIPPED)
+
+
 def score_frame(features, text, asset):
     """Score a wide feature frame with two fitted heads."""
     c = F.col

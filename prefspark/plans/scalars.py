@@ -258,8 +258,10 @@ def item_features(df, keys=("id",), sentiment=None):
         attrs=item_attrs(),
         measurements={"brightness": F.col("n_chars") % 97 / F.lit(97.0)},
         sentiment=sentiment,
+        plain_text=F.col("_plain"),
     )
-    return X.feature_projection(df, list(keys), columns)
+    plain = T.normalize(F.coalesce("text", F.lit("")))
+    return X.feature_projection(df.withColumn("_plain", plain), list(keys), columns)
 
 
 @query(

@@ -10,11 +10,11 @@ from prefspark.operators import event_rules as E
 from prefspark.operators import heads as M
 from prefspark.operators.bucketed import HOUR
 from prefspark.plans.event_rules import cooldown_sql
-from prefspark.plans.feature_store import ASSET_FEATURES, SHIPPED, TEXT_FEATURES, score_frame, training_frame
+from prefspark.plans.feature_store import TEXT_FEATURES, fit_both, score_frame, training_frame
 from prefspark.plans.registry import half_up, query
 from prefspark.plans.scalars import NKEY, item_features
 from prefspark.plans.tables import Tables
-from prefspark.session import scratch_path
+from prefspark.session import cut_lineage, scratch_path
 from prefspark.streaming import jobs, rules, runner
 
 H = HOUR
@@ -165,10 +165,10 @@ def stream_score(t):
     """Documents as they arrive, some of them twice and in other batches: texts that are labelled or queued are left out, the rest is
     scored by the model in use. The probabilities come from fitted trees; that every one is there and valid is compared."""
     frame = training_frame(t)
-    text = M.fit_head(frame, TEXT_FEATURES, "label", "w_text", SHIPPED)
-    asset = M.fit_head(frame.filter("brightness > 0.2"), ASSET_FEATURES, "label", "w_photo", SHIPPED)
+    text, asset = fit_both(t.spark, frame)
     hashed = F.md5(normalize_key("text"))
-    trained = t.labelled.select(hashed.alias("h")).distinct()
+    # written once: every batch reads it
+    trained = cut_lineage(t.labelled.select(hashed.alias("h")).distinct())
 
     def known(batch):
         return batch.withColumn("h", hashed).join(trained, "h", "left_anti")

@@ -63,3 +63,14 @@ def test_rare_terms_are_scored_like_common_ones(spark, monkeypatch):
     split = G.token_score_join(items, table, "id")
     assert {tuple(r) for r in split.collect()} == whole and len(whole) == 2
     assert "LeftAnti" in plan_of(split)
+
+
+def test_heads_fit_side_by_side_on_matrices_of_few_tasks(spark):
+    from prefspark.operators import heads as M
+
+    assert M.matrix_tasks(spark, 10) == spark.sparkContext.defaultParallelism and M.matrix_tasks(spark, 50 * M.TASK_ROWS) == 50
+    df = spark.createDataFrame([(float(i), int(i > 9)) for i in range(20)], "f double, y int").repartition(40)
+    one, two = M.fit_heads(spark, [(df, ["f"], "y", None), (df.filter("f > 2"), ["f"], "y", None)])
+    for model in (one, two):
+        scores = [r.s for r in M.score(model, df.withColumn("id", F.col("f")), ["f"], "s").orderBy("id").collect()]
+        assert scores == sorted(scores) and scores[0] < 0.5 < scores[-1]
