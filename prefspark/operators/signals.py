@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from prefspark.functions.labels import detail
 from prefspark.functions.numeric import half_up
 from prefspark.functions.text import BLOCKED_BIGRAMS_PT, STOPWORDS_PT, candidate_pairs, ngrams_of, normalize_key, parse_list, raw_tokens, stopwords_nulled
+from prefspark.operators.term_cells import term_cells, term_filter
 from prefspark.session import cut_lineage, scratch_path
 
 # fixed values: signal kinds, polarities, the default weight and its limits
@@ -258,6 +259,60 @@ def token_score_join(items: DataFrame, table: DataFrame, key: str) -> DataFrame:
     )
 
 
+def text_token_scores(df: DataFrame, table: DataFrame, key: str, text: str, tags: str, items: str, stopwords: Sequence[str] = STOPWORDS_PT) -> DataFrame:
+    """``token_score_join`` of ``item_signals``, with each text read once and its terms looked up as whole lists.
+
+    What the most taught terms give is told in a few cells per row and kind. Of the others only those that the table may know are
+    shuffled to it, the cells beside them, and what is found there comes back to its row as numbers; the term comes along only
+    where it can be among the first hits.
+    """
+    side = F.when(F.col("liked"), 1).when(F.col("disliked"), -1).otherwise(0).alias("side")
+    head, tail = _scored_terms(table)
+    lists = item_lists(df, key, text, tags, items, stopwords).withColumnRenamed(key, "_key")
+    cells = term_cells(lists, "_key", KINDS, head.select("kind", "norm", "score", side), None if tail is None else term_filter(tail, "norm"), SHOWN)
+    if tail is not None:
+        # kind and norm travel as one text; no kind is called "=", and cells, which meet no term, are spread by their row
+        term = F.concat(F.substring("kind", 1, 1), "norm")
+        sent = cells.select("_key", "kind", F.coalesce(term, F.concat(F.lit("="), "kind", F.col("_key").cast("string"))).alias("_term"), "pos", "own", "shown")
+        met = sent.join(tail.select(term.alias("_term"), "score", side).hint("shuffle_hash"), "_term", "left")
+        hit = F.struct("side", "pos", F.expr("substring(_term, 2)").alias("norm"))
+        first = F.coalesce("shown", F.when((F.col("side") != 0) & F.col("pos").isNotNull(), hit))
+        met = met.filter(F.col("own").isNotNull() | F.col("score").isNotNull())
+        cells = met.select("_key", "kind", "own", first.alias("shown"), "score", F.col("side").alias("found"))
+    else:
+        cells = cells.select("_key", "kind", "own", "shown", F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("found"))
+
+    def summed(field: str, single: Column) -> Column:
+        return F.sum(F.coalesce(f"own.{field}", single)).alias(field)
+
+    # dealt as plain rows and summed twice, as a list is gathered by sorting: so only over the few rows that the first sum leaves
+    few = cells.repartition("_key", "kind").groupBy("_key", "kind", "shown").agg(
+        summed("total", F.col("score")),
+        summed("n", F.lit(1)),
+        summed("positive", (F.col("found") == 1).cast("bigint")),
+        summed("negative", (F.col("found") == -1).cast("bigint")),
+    )
+
+    def first_hits(side: int) -> Column:
+        uses = F.sort_array(F.collect_list(F.when(F.col("shown.side") == side, F.struct("shown.pos", "shown.norm"))))
+        return F.array_join(F.transform(F.slice(uses, 1, SHOWN), lambda u: u["norm"]), ",")
+
+    return few.groupBy(F.col("_key").alias(key), "kind").agg(
+        half_up(F.sum("total") / F.sum("n"), 4).alias("score"),
+        F.sum("positive").alias("positive_hits"),
+        F.sum("negative").alias("negative_hits"),
+        first_hits(1).alias("positive_signals"),
+        first_hits(-1).alias("negative_signals"),
+    )
+
+
+def item_lists(df: DataFrame, key: str, text: str, tags: str, items: str, stopwords: Sequence[str]) -> DataFrame:
+    """(key, interest, bio, descriptor): a list per kind of everything that can be scored in a row; repeats are kept."""
+    norms = F.filter(F.transform(F.col(tags), lambda x: normalize_key(x)), lambda x: x != "")
+    raw = df.select(key, norms.alias(KINDS[0]), F.col(items).alias(KINDS[2]), raw_tokens(text).alias("_raw"))
+    return raw.select(key, KINDS[0], ngrams_of(F.col("_raw"), stopwords).alias(KINDS[1]), KINDS[2])
+
+
 def item_signals(df: DataFrame, key: str, text: str, tags: str, items: str, stopwords: Sequence[str] = STOPWORDS_PT) -> DataFrame:
     """(key, kind, pos, norm) of everything that can be scored in a row; repeats are kept."""
     norms = F.filter(F.transform(F.col(tags), lambda x: normalize_key(x)), lambda x: x != "")

@@ -123,8 +123,7 @@ def laplace_score(t):
 
 @query("token_score_join", "SELECT * FROM item_scores")
 def token_score_join(t):
-    items = S.item_signals(with_signals(t.items), "id", "text", "tags", "attr_items", STOPS_EN)
-    return S.token_score_join(items, learned(t), "id")
+    return S.text_token_scores(with_signals(t.items), learned(t), "id", "text", "tags", "attr_items", STOPS_EN)
 
 
 @query(

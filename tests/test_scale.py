@@ -1,9 +1,13 @@
 """Plans and results whose work must grow with the input and no faster."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from prefspark.functions import text as T
 from prefspark.operators import signals as G
+from prefspark.operators import term_cells as C
+from prefspark.plans import load_all
 
 
 def plan_of(df) -> str:
@@ -74,3 +78,44 @@ def test_heads_fit_side_by_side_on_matrices_of_few_tasks(spark):
     for model in (one, two):
         scores = [r.s for r in M.score(model, df.withColumn("id", F.col("f")), ["f"], "s").orderBy("id").collect()]
         assert scores == sorted(scores) and scores[0] < 0.5 < scores[-1]
+
+
+def scored_texts(spark, rows: int = 60):
+    """Texts of few words, of which a table knows some well, some little and some not at all."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(30)]
+    texts = [(i, " ".join(rng.choices(words, k=rng.choice((0, 1, 4, 40)))) or None, [rng.choice(words)] * (i % 3), [None, rng.choice(words)]) for i in range(rows)]
+    df = spark.createDataFrame(texts, "id long, text string, tags array<string>, displays array<string>")
+    pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
+    known = [("bio", n) for n in [*words[:20], *pairs]] + [(k, n) for k in ("interest", "descriptor") for n in words[5:15]]
+    table = [(k, n, *rng.choice([(40, 1), (1, 40), (3, 0), (0, 3), (1, 0), (20, 20)]), int(rng.random() < 0.1), int(rng.random() < 0.1), rng.random() < 0.9) for k, n in known]
+    return df, spark.createDataFrame(table, "kind string, norm string, likes long, dislikes long, not_positive long, not_negative long, counted boolean")
+
+
+def test_token_scores_read_texts_once_and_equal_the_join_of_their_items(spark, monkeypatch):
+    df, table = scored_texts(spark)
+    args = ("id", "text", "tags", "displays", ("the",))
+    want = {tuple(r) for r in G.token_score_join(G.item_signals(df, *args), table, "id").collect()}
+    assert len({r[1] for r in want}) == 3 and max(r[5].count(",") for r in want) == 4
+    for head in (G.HEAD, 12, 0):
+        monkeypatch.setattr(G, "HEAD", head)
+        scored = G.text_token_scores(df, table, *args)
+        assert {tuple(r) for r in scored.collect()} == want
+        assert plan_of(scored).count("regexp_extract_all(") == 1
+
+
+def test_query_of_token_scores_reads_texts_once(spark, monkeypatch):
+    monkeypatch.setattr(G, "HEAD", 1000)
+    assert plan_of(load_all()["token_score_join"](spark, "/root/testdata/sf0.001")).count("regexp_extract_all(") == 1
+
+
+def test_only_rare_known_terms_leave_their_text_and_late_ones_without_place(spark):
+    lists = spark.createDataFrame([(1, ["rare", "none", "good", "good", "rare", "bad"], [])], "id long, bio array<string>, interest array<string>")
+    head = spark.createDataFrame([("bio", "good", 0.9, 1), ("bio", "bad", 0.1, -1)], "kind string, norm string, score double, side int")
+    known = C.term_filter(spark.createDataFrame([("rare",)], "norm string"), "norm")
+    cells = C.term_cells(lists, "id", ("bio", "interest"), head, known, 1).collect()
+    assert sorted((r.norm, r.pos) for r in cells if r.norm) == [("rare", 0), ("rare", 4)]
+    assert sorted(tuple(r.shown) for r in cells if r.shown) == [(-1, 5, "bad"), (1, 2, "good")]
+    assert [(round(r.own.total, 6), *r.own[1:]) for r in cells if r.own and not r.shown] == [(1.9, 3, 2, 1)]
+    full = spark.createDataFrame([(1, ["good", "bad", "rare"])], "id long, bio array<string>")
+    assert [(r.norm, r.pos) for r in C.term_cells(full, "id", ("bio",), head, known, 1).collect() if r.norm] == [("rare", None)]
