@@ -21,6 +21,10 @@ DEFAULT_WEIGHT, MIN_WEIGHT, MAX_WEIGHT = 3, 1, 20
 LIKED, DISLIKED, MIN_EVIDENCE, SHOWN = 0.70, 0.30, 2, 5
 #: Most terms that are sent to every executor; the others are joined by a shuffle.
 HEAD = 100_000
+#: Most terms that are looked up where the texts are read: in Arrow a term takes about 25 bytes, in a joined table several times that.
+LOOKED_UP = 1_000_000
+#: Terms taught more often are not told apart by how often.
+OFTEN = 10_000
 
 
 def laplace_score(likes: Column | str, dislikes: Column | str) -> Column:
@@ -170,8 +174,8 @@ def vetoed_score() -> Column:
     )
 
 
-def _scored_terms(table: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """The terms that score, with their score and whether they count as a hit: the most taught ones, at most ``HEAD`` and so fit for a
+def _scored_terms(table: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The terms that score, with their score and whether they count as a hit: the most taught ones, at most ``most`` and so fit for a
     broadcast, and the rest (None if there is none). Written once, as learning them reads all taught texts."""
     spark, total = table.sparkSession, F.col("likes") + F.col("dislikes")
     score, enough = vetoed_score(), total >= MIN_EVIDENCE
@@ -179,21 +183,21 @@ def _scored_terms(table: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     table.filter("counted").select(
         "kind",
         "norm",
-        F.floor(F.log2(total + 1)).cast("int").alias("magnitude"),
+        F.least(total, F.lit(OFTEN)).cast("int").alias("taught"),
         score.alias("score"),
         (enough & (F.col("not_positive") == 0) & (score >= LIKED)).alias("liked"),
         (enough & (F.col("not_negative") == 0) & (score <= DISLIKED)).alias("disliked"),
     ).write.parquet(path)
-    terms = spark.read.schema("kind string, norm string, magnitude int, score double, liked boolean, disliked boolean").parquet(path)
-    sizes = {r.magnitude: r.n for r in terms.groupBy("magnitude").agg(F.count("*").alias("n")).collect()}
-    least, room = max(sizes, default=0) + 1, HEAD
-    for magnitude in sorted(sizes, reverse=True):
-        room -= sizes[magnitude]
+    terms = spark.read.schema("kind string, norm string, taught int, score double, liked boolean, disliked boolean").parquet(path)
+    sizes = {r.taught: r.n for r in terms.groupBy("taught").agg(F.count("*").alias("n")).collect()}
+    least, room = max(sizes, default=0) + 1, most
+    for taught in sorted(sizes, reverse=True):
+        room -= sizes[taught]
         if room < 0:
             break
-        least = magnitude
-    head = terms.filter(F.col("magnitude") >= least).drop("magnitude")
-    return head, terms.filter(F.col("magnitude") < least).drop("magnitude") if room < 0 else None
+        least = taught
+    head = terms.filter(F.col("taught") >= least).drop("taught")
+    return head, terms.filter(F.col("taught") < least).drop("taught") if room < 0 else None
 
 
 def _known_items(items: DataFrame, table: DataFrame) -> DataFrame:
@@ -208,7 +212,7 @@ def _known_items(items: DataFrame, table: DataFrame) -> DataFrame:
 
 def _known_parts(items: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """``_known_items`` by the most taught terms, and by the others."""
-    head, tail = _scored_terms(table)
+    head, tail = _scored_terms(table, HEAD)
     common = items.join(F.broadcast(head), ["kind", "norm"])
     if tail is None:
         return common, None
@@ -267,30 +271,28 @@ def text_token_scores(df: DataFrame, table: DataFrame, key: str, text: str, tags
     where it can be among the first hits.
     """
     side = F.when(F.col("liked"), 1).when(F.col("disliked"), -1).otherwise(0).alias("side")
-    head, tail = _scored_terms(table)
+    head, tail = _scored_terms(table, LOOKED_UP)
     lists = item_lists(df, key, text, tags, items, stopwords).withColumnRenamed(key, "_key")
-    cells = term_cells(lists, "_key", KINDS, head.select("kind", "norm", "score", side), None if tail is None else term_filter(tail, "norm"), SHOWN)
-    if tail is not None:
-        # kind and norm travel as one text; no kind is called "=", and cells, which meet no term, are spread by their row
-        term = F.concat(F.substring("kind", 1, 1), "norm")
-        sent = cells.select("_key", "kind", F.coalesce(term, F.concat(F.lit("="), "kind", F.col("_key").cast("string"))).alias("_term"), "pos", "own", "shown")
-        met = sent.join(tail.select(term.alias("_term"), "score", side).hint("shuffle_hash"), "_term", "left")
-        hit = F.struct("side", "pos", F.expr("substring(_term, 2)").alias("norm"))
-        first = F.coalesce("shown", F.when((F.col("side") != 0) & F.col("pos").isNotNull(), hit))
-        met = met.filter(F.col("own").isNotNull() | F.col("score").isNotNull())
-        cells = met.select("_key", "kind", "own", first.alias("shown"), "score", F.col("side").alias("found"))
+    found = term_cells(lists, "_key", KINDS, head.select("kind", "norm", "score", side), None if tail is None else term_filter(tail, "norm"), SHOWN)
+    cell = F.struct("kind", "own", "shown")
+    if tail is None:
+        met = found.select("_key", F.lit(0).alias("code"), F.lit(0.0).alias("score"), cell.alias("cell"))
     else:
-        cells = cells.select("_key", "kind", "own", "shown", F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("found"))
+        met = _met_terms(found, cell, tail.select("kind", "norm", "score", side))
+
+    # most rows are single terms of no further use, a code of kind and side and a score
+    number, single = F.shiftright("code", 2), F.pmod("code", F.lit(4)) - 1
 
-    def summed(field: str, single: Column) -> Column:
-        return F.sum(F.coalesce(f"own.{field}", single)).alias(field)
+    def summed(field: str, one: Column) -> Column:
+        return F.sum(F.coalesce(f"cell.own.{field}", one)).alias(field)
 
     # dealt as plain rows and summed twice, as a list is gathered by sorting: so only over the few rows that the first sum leaves
-    few = cells.repartition("_key", "kind").groupBy("_key", "kind", "shown").agg(
+    kind = F.coalesce("cell.kind", F.element_at(F.array(*map(F.lit, KINDS)), F.nullif(number, F.lit(0))))
+    few = met.repartition("_key").groupBy("_key", kind.alias("kind"), F.col("cell.shown").alias("shown")).agg(
         summed("total", F.col("score")),
         summed("n", F.lit(1)),
-        summed("positive", (F.col("found") == 1).cast("bigint")),
-        summed("negative", (F.col("found") == -1).cast("bigint")),
+        summed("positive", (single == 1).cast("bigint")),
+        summed("negative", (single == -1).cast("bigint")),
     )
 
     def first_hits(side: int) -> Column:
@@ -306,6 +308,33 @@ def text_token_scores(df: DataFrame, table: DataFrame, key: str, text: str, tags
     )
 
 
+def _met_terms(found: DataFrame, cell: Column, tail: DataFrame) -> DataFrame:
+    """(_key, code, score, cell) of the cells of ``term_cells`` and of its other terms that ``tail`` has. The narrower both shuffles'
+    rows are, the better: kind and norm travel as one text, and what is found as a number, 4 x the place of its kind + side + 1."""
+    term, own = F.concat(F.substring("kind", 1, 1), "norm"), F.col("own").isNotNull()
+    # no kind begins with "="; cells, which meet no term, are spread by their row
+    sent = found.select(
+        "_key", F.when(own, F.concat_ws("", F.lit("="), "kind", "_key")).otherwise(term).alias("_term"), "pos", F.when(own, cell).alias("cell")
+    )
+    joined = sent.join(tail.select(term.alias("_term"), "score", "side").hint("shuffle_hash"), "_term", "left")
+    met = joined.filter(F.col("cell").isNotNull() | F.col("score").isNotNull())
+    number = F.position(F.substring("_term", 1, 1), F.lit("".join(k[0] for k in KINDS)))
+    one = F.struct(
+        F.col("score").alias("total"),
+        F.lit(1).cast("bigint").alias("n"),
+        (F.col("side") == 1).cast("bigint").alias("positive"),
+        (F.col("side") == -1).cast("bigint").alias("negative"),
+    )
+    hit = F.struct(
+        F.element_at(F.array(*map(F.lit, KINDS)), F.nullif(number, F.lit(0))).alias("kind"),
+        one.alias("own"),
+        F.struct("side", "pos", F.expr("substring(_term, 2)").alias("norm")).alias("shown"),
+    )
+    met = met.withColumn("cell", F.coalesce("cell", F.when((F.col("side") != 0) & F.col("pos").isNotNull(), hit)))
+    plain = F.col("cell").isNull()
+    return met.select("_key", F.when(plain, number * 4 + F.col("side") + 1).alias("code"), F.when(plain, F.col("score")).alias("score"), "cell")
+
+
 def item_lists(df: DataFrame, key: str, text: str, tags: str, items: str, stopwords: Sequence[str]) -> DataFrame:
     """(key, interest, bio, descriptor): a list per kind of everything that can be scored in a row; repeats are kept."""
     norms = F.filter(F.transform(F.col(tags), lambda x: normalize_key(x)), lambda x: x != "")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Terms looked up at once, which bounds a worker's memory.
-LOOKED_UP = 500_000
+SLICE = 1_000_000
 #: Bits per term of a filter, and its most bits: 32 MB, whatever the table.
 BITS_PER_TERM, MOST_BITS = 16, 1 << 28
 #: Bits of one bitmap of ``bitmap_construct_agg``.
@@ -73,11 +73,11 @@ def term_cells(lists: DataFrame, key: str, kinds: tuple[str, ...], head: DataFra
 
 
 def _slices(batch: pa.RecordBatch, kinds: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows with at most ``LOOKED_UP`` terms; a row with more stands alone."""
+    """Consecutive rows with at most ``SLICE`` terms; a row with more stands alone."""
     ends = np.cumsum(sum(_sizes(batch.column(k)) for k in kinds))
     start, before = 0, 0
     while start < len(ends):
-        stop = max(start + 1, int(np.searchsorted(ends, before + LOOKED_UP, side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE, side="right")))
         yield batch.slice(start, stop - start)
         start, before = stop, int(ends[stop - 1])
 

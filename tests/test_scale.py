@@ -97,15 +97,15 @@ def test_token_scores_read_texts_once_and_equal_the_join_of_their_items(spark, m
     args = ("id", "text", "tags", "displays", ("the",))
     want = {tuple(r) for r in G.token_score_join(G.item_signals(df, *args), table, "id").collect()}
     assert len({r[1] for r in want}) == 3 and max(r[5].count(",") for r in want) == 4
-    for head in (G.HEAD, 12, 0):
-        monkeypatch.setattr(G, "HEAD", head)
+    for most in (G.LOOKED_UP, 12, 0):
+        monkeypatch.setattr(G, "LOOKED_UP", most)
         scored = G.text_token_scores(df, table, *args)
         assert {tuple(r) for r in scored.collect()} == want
         assert plan_of(scored).count("regexp_extract_all(") == 1
 
 
 def test_query_of_token_scores_reads_texts_once(spark, monkeypatch):
-    monkeypatch.setattr(G, "HEAD", 1000)
+    monkeypatch.setattr(G, "LOOKED_UP", 1000)
     assert plan_of(load_all()["token_score_join"](spark, "/root/testdata/sf0.001")).count("regexp_extract_all(") == 1
 
 
