@@ -70,7 +70,7 @@ def with_signals(df):
 
 
 def label_rows(t):
-    rows = with_signals(t.feedback).withColumn("doms", FB.domain_set("feedback_domain", "details"))
+    rows = with_signals(t.feedback_in_place).withColumn("doms", FB.domain_set("feedback_domain", "details"))
     return S.signal_rows(rows, label="label", domains="doms", details="details", text="text", tags="tags", items="attr_items", stopwords=STOPS_EN)
 
 

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from prefspark.session import spread
 
+#: Most labels that are sent to every executor, at some 50 bytes each, so that the texts they belong to need not move.
+MOST_LABELS = 2_000_000
+
 VIEWS: dict[str, str] = {
     # items: one row per document
     "items": """
@@ -130,13 +133,25 @@ class Tables:
 
     @cached_property
     def labelled(self) -> DataFrame:
-        labels = self.labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("label"), "toxic")
+        return self._labelled(self.labels)
+
+    def _labelled(self, scan: DataFrame) -> DataFrame:
+        labels = scan.select(F.col("doc_id").alias("id"), F.col("quality").alias("label"), "toxic")
         score = F.least(F.col("n_chars").cast("double") / F.lit(5000.0), F.lit(1.0))
         return self.items.join(labels, "id").withColumn("p", score)
 
     @cached_property
     def feedback(self) -> DataFrame:
-        return self.labelled.selectExpr(
+        return self._feedback(self.labelled)
+
+    @cached_property
+    def feedback_in_place(self) -> DataFrame:
+        """``feedback``, but of at most ``MOST_LABELS`` labels, whose texts stay where they are read."""
+        few = self.labels.count() <= MOST_LABELS
+        return self._feedback(self._labelled(F.broadcast(self.labels) if few else self.labels))
+
+    def _feedback(self, labelled: DataFrame) -> DataFrame:
+        return labelled.selectExpr(
             "*",
             "CASE WHEN p >= 0.5D THEN 'CURTIR' ELSE 'PASS' END AS model_decision",
             "CASE WHEN toxic = 1 AND label = 1 THEN 'Super_Like' WHEN src_no = 13 THEN 'talvez' "

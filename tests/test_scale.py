@@ -109,6 +109,19 @@ def test_query_of_token_scores_reads_texts_once(spark, monkeypatch):
     assert plan_of(load_all()["token_score_join"](spark, "/root/testdata/sf0.001")).count("regexp_extract_all(") == 1
 
 
+def test_texts_stay_where_they_are_while_labels_are_few(spark, monkeypatch):
+    from prefspark.plans import signals_q, tables
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "strategy=broadcast" in plan_of(signals_q.label_rows(tables.Tables(spark, "/root/testdata/sf0.001")))
+        monkeypatch.setattr(tables, "MOST_LABELS", 10)
+        assert "strategy=broadcast" not in plan_of(signals_q.label_rows(tables.Tables(spark, "/root/testdata/sf0.001")))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_only_rare_known_terms_leave_their_text_and_late_ones_without_place(spark):
     lists = spark.createDataFrame([(1, ["rare", "none", "good", "good", "rare", "bad"], [])], "id long, bio array<string>, interest array<string>")
     head = spark.createDataFrame([("bio", "good", 0.9, 1), ("bio", "bad", 0.1, -1)], "kind string, norm string, score double, side int")
