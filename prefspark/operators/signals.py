@@ -293,10 +293,12 @@ def text_token_scores(df: DataFrame, table: DataFrame, key: str, text: str, tags
         summed("n", F.lit(1)),
         summed("positive", (single == 1).cast("bigint")),
         summed("negative", (single == -1).cast("bigint")),
+        F.count("*").cast("int").alias("times"),
     )
+    told = F.when(F.col("shown").isNotNull(), F.flatten(F.array_repeat("shown", F.col("times"))))
 
     def first_hits(side: int) -> Column:
-        uses = F.sort_array(F.collect_list(F.when(F.col("shown.side") == side, F.struct("shown.pos", "shown.norm"))))
+        uses = F.sort_array(F.filter(F.flatten(F.collect_list(told)), lambda u: u["side"] == side))
         return F.array_join(F.transform(F.slice(uses, 1, SHOWN), lambda u: u["norm"]), ",")
 
     return few.groupBy(F.col("_key").alias(key), "kind").agg(
@@ -328,7 +330,7 @@ def _met_terms(found: DataFrame, cell: Column, tail: DataFrame) -> DataFrame:
     hit = F.struct(
         F.element_at(F.array(*map(F.lit, KINDS)), F.nullif(number, F.lit(0))).alias("kind"),
         one.alias("own"),
-        F.struct("side", "pos", F.expr("substring(_term, 2)").alias("norm")).alias("shown"),
+        F.array(F.struct("side", "pos", F.expr("substring(_term, 2)").alias("norm"))).alias("shown"),
     )
     met = met.withColumn("cell", F.coalesce("cell", F.when((F.col("side") != 0) & F.col("pos").isNotNull(), hit)))
     plain = F.col("cell").isNull()

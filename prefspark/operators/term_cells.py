@@ -19,8 +19,8 @@ BITS_PER_TERM, MOST_BITS = 16, 1 << 28
 BITMAP = 1 << 15
 
 OWN = pa.struct([("total", pa.float64()), ("n", pa.int64()), ("positive", pa.int64()), ("negative", pa.int64())])
-SHOWN = pa.struct([("side", pa.int32()), ("pos", pa.int32()), ("norm", pa.string())])
-CELL = "kind string, norm string, pos int, own struct<total: double, n: bigint, positive: bigint, negative: bigint>, shown struct<side: int, pos: int, norm: string>"
+HIT = pa.struct([("side", pa.int32()), ("pos", pa.int32()), ("norm", pa.string())])
+CELL = "kind string, norm string, pos int, own struct<total: double, n: bigint, positive: bigint, negative: bigint>, shown array<struct<side: int, pos: int, norm: string>>"
 
 
 def term_filter(terms: DataFrame, norm: str) -> np.ndarray:
@@ -39,8 +39,8 @@ def term_filter(terms: DataFrame, norm: str) -> np.ndarray:
 def term_cells(lists: DataFrame, key: str, kinds: tuple[str, ...], head: DataFrame, known: np.ndarray | None, shown: int) -> DataFrame:
     """Of rows with a list of norms per kind, (key, kind) and either
 
-    - ``own``: sum of scores, terms and hits of either side among the terms of ``head`` (kind, norm, score, side),
-    - ``shown``: one of the first ``shown`` hits of a side among those, with an empty ``own``, or
+    - ``own``: sum of scores, terms and hits of either side among the terms of ``head`` (kind, norm, score, side), and the first
+      ``shown`` hits of either side as ``shown``, or
     - ``norm``: a term that is not in ``head`` and passes the filter ``known`` (None: there are no others), with its position
       where it can still be among the first hits.
     """
@@ -87,7 +87,7 @@ def _sizes(lists: pa.Array) -> np.ndarray:
 
 
 def _looked_up(lists: pa.Array, head: tuple, hashes: np.ndarray | None, known: np.ndarray | None, shown: int) -> Iterator[tuple]:
-    """(rows, norm, pos, own, shown) of the three sorts of cells, one after the other."""
+    """(rows, norm, pos, own, shown) of both sorts of rows, one after the other."""
     terms, scores, sides = head
     values, sizes = lists.flatten(), _sizes(lists)
     row, start = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
@@ -97,29 +97,31 @@ def _looked_up(lists: pa.Array, head: tuple, hashes: np.ndarray | None, known: n
     def summed(weights: np.ndarray) -> np.ndarray:
         return np.bincount(row, weights, len(sizes)).astype(np.float64)  # of nothing it counts in integers
 
-    n = summed(at >= 0).astype(np.int64)
-    some = np.flatnonzero(n)
-    own = [summed(scores[at])[some], n[some], *(summed(side == s)[some].astype(np.int64) for s in (1, -1))]
-    yield some, *_nulls(len(some), pa.string(), pa.int32()), pa.StructArray.from_arrays([pa.array(c) for c in own], fields=list(OWN)), *_nulls(len(some), SHOWN)
-
-    wanted = np.zeros(len(sizes), np.int64)  # hits before this place can still be among the first ones
+    wanted, firsts = np.zeros(len(sizes), np.int64), []  # hits before the place wanted can still be among the first ones
     for s in (1, -1):
         hits = np.flatnonzero(side == s)
         rank = np.arange(len(hits)) - np.searchsorted(row[hits], row[hits])
         full = np.full(len(sizes), len(row))
         full[row[hits[rank == shown - 1]]] = hits[rank == shown - 1]
-        wanted, hits = np.maximum(wanted, full), hits[rank < shown]
-        norms, places = values.take(pa.array(hits)), (hits - start[row[hits]]).astype(np.int32)
-        told = pa.StructArray.from_arrays([pa.repeat(pa.scalar(s, pa.int32()), len(hits)), pa.array(places), norms], fields=list(SHOWN))
-        zeros = pa.StructArray.from_arrays([pa.array(np.zeros(len(hits))), *[pa.array(np.zeros(len(hits), np.int64))] * 3], fields=list(OWN))
-        yield row[hits], *_nulls(len(hits), pa.string(), pa.int32()), zeros, told
+        wanted = np.maximum(wanted, full)
+        firsts.append(hits[rank < shown])
+    hits = np.sort(np.concatenate(firsts))
+
+    n = summed(at >= 0).astype(np.int64)
+    some = np.flatnonzero(n)
+    sums = [summed(scores[at])[some], n[some], *(summed(side == s)[some].astype(np.int64) for s in (1, -1))]
+    own = pa.StructArray.from_arrays([pa.array(c) for c in sums], fields=list(OWN))
+    fields = [pa.array(side[hits].astype(np.int32)), pa.array((hits - start[row[hits]]).astype(np.int32)), values.take(pa.array(hits))]
+    ends = np.cumsum(np.bincount(row[hits], minlength=len(sizes))[some]).astype(np.int32)
+    told = pa.ListArray.from_arrays(np.append(np.int32(0), ends), pa.StructArray.from_arrays(fields, fields=list(HIT)))
+    yield some, *_nulls(len(some), pa.string(), pa.int32()), own, told
 
     if known is not None:
         bit = hashes & (8 * len(known) - 1)
         passed = (known[bit >> 3] >> (bit & 7)) & 1 == 1
         left = np.flatnonzero((at < 0) & passed & pc.is_valid(values).to_numpy(zero_copy_only=False))
         late = left >= wanted[row[left]]
-        yield row[left], values.take(pa.array(left)), pa.array((left - start[row[left]]).astype(np.int32), mask=late), *_nulls(len(left), OWN, SHOWN)
+        yield row[left], values.take(pa.array(left)), pa.array((left - start[row[left]]).astype(np.int32), mask=late), *_nulls(len(left), OWN, pa.list_(HIT))
 
 
 def _nulls(n: int, *kinds: pa.DataType) -> list[pa.Array]:

@@ -104,6 +104,18 @@ def test_token_scores_read_texts_once_and_equal_the_join_of_their_items(spark, m
         assert plan_of(scored).count("regexp_extract_all(") == 1
 
 
+def test_hits_of_equal_rows_are_told_for_each(spark, monkeypatch):
+    rows = [(1, "tea cup", ["x"], ["y"])] * 3
+    df = spark.createDataFrame(rows, "id long, text string, tags array<string>, displays array<string>")
+    table = spark.createDataFrame(
+        [("bio", n, 5, 0, 0, 0, True) for n in ("tea", "cup")], "kind string, norm string, likes long, dislikes long, not_positive long, not_negative long, counted boolean"
+    )
+    for most in (G.LOOKED_UP, 0):
+        monkeypatch.setattr(G, "LOOKED_UP", most)
+        (row,) = G.text_token_scores(df, table, "id", "text", "tags", "displays", ()).collect()
+        assert (row.positive_hits, row.positive_signals) == (6, "tea,tea,tea,cup,cup")
+
+
 def test_query_of_token_scores_reads_texts_once(spark, monkeypatch):
     monkeypatch.setattr(G, "LOOKED_UP", 1000)
     assert plan_of(load_all()["token_score_join"](spark, "/root/testdata/sf0.001")).count("regexp_extract_all(") == 1
@@ -128,7 +140,7 @@ def test_only_rare_known_terms_leave_their_text_and_late_ones_without_place(spar
     known = C.term_filter(spark.createDataFrame([("rare",)], "norm string"), "norm")
     cells = C.term_cells(lists, "id", ("bio", "interest"), head, known, 1).collect()
     assert sorted((r.norm, r.pos) for r in cells if r.norm) == [("rare", 0), ("rare", 4)]
-    assert sorted(tuple(r.shown) for r in cells if r.shown) == [(-1, 5, "bad"), (1, 2, "good")]
-    assert [(round(r.own.total, 6), *r.own[1:]) for r in cells if r.own and not r.shown] == [(1.9, 3, 2, 1)]
+    told = [(round(r.own.total, 6), *r.own[1:], [tuple(u) for u in r.shown]) for r in cells if r.own]
+    assert told == [(1.9, 3, 2, 1, [(1, 2, "good"), (-1, 5, "bad")])]
     full = spark.createDataFrame([(1, ["good", "bad", "rare"])], "id long, bio array<string>")
     assert [(r.norm, r.pos) for r in C.term_cells(full, "id", ("bio",), head, known, 1).collect() if r.norm] == [("rare", None)]
