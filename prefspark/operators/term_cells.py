@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Terms looked up at once, which bounds a worker's memory.
-SLICE = 1_000_000
+SLICE = 500_000
 #: Bits per term of a filter, and its most bits: 32 MB, whatever the table.
 BITS_PER_TERM, MOST_BITS = 16, 1 << 28
 #: Bits of one bitmap of ``bitmap_construct_agg``.
